@@ -1,0 +1 @@
+"""Every source and every question of this library is a batch job; there is nothing to stream."""
