@@ -56,6 +56,11 @@ def _numeric_texts() -> dict[int, str]:
     return {name2codepoint[name]: text for name, text in ASCII_ENTITIES.items()}
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _char(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
@@ -70,19 +75,17 @@ def decode_entities(c: Column) -> Column:
         decimal = F.regexp_extract(piece, r"^#([0-9]{1,7});", 1)
         hexa = F.regexp_extract(piece, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
         code = F.coalesce(decimal.try_cast("int"), F.conv(F.nullif(hexa, F.lit("")), 16, 10).try_cast("int"))
-        known = F.coalesce(
-            F.try_element_at(names, name),
-            F.try_element_at(numbers, code),
-            F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), _char(code)),
-        )
+        numeric = _once(code, lambda n: F.coalesce(
+            F.try_element_at(numbers, n), F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), _char(n))
+        ))
+        known = F.when(piece.startswith("#"), numeric).otherwise(F.try_element_at(names, name))
         tail = F.substr(piece, F.instr(piece, ";") + 1)
-        return F.when(known.isNotNull(), F.concat(known, tail)).otherwise(F.concat(F.lit("&"), piece))
+        return F.coalesce(F.concat(known, tail), F.concat(F.lit("&"), piece))
 
-    pieces = F.split(c, "&")
-    text = F.concat(
-        F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), decoded), "")
-    )
-    return F.when(F.contains(c, F.lit("&")), text).otherwise(c)
+    def rejoined(pieces: Column) -> Column:
+        return F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), decoded), ""))
+
+    return _once(F.split(c, "&"), rejoined)
 
 
 def clean_html(c: Column | str) -> Column:
@@ -121,10 +124,12 @@ def normalize_keyword(c: Column | str) -> Column:
 def ngrams(words: Column, n_max: int = 3) -> Column:
     """All runs of 1 to ``n_max`` neighbouring words, joined by ``_``."""
 
-    def runs(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-        return F.coalesce(
-            F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), "_")), F.array().cast("array<string>")
-        )
+    def of(w: Column) -> Column:
+        def runs(n: int) -> Column:
+            return F.transform(
+                F.slice(w, n, F.size(w)), lambda _, i: F.array_join(F.slice(w, i + 1, n), "_")
+            )
+
+        return F.concat(w, *[runs(n) for n in range(2, n_max + 1)])
 
-    return F.concat(words, *[runs(n) for n in range(2, n_max + 1)])
+    return _once(words, of)

@@ -33,7 +33,7 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
         F.struct(F.col("a").alias("node"), F.col("b").alias("neighbour")),
         F.struct(F.col("b").alias("node"), F.col("a").alias("neighbour")),
     ))
-    return pairs.select(ends.alias("p"), "similarity").select("p.node", "p.similar", "similarity")
+    return pairs.select(ends.alias("p"), "similarity").select("p.node", "p.neighbour", "similarity")
 
 
 def _rare_route(sets: DataFrame, cutoff: float) -> DataFrame:

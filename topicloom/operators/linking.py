@@ -13,14 +13,20 @@ from topicloom.runtime import has_at_most
 
 
 def _best_matches(threshold: float, k: int):
-    """Kernel: unit rows of both sides in, the best ``k`` (row, topic, similarity) per row out.
+    """Kernel: vectors of both sides in, the best ``k`` (row, topic, similarity) per row out.
 
-    Topics must come sorted by name, so that equal similarities are cut in name order.
+    Topics must come sorted by name, so that equal similarities are cut in name order. A zero
+    vector has no cosine and matches nothing.
     """
 
     def run(left, right):
         import numpy as np
 
+        def unit(m):
+            norms = np.linalg.norm(m, axis=1, keepdims=True)
+            return np.divide(m, norms, out=np.full_like(m, np.nan), where=norms > 0)
+
+        left, right = unit(np.asarray(left, dtype="float64")), unit(np.asarray(right, dtype="float64"))
         out = []
         step = max(1, 4_000_000 // max(1, len(right)))
         for start in range(0, len(left), step):
@@ -37,15 +43,10 @@ def _best_matches(threshold: float, k: int):
     return run
 
 
-def _unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """Key and vector scaled to length one; null, short and zero vectors have no cosine and go."""
-    values = F.transform(F.slice(vector, 1, dim), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
-    return (
-        df.where(F.col(key).isNotNull() & (F.size(vector) >= dim))
-        .select(F.col(key).alias("key"), values.alias("v"), norm.alias("n"))
-        .where(F.col("n") > 0)
-        .select("key", F.transform("v", lambda x: x / F.col("n")).alias("unit"))
+def _vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+    """Key and the first ``dim`` numbers; rows without a key or with too short a vector go."""
+    return df.where(F.col(key).isNotNull() & (F.size(vector) >= dim)).select(
+        F.col(key).alias("key"), F.slice(vector, 1, dim).alias("v")
     )
 
 
@@ -68,8 +69,8 @@ def link_topics(
     no pair table is built. Repeated keys share their slots: a topic counts once, at its best.
     """
     bound = max_topics if max_topics is not None else 16_000_000 // dim
-    left = _unit_vectors(entities, key, vector, dim)
-    right = _unit_vectors(topics, topic, vector, dim).withColumnRenamed("key", "topic")
+    left = _vectors(entities, key, vector, dim)
+    right = _vectors(topics, topic, vector, dim).withColumnRenamed("key", "topic")
     key_type = entities.schema[key].dataType.simpleString()
     if has_at_most(right, bound):
         links = _link_broadcast(left, right, key_type, threshold, k)
@@ -84,7 +85,7 @@ def _link_broadcast(left: DataFrame, right: DataFrame, key_type: str, threshold:
     import numpy as np
 
     rows = right.orderBy("topic").toPandas()
-    matrix = np.array(rows["unit"].tolist(), dtype="float64").reshape(len(rows), -1)
+    matrix = np.array(rows["v"].tolist(), dtype="float64").reshape(len(rows), -1)
     shared = left.sparkSession.sparkContext.broadcast((rows["topic"].to_numpy(), matrix))
     run = _best_matches(threshold, k)
 
@@ -92,12 +93,12 @@ def _link_broadcast(left: DataFrame, right: DataFrame, key_type: str, threshold:
         import numpy as np
         import pyarrow as pa
 
-        names, units = shared.value
+        names, vectors = shared.value
         for batch in batches:
             if not batch.num_rows or not len(names):
                 continue
             mine = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            at, cols, sims = run(mine, units)
+            at, cols, sims = run(mine, vectors)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), pa.array(names[cols], pa.string()), pa.array(np.asarray(sims))],
                 names=["key", "topic", "cosine_similarity"],
@@ -108,13 +109,13 @@ def _link_broadcast(left: DataFrame, right: DataFrame, key_type: str, threshold:
 
 def _link_grid(left: DataFrame, right: DataFrame, key_type: str, threshold: float, k: int, block: int) -> DataFrame:
     """Entities in E hashed rows, topics in B hashed columns; each cell is one bounded product."""
-    left = left.dropDuplicates(["key", "unit"])
+    left = left.dropDuplicates(["key", "v"])
     columns = max(1, math.ceil(right.count() / max(1, block)))
     rows = max(1, math.ceil(left.count() / 20_000))
-    cells_left = left.withColumn("e", F.pmod(F.xxhash64("key", "unit"), F.lit(rows))).withColumn(
+    cells_left = left.withColumn("e", F.pmod(F.xxhash64("key", "v"), F.lit(rows))).withColumn(
         "b", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
     )
-    cells_right = right.withColumn("b", F.pmod(F.xxhash64("topic", "unit"), F.lit(columns)).cast("int")).withColumn(
+    cells_right = right.withColumn("b", F.pmod(F.xxhash64("topic", "v"), F.lit(columns)).cast("int")).withColumn(
         "e", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long")
     )
     run = _best_matches(threshold, k)
@@ -127,7 +128,7 @@ def _link_grid(left: DataFrame, right: DataFrame, key_type: str, threshold: floa
             return pd.DataFrame({"key": mine["key"][:0], "topic": pd.Series([], dtype=object),
                                  "cosine_similarity": pd.Series([], dtype=float)})
         theirs = theirs.sort_values("topic")
-        at, cols, sims = run(np.stack(mine["unit"].to_numpy()), np.stack(theirs["unit"].to_numpy()))
+        at, cols, sims = run(np.stack(mine["v"].to_numpy()), np.stack(theirs["v"].to_numpy()))
         return pd.DataFrame({"key": mine["key"].to_numpy()[at], "topic": theirs["topic"].to_numpy()[cols],
                              "cosine_similarity": sims})
 
