@@ -1,5 +1,7 @@
 """Text to vectors. The encoder is any function from a list of texts to a matrix."""
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +55,7 @@ def embed(df: DataFrame, text_col: str, encoder=None, dim: int = EMBEDDING_DIM,
     """
     load = encoder or hashing_encoder(dim)
 
-    def vectors(batches):
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()
         for texts in batches:
             values = texts.tolist()
@@ -62,6 +64,5 @@ def embed(df: DataFrame, text_col: str, encoder=None, dim: int = EMBEDDING_DIM,
                 rows.extend(encode(values[start:start + batch]).astype("float32"))
             yield pd.Series(rows)
 
-    vectors.__annotations__ = {"batches": "Iterator[pd.Series]"}
-    to_vector = F.pandas_udf(vectors, "array<float>", F.PandasUDFType.SCALAR_ITER)
+    to_vector = F.pandas_udf(vectors, "array<float>")
     return df.withColumn("embedding", to_vector(blank_if_null(text_col)))

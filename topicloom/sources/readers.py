@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from topicloom.functions.columns import strip
+from topicloom.runtime import cut_lineage
 from topicloom.schemas import HIERARCHY, TRIPLES
 
 BAD_ROW = "_bad_row"
@@ -28,7 +29,9 @@ def read_csv(
 
     Without ``schema`` and ``names`` the types are inferred, which reads the data twice.
     ``bad_rows`` is ``"null"`` (fill with nulls), ``"drop"``, ``"fail"``, or ``"keep"``,
-    which adds the raw text of a malformed row as column ``_bad_row``.
+    which adds the raw text of a malformed row as column ``_bad_row``. Unless bad rows are
+    filled, rows are parsed whole, so that what counts as bad does not depend on the columns
+    selected later.
     """
     if names is not None and schema is None:
         schema = StructType([StructField(n, StringType()) for n in names])
@@ -41,6 +44,7 @@ def read_csv(
         .option("multiLine", multiline)
         .option("recursiveFileLookup", recursive)
         .option("mode", modes[bad_rows])
+        .option("columnPruning", bad_rows == "null")
         .option("enforceSchema", names is not None or schema is None)
     )
     if schema is None:
@@ -52,8 +56,12 @@ def read_csv(
 
 
 def split_bad_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Separate a frame read with ``bad_rows="keep"`` into good rows and raw bad lines."""
-    return df.where(F.col(BAD_ROW).isNull()).drop(BAD_ROW), df.where(F.col(BAD_ROW).isNotNull()).select(BAD_ROW)
+    """Separate a frame read with ``bad_rows="keep"`` into good rows and raw bad lines.
+
+    Spark does not scan for bad lines alone, so these are set aside with all their columns first.
+    """
+    bad = cut_lineage(df.where(F.col(BAD_ROW).isNotNull()))
+    return df.where(F.col(BAD_ROW).isNull()).drop(BAD_ROW), bad.select(BAD_ROW)
 
 
 def read_csv_tree(
