@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, rounded
 from topicloom.functions import columns as c
 from topicloom.functions import predicates as p
-from topicloom.plans.proxy import table
+from topicloom.plans.proxy import table, text_table
 
 # --- projection -----------------------------------------------------------------------------
 
@@ -52,7 +52,7 @@ LABELLED = "SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l
 
 
 def _labelled(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return text_table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
 @query("f1_not_null", f"SELECT * FROM ({LABELLED}) WHERE quality IS NOT NULL AND toxic IS NOT NULL")
@@ -156,7 +156,7 @@ SELECT doc_id, trim(part) AS part FROM (SELECT doc_id, unnest(string_split(text,
 WHERE regexp_replace(part, '^\s+|\s+$', '', 'g') <> ''""".replace(
     "trim(part)", r"regexp_replace(part, '^\s+|\s+$', '', 'g')"))
 def x1(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(c.split_clean("text", ".")).alias("part"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", F.explode(c.split_clean("text", ".")).alias("part"))
 
 
 @query("x2_explode", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
@@ -167,7 +167,7 @@ def x2(spark, sf_dir):
 @query("x3_strip", r"SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n FROM documents")
 def x3(spark, sf_dir):
     padded = F.concat(F.lit(" \t\n"), F.col("text"), F.lit("\n "))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(c.strip(padded)).cast("long").alias("n"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", F.length(c.strip(padded)).cast("long").alias("n"))
 
 
 @query("x4_author_affiliation", """
@@ -183,7 +183,7 @@ def x4(spark, sf_dir):
 def x5(spark, sf_dir):
     last = F.regexp_extract("url", "/([^/]+)$", 1)
     address = F.concat(F.lit("<https://x.example/topics/"), last, F.lit(">"))
-    return table(spark, sf_dir, "pages").select("page_id", c.topic_slug(address).alias("slug"))
+    return text_table(spark, sf_dir, "pages").select("page_id", c.topic_slug(address).alias("slug"))
 
 
 @query("x6_tags", "SELECT p_partkey, replace(p_name, ' ', ',') AS tags FROM part")
@@ -206,7 +206,7 @@ def x8(spark, sf_dir):
 SELECT d.doc_id, d.source || chr(10) || coalesce(quality::VARCHAR, '') || chr(10) || d.lang AS text
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def x9(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = text_table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return docs.select("doc_id", c.join_text("source", F.col("quality").cast("string"), "lang").alias("text"))
 
 
@@ -217,13 +217,13 @@ def x10(spark, sf_dir):
 
 @query("x11_first_items", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS start FROM documents")
 def x11(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         "doc_id", c.joined(c.first_items(F.split("text", " "), 5), " ").alias("start"))
 
 
 @query("x12_size", "SELECT doc_id, len(string_split(text, ' ')) AS words FROM documents")
 def x12(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", " ")).cast("long").alias("words"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", " ")).cast("long").alias("words"))
 
 
 @query("x13_round", f"SELECT event_id, {rounded('value', 1)} AS one, {rounded('value / 7', 3)} AS three FROM events")
@@ -258,7 +258,7 @@ def x16(spark, sf_dir):
 
 @query("x17_item_at", "SELECT doc_id, string_split(text, ' ')[4] AS word FROM documents")
 def x17(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", c.item_at(F.split("text", " "), 3).alias("word"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", c.item_at(F.split("text", " "), 3).alias("word"))
 
 
 @query("x18_sqrt", "SELECT o_orderkey, sqrt(o_totalprice) AS root FROM orders")

@@ -13,7 +13,7 @@ from topicloom.functions.columns import topic_slug
 from topicloom.operators.encode import embed
 from topicloom.operators.topk import limit_per_file
 from topicloom.operators.upsert import upsert_nodes
-from topicloom.plans.proxy import proxy_hierarchy, table
+from topicloom.plans.proxy import proxy_hierarchy, table, text_table
 from topicloom.runtime import scratch_path
 from topicloom.schemas import CLASSIFIED_PAPERS, HIERARCHY, POSTS_XML
 
@@ -29,7 +29,7 @@ def s1_csv(spark, sf_dir):
 def s2_csv_tree(spark, sf_dir):
     path = scratch_path(spark, "s2")
     schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType())])
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     for lang, folder in (("de", "a/b"), ("en", "a"), ("es", "c"), ("fr", "c/d")):
         sinks.write_csv(docs.where(F.col("lang") == lang), f"{path}/{folder}/{lang}")
     return sources.read_csv_tree(spark, path, schema=schema)
@@ -58,7 +58,7 @@ def s4_embeddings(spark, sf_dir):
 @query("s5_declared_tree", "SELECT doc_id::VARCHAR AS eid, lang || ', ' || source AS result_cso FROM documents")
 def s5_declared_tree(spark, sf_dir):
     path = scratch_path(spark, "s5")
-    rows = table(spark, sf_dir, "documents").select(
+    rows = text_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("eid"), F.concat_ws(", ", "lang", "source").alias("result_cso"))
     sinks.write_csv(rows, f"{path}/one/two")
     return sources.read_csv_tree(spark, path, schema=CLASSIFIED_PAPERS, multiline=False)
@@ -104,7 +104,7 @@ def s8_hierarchy(spark, sf_dir):
 @query("s9_source_files", "SELECT lang AS folder, count(*) AS n FROM documents GROUP BY lang")
 def s9_source_files(spark, sf_dir):
     path = scratch_path(spark, "s9")
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     docs.select("doc_id", "source", "lang").write.partitionBy("lang").csv(path)
     back = sources.read_csv_tree(spark, path, names=["doc_id", "source"], multiline=False, with_source=True)
     return back.groupBy(F.regexp_extract("source_file", "lang=([a-z]+)/", 1).alias("folder")).agg(F.count("*").alias("n"))
@@ -113,7 +113,7 @@ def s9_source_files(spark, sf_dir):
 @query("o6_limit_per_file", "SELECT lang AS folder, least(count(*), 100) AS n FROM documents GROUP BY lang")
 def o6_limit_per_file(spark, sf_dir):
     path = scratch_path(spark, "o6")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     docs.repartition("lang").write.partitionBy("lang").csv(path)
     back = sources.read_csv_tree(spark, path, names=["doc_id", "source"], multiline=False, with_source=True)
     return limit_per_file(back, 100).groupBy(F.regexp_extract("source_file", "lang=([a-z]+)/", 1).alias("folder")).agg(
@@ -143,7 +143,7 @@ def k2_by_year(spark, sf_dir):
 @query("k3_embeddings", "SELECT doc_id, 32::BIGINT AS n FROM documents")
 def k3_embeddings(spark, sf_dir):
     path = scratch_path(spark, "k3")
-    sinks.write_embeddings(embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", dim=32).drop("text"), path)
+    sinks.write_embeddings(embed(text_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", dim=32).drop("text"), path)
     return sources.read_embeddings(spark, path).select("doc_id", F.size("embedding").cast("long").alias("n"))
 
 

@@ -26,7 +26,7 @@ from topicloom.graph.similarity import node_similarity
 from topicloom.operators.classify import vocabulary
 from topicloom.operators.encode import embed
 from topicloom.plans import pipelines
-from topicloom.plans.proxy import proxy_graph, proxy_hierarchy, table
+from topicloom.plans.proxy import proxy_graph, proxy_hierarchy, table, text_table
 
 # --- ontology -------------------------------------------------------------------------------
 
@@ -263,7 +263,7 @@ POSTS = r"""
 SELECT id, 1::BIGINT AS post_type_id, year, body, role || ',' || o_orderstatus AS tags
 FROM ({clean_sql('html', POSTS, 'id, role, o_orderstatus, year')})""")
 def e3_posts(spark, sf_dir):
-    joined = table(spark, sf_dir, "conversations").join(table(spark, sf_dir, "orders"), F.col("conv_id") == F.col("o_orderkey"))
+    joined = text_table(spark, sf_dir, "conversations").join(table(spark, sf_dir, "orders"), F.col("conv_id") == F.col("o_orderkey"))
     raw = joined.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("_Id"),
         F.when(F.col("role") == "assistant", 2).otherwise(1).alias("_PostTypeId"), F.col("o_orderdate").alias("_CreationDate"),
@@ -287,7 +287,7 @@ SELECT doc_id AS src, topic AS dst FROM (
 WHERE topic IN (SELECT name FROM terms)""")
 def e5_paper_topics(spark, sf_dir):
     terms = benchmark_terms(spark, sf_dir)
-    papers = table(spark, sf_dir, "documents").select(
+    papers = text_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("eid"), F.col("source").alias("title"), F.col("text").alias("abstract"), F.lit("").alias("keywords"))
     return pipelines.paper_topics_pipeline(papers, vocabulary(terms), term_tree(terms), terms)
 

@@ -17,7 +17,7 @@ from topicloom.operators.fuzzy import fuzzy_match
 from topicloom.operators.linking import link_topics
 from topicloom.operators.people import author_affiliations, paper_authors
 from topicloom.operators.topk import top_k_per_key
-from topicloom.plans.proxy import table
+from topicloom.plans.proxy import table, text_table
 
 
 def quoted(text: str) -> str:
@@ -54,7 +54,7 @@ FROM (SELECT {key}, {decoded_sql('stripped')} AS plain
 
 @query("n3_clean_html", clean_sql("html", "pages", "page_id"))
 def n3_clean_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", clean_html("html").alias("body"))
+    return text_table(spark, sf_dir, "pages").select("page_id", clean_html("html").alias("body"))
 
 
 LEVELS = "CASE p_size % 5 WHEN 0 THEN 'Senior' WHEN 1 THEN 'Jr' WHEN 2 THEN 'Lead' WHEN 3 THEN 'Staff' ELSE 'Mid-Level' END"
@@ -101,7 +101,7 @@ FROM (SELECT word, {ONE_BYTE.format('word')} AS a FROM doc_words)
 JOIN (SELECT name, {ONE_BYTE.format('name')} AS b FROM terms)
   ON abs(length(a) - length(b)) <= 1 AND levenshtein(a, b) <= 1""")
 def n5_fuzzy_match(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(tokens("text")).alias("keyword"))
+    words = text_table(spark, sf_dir, "documents").select(F.explode(tokens("text")).alias("keyword"))
     return fuzzy_match(words, benchmark_terms(spark, sf_dir), max_dist=1)
 
 
@@ -167,12 +167,12 @@ entries AS (
 SELECT DISTINCT regexp_extract(entry, '^([^,]+)', 1) AS author, regexp_extract(entry, '^[^,]+,\s*(.*)', 1) AS affiliation
 FROM entries WHERE regexp_extract(entry, '^([^,]+)', 1) <> '' AND regexp_extract(entry, '^[^,]+,\s*(.*)', 1) <> ''""")
 def n7_author_affiliations(spark, sf_dir):
-    return author_affiliations(table(spark, sf_dir, "documents"), col="text", sep=".")
+    return author_affiliations(text_table(spark, sf_dir, "documents"), col="text", sep=".")
 
 
 @query("n7_paper_authors", f"WITH {SENTENCES} SELECT DISTINCT entry AS author, doc_id FROM entries WHERE entry <> ''")
 def n7_paper_authors(spark, sf_dir):
-    return paper_authors(table(spark, sf_dir, "documents"), key="doc_id", col="text", sep=".")
+    return paper_authors(text_table(spark, sf_dir, "documents"), key="doc_id", col="text", sep=".")
 
 
 TERM_TREE = "term_tree AS (SELECT name AS src, 'starts_' || substr(name, 1, 2) AS dst FROM terms)"
@@ -197,7 +197,7 @@ def term_tree(terms):
 
 def classified(spark, sf_dir, **options):
     terms = benchmark_terms(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return classify_topics(docs, vocabulary(terms), term_tree(terms), key="doc_id", text_cols=("source", "text"), **options)
 
 
@@ -225,7 +225,7 @@ word_places AS (
 ),
 word_sums AS (SELECT {key}, i, sum(sign)::DOUBLE AS x FROM word_places GROUP BY {key}, i),
 word_vectors AS (
-  SELECT s.{key}, i, x / norm AS x FROM word_sums s
+  SELECT s.{key}, i, (x / norm)::FLOAT::DOUBLE AS x FROM word_sums s
   JOIN (SELECT {key}, sqrt(sum(x * x)) AS norm FROM word_sums GROUP BY {key}) n ON n.{key} = s.{key} WHERE x <> 0
 )"""
 
@@ -233,7 +233,7 @@ word_vectors AS (
 @query("n2_embed", f"WITH {embedded_sql('conv_turn', '(SELECT conv_id * 1000 + turn AS conv_turn, text FROM conversations)', 'text', 64)} "
                    f"SELECT conv_turn, i, {rounded('x', 5)} AS x FROM word_vectors")
 def n2_embed(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_turn"), "text")
+    turns = text_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_turn"), "text")
     places = embed(turns, "text", dim=64).select("conv_turn", F.posexplode("embedding").alias("i", "x"))
     return places.where(F.col("x") != 0).select(
         "conv_turn", F.col("i").cast("long").alias("i"), round_half_up(F.col("x").cast("double"), 5).alias("x"))

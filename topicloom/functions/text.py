@@ -125,11 +125,12 @@ def ngrams(words: Column, n_max: int = 3) -> Column:
     """All runs of 1 to ``n_max`` neighbouring words, joined by ``_``."""
 
     def of(w: Column) -> Column:
-        def runs(n: int) -> Column:
-            return F.transform(
-                F.slice(w, n, F.size(w)), lambda _, i: F.array_join(F.slice(w, i + 1, n), "_")
-            )
-
-        return F.concat(w, *[runs(n) for n in range(2, n_max + 1)])
+        runs = [w]
+        for n in range(2, n_max + 1):
+            longer = F.greatest(F.size(w) - (n - 1), F.lit(0))
+            runs.append(F.zip_with(
+                F.slice(runs[-1], F.lit(1), longer), F.slice(w, F.lit(n), longer), lambda a, b: F.concat(a, F.lit("_"), b)
+            ))
+        return F.concat(*runs)
 
     return _once(words, of)

@@ -56,10 +56,14 @@ def betweenness(
     carried = levels[-1].withColumn("delta", empty)
     parts = []
     for nearer in reversed(levels[:-1]):
+        given = carried.select(
+            "source", F.col("node").alias("dst"), ((1.0 + F.col("delta")) / F.col("paths")).alias("given")
+        )
         passed = (
-            carried.select("source", F.col("node").alias("dst"), ((1.0 + F.col("delta")) / F.col("paths")).alias("given"))
-            .join(links, "dst")
-            .groupBy("source", F.col("src").alias("node"))
+            nearer.join(links, nearer["node"] == links["src"])
+            .select("source", "node", "dst")
+            .join(given, ["source", "dst"])
+            .groupBy("source", "node")
             .agg(F.sum("given").alias("given"))
         )
         carried = cut_lineage(

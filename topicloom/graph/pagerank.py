@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,7 @@ def pagerank(
     """``id, rank`` after ``iters`` rounds, the ranks adding up to 1.
 
     ``nodes`` has column ``id``, ``edges`` has ``src, dst`` with both ends among the nodes.
-    The rank of a node without outgoing edges is spread over all nodes. If such nodes have no
-    incoming edges either, as in an undirected graph, their share is known in advance; otherwise
-    it is a one-row subquery over the ranks of the round before.
+    The rank of a sink, a node without outgoing edges, is spread over all nodes.
     """
     ids = cut_lineage(nodes.select("id").distinct())
     n = ids.count()
@@ -26,27 +26,59 @@ def pagerank(
     shares = cut_lineage(edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("share")))
     sinks = cut_lineage(ids.join(out.select(F.col("src").alias("id")), "id", "left_anti"))
     n_sinks = sinks.count()
-    isolated = n_sinks == 0 or sinks.join(shares.select(F.col("dst").alias("id")), "id", "left_semi").isEmpty()
+    ends = shares.select(F.col("dst").alias("id")).distinct()
+    if n_sinks == 0 or sinks.join(ends, "id", "left_semi").isEmpty():
+        return _with_lone_sinks(ids, n, shares, n_sinks, damping, iters, cut_every)
+    return _with_reached_sinks(ids, n, shares, sinks, damping, iters)
+
+
+def _passed_on(ranks: DataFrame, shares: DataFrame) -> DataFrame:
+    return (
+        ranks.join(shares, ranks["id"] == shares["src"])
+        .groupBy(F.col("dst").alias("id"))
+        .agg(F.sum(F.col("rank") * F.col("share")).alias("rank"))
+    )
 
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    alone = 1.0 / n
+
+def _with_lone_sinks(
+    ids: DataFrame, n: int, shares: DataFrame, n_sinks: int, damping: float, iters: int, cut_every: int
+) -> DataFrame:
+    """Nothing points at a sink, as in an undirected graph: all sinks share one known rank."""
+    ranks, alone = ids.withColumn("rank", F.lit(1.0 / n)), 1.0 / n
     for i in range(1, iters + 1):
-        if isolated:
-            mass = F.lit(n_sinks * alone)
-            alone = (1 - damping) / n + damping * n_sinks * alone / n
-        else:
-            ranks = cut_lineage(ranks)
-            lost = ranks.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)))
-            mass = lost.scalar()
-        received = (
-            ranks.join(shares, ranks["id"] == shares["src"])
-            .groupBy(F.col("dst").alias("id"))
-            .agg(F.sum(F.col("rank") * F.col("share")).alias("received"))
-        )
+        alone = (1 - damping) / n + damping * n_sinks * alone / n
+        received = _passed_on(ranks, shares)
         ranks = ids.join(received, "id", "left").select(
-            "id",
-            (F.lit((1 - damping) / n) + damping * (mass / n + F.coalesce("received", F.lit(0.0)))).alias("rank"),
+            "id", (F.lit(alone) + damping * F.coalesce("rank", F.lit(0.0))).alias("rank")
         )
-        if isolated and i % cut_every == 0 and i < iters:
+        if i % cut_every == 0 and i < iters:
             ranks = cut_lineage(ranks)
     return ranks
+
+
+def _with_reached_sinks(
+    ids: DataFrame, n: int, shares: DataFrame, sinks: DataFrame, damping: float, iters: int
+) -> DataFrame:
+    """The general case, without asking for the rank of the sinks in every round.
+
+    With P passing ranks along the edges, round t gives r(t) = a(t) + damping * P r(t - 1), where
+    a(t) is the same for all nodes. So r(t) is the sum over j of a(t - j) * damping^j * P^j 1. The
+    powers P^j 1 need no a(t); they end early when no path is that long. Their sums over the
+    sinks then give all a(t), one after the other.
+    """
+    powers = [ids.withColumn("rank", F.lit(1.0))]
+    for _ in range(iters):
+        power = cut_lineage(_passed_on(powers[-1], shares))
+        if power.isEmpty():
+            break
+        powers.append(power)
+    steps = reduce(DataFrame.unionByName, [p.withColumn("step", F.lit(j)) for j, p in enumerate(powers)])
+    lost = dict(steps.join(sinks, "id", "left_semi").groupBy("step").agg(F.sum("rank")).collect())
+    even = [1.0 / n]
+    for t in range(iters):
+        mass = sum(even[t - j] * damping**j * lost.get(j, 0.0) for j in range(t + 1))
+        even.append((1 - damping) / n + damping * mass / n)
+    weighted = [
+        p.select("id", (F.col("rank") * F.lit(even[iters - j] * damping**j)).alias("rank")) for j, p in enumerate(powers)
+    ]
+    return reduce(DataFrame.unionByName, weighted).groupBy("id").agg(F.sum("rank").alias("rank"))

@@ -21,19 +21,26 @@ def denormalize_jobs(jobs: DataFrame, job_industries: DataFrame, industries: Dat
 
 def companies_with_jobs(companies: DataFrame, jobs: DataFrame, key: str = "company_id") -> DataFrame:
     """Companies that posted at least one of the jobs."""
-    posting = jobs.select(key).where(F.col(key).isNotNull())
+    posting = jobs.select(key).where(F.col(key).isNotNull()).distinct()
     return companies.where(F.col(key).isNotNull()).join(posting, key, "left_semi")
 
 
+def _pointed_at(edges: DataFrame) -> DataFrame:
+    """Target ends, each once: hot targets collapse on the map side, before any shuffle."""
+    return edges.select("dst").distinct()
+
+
 def present_in_all(topics: DataFrame, *edges: DataFrame) -> DataFrame:
     """Topics (column ``name``) that every edge set points at."""
-    return reduce(lambda kept, e: kept.join(e, kept["name"] == e["dst"], "left_semi"), edges, topics)
+    ends = [_pointed_at(e) for e in edges]
+    return reduce(lambda kept, e: kept.join(e, kept["name"] == e["dst"], "left_semi"), ends, topics)
 
 
 def only_in(topics: DataFrame, keep: DataFrame, *absent: DataFrame) -> DataFrame:
     """Topics that ``keep`` points at and none of ``absent`` does."""
     found = present_in_all(topics, keep)
-    return reduce(lambda kept, e: kept.join(e, kept["name"] == e["dst"], "left_anti"), absent, found)
+    ends = [_pointed_at(e) for e in absent]
+    return reduce(lambda kept, e: kept.join(e, kept["name"] == e["dst"], "left_anti"), ends, found)
 
 
 def topic_counts(topics: DataFrame, **edges: DataFrame) -> DataFrame:
@@ -61,7 +68,8 @@ def topic_counts(topics: DataFrame, **edges: DataFrame) -> DataFrame:
 def papers_with_subtopic(addresses: DataFrame, subtopic_of: DataFrame, per_parent: bool = True) -> DataFrame:
     """Edges to topics that have a parent: once per parent, or once when ``per_parent`` is off."""
     if not per_parent:
-        return addresses.join(subtopic_of, addresses["dst"] == subtopic_of["src"], "left_semi")
+        children = subtopic_of.select("src").distinct()
+        return addresses.join(children, addresses["dst"] == children["src"], "left_semi")
     parents = subtopic_of.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("parents"))
     repeated = addresses.join(parents, "dst")
     return repeated.select("src", "dst", F.explode(F.sequence(F.lit(1), F.col("parents").cast("int"))).alias("nth"))

@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts. A file with fewer splits than there are cores is spread over them."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def part_topic(key: str) -> Column:
     return F.concat(F.lit("part_"), F.col(key).cast("string"))
 
@@ -57,9 +64,10 @@ def proxy_graph(spark: SparkSession, sf_dir: str) -> Graph:
     lines_by = lineitem.select("l_orderkey", "l_suppkey").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     edges = {
         "SUBTOPIC_OF": proxy_hierarchy(part).select(F.col("child").alias("src"), F.col("parent").alias("dst")),
-        "ADDRESSES_TOPIC": lineitem.select(F.col("l_orderkey").alias("src"), part_topic("l_partkey").alias("dst")).distinct(),
-        "REQUIRES_KNOWLEDGE_OF": lineitem.where(wanted).select(
-            F.col("l_suppkey").alias("src"), part_topic("l_partkey").alias("dst")).distinct(),
+        "ADDRESSES_TOPIC": lineitem.select("l_orderkey", "l_partkey").distinct().select(
+            F.col("l_orderkey").alias("src"), part_topic("l_partkey").alias("dst")),
+        "REQUIRES_KNOWLEDGE_OF": lineitem.where(wanted).select("l_suppkey", "l_partkey").distinct().select(
+            F.col("l_suppkey").alias("src"), part_topic("l_partkey").alias("dst")),
         "IS_TAGGED_WITH": events.where(F.col("event_type") == "view").select(
             F.col("event_id").alias("src"),
             F.concat(F.lit("part_"), ((F.col("user_id") * 13 + k) % n_parts).cast("string")).alias("dst"),

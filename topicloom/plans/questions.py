@@ -14,7 +14,7 @@ from topicloom.graph.similarity import node_similarity
 from topicloom.model import Graph
 from topicloom.operators.aggregates import count_by, growth, sum_if
 from topicloom.operators.joins import (
-    authors_of_pairs, only_in, present_in_all, restrict_to, topic_counts, with_totals,
+    authors_of_pairs, present_in_all, restrict_to, topic_counts, with_totals,
 )
 from topicloom.operators.topk import first_n, top_k_array, top_n
 
@@ -43,11 +43,10 @@ def q1_topic_usage(graph: Graph, n: int | None = 10) -> DataFrame:
 
 def q2_single_domain(graph: Graph, domain: str = "Paper", n: int | None = 10) -> DataFrame:
     """Topics of one domain that the other two lack, by their number of entities there."""
-    edges = _domain_edges(graph)
-    kept = edges.pop(domain)
-    found = only_in(graph.nodes["Topic"], kept, *edges.values())
-    counted = count_by(kept, "dst").join(found, F.col("dst") == F.col("name"), "left_semi")
-    return top_n(counted, [F.desc("count"), "dst"], n).select(F.col("dst").alias("topic"))
+    others = [d for d in DOMAIN_EDGES if d != domain]
+    counts = topic_counts(graph.nodes["Topic"], **_domain_edges(graph))
+    only = counts.where((F.col(domain) > 0) & (F.col(others[0]) == 0) & (F.col(others[1]) == 0))
+    return top_n(only, [F.desc(domain), "name"], n).select(F.col("name").alias("topic"))
 
 
 def q3_all_domains(graph: Graph, n: int | None = 5) -> DataFrame:
