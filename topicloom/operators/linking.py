@@ -112,11 +112,12 @@ def _link_grid(left: DataFrame, right: DataFrame, key_type: str, threshold: floa
     left = left.dropDuplicates(["key", "v"])
     columns = max(1, math.ceil(right.count() / max(1, block)))
     rows = max(1, math.ceil(left.count() / 20_000))
-    cells_left = left.withColumn("e", F.pmod(F.xxhash64("key", "v"), F.lit(rows))).withColumn(
-        "b", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
+    cells_left = left.select(
+        "*", F.pmod(F.xxhash64("key", "v"), F.lit(rows)).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("b")
     )
-    cells_right = right.withColumn("b", F.pmod(F.xxhash64("topic", "v"), F.lit(columns)).cast("int")).withColumn(
-        "e", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long")
+    cells_right = right.select(
+        "*", F.pmod(F.xxhash64("topic", "v"), F.lit(columns)).cast("int").alias("b"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("e"),
     )
     run = _best_matches(threshold, k)
 
