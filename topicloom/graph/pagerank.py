@@ -18,18 +18,28 @@ def pagerank(
     ``nodes`` has column ``id``, ``edges`` has ``src, dst`` with both ends among the nodes.
     The rank of a sink, a node without outgoing edges, is spread over all nodes.
     """
-    ids = cut_lineage(nodes.select("id").distinct())
-    n = ids.count()
+    # Rounds run on numbers instead of names; the checkpoint fixes which number a node has.
+    named = cut_lineage(nodes.select(F.col("id").alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    n = named.count()
     if n == 0:
-        return ids.withColumn("rank", F.lit(0.0))
-    out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    shares = cut_lineage(edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("share")))
+        return named.select(F.col("name").alias("id"), F.lit(0.0).alias("rank"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = cut_lineage(named.select("id").repartition(parts, "id"))
+    links = edges.join(named.select(F.col("name").alias("src"), F.col("id").alias("a")), "src").join(
+        named.select(F.col("name").alias("dst"), F.col("id").alias("b")), "dst"
+    ).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = cut_lineage(links.repartition(parts, "src"))
+    out = links.groupBy("src").agg(F.count("*").alias("out"))
+    # Edges stay where their source is, so a round shuffles nothing but what the nodes receive.
+    shares = cut_lineage(links.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("share")))
     sinks = cut_lineage(ids.join(out.select(F.col("src").alias("id")), "id", "left_anti"))
     n_sinks = sinks.count()
     ends = shares.select(F.col("dst").alias("id")).distinct()
     if n_sinks == 0 or sinks.join(ends, "id", "left_semi").isEmpty():
-        return _with_lone_sinks(ids, n, shares, n_sinks, damping, iters, cut_every)
-    return _with_reached_sinks(ids, n, shares, sinks, damping, iters)
+        ranks = _with_lone_sinks(ids, n, shares, n_sinks, damping, iters, cut_every)
+    else:
+        ranks = _with_reached_sinks(ids, n, shares, sinks, damping, iters)
+    return named.join(ranks, "id").select(F.col("name").alias("id"), "rank")
 
 
 def _passed_on(ranks: DataFrame, shares: DataFrame) -> DataFrame:

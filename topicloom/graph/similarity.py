@@ -39,8 +39,8 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 def _rare_route(sets: DataFrame, cutoff: float) -> DataFrame:
     """Pairs whose first common neighbour is a rare one, measured exactly.
 
-    ``all`` lists the neighbours of a node by (degree, name), the first ``rare`` of them being
-    rare. With a similarity above ``cutoff`` the first common neighbour lies within the first
+    ``all`` lists the numbers of the neighbours of a node in order, the first ``rare`` of them
+    being rare. With a similarity above ``cutoff`` the first common neighbour lies within the first
     ``size - floor(cutoff * size)`` of both lists.
     """
     prefix = F.col("size") - F.floor(F.greatest(F.col("size") * F.lit(cutoff) - F.lit(1e-9), F.lit(0.0))).cast("int")
@@ -66,10 +66,9 @@ def _rare_route(sets: DataFrame, cutoff: float) -> DataFrame:
 
 def _subsets(items: Column) -> Column:
     """All non-empty sub-lists of a short list, in list order."""
-    start = F.array(F.array().cast("array<string>"))
+    start = F.array(F.array().cast("array<bigint>"))
     grown = F.aggregate(
-        F.transform(items, lambda x: x.cast("string")), start,
-        lambda found, x: F.concat(found, F.transform(found, lambda s: F.array_append(s, x))),
+        items, start, lambda found, x: F.concat(found, F.transform(found, lambda s: F.array_append(s, x)))
     )
     return F.filter(grown, lambda s: F.size(s) > 0)
 
@@ -137,9 +136,14 @@ def node_similarity(
     neighbour). ``hot_degree``, ``hot_width`` and ``set_width`` decide which route a pair takes,
     never the result.
     """
-    links = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst").alias("via")).distinct())
-    degrees = links.groupBy("via").agg(F.count("*").alias("degree"))
-    ranked = links.join(degrees, "via").withColumn("is_hot", F.col("degree") > hot_degree)
+    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("name")).distinct()
+    degrees = links.groupBy("name").agg(F.count("*").alias("degree"))
+    # Neighbours become numbers that grow with (degree, name): short rows, and sorted lists for free.
+    numbered = cut_lineage(
+        degrees.orderBy("degree", "name").withColumn("via", F.monotonically_increasing_id())
+    )
+    ranked = cut_lineage(links.join(numbered, "name").select("node", "via", (F.col("degree") > hot_degree).alias("is_hot")))
+    links = ranked.select("node", "via")
 
     stats = ranked.groupBy("node").agg(
         F.count("*").cast("int").alias("size"), F.count_if("is_hot").alias("hots")
@@ -148,7 +152,7 @@ def node_similarity(
     has_hot, has_wide = stats.agg(F.bool_or(F.col("hots") > 0), F.bool_or("wide")).first()
 
     narrow = ranked.join(stats.where("wide").select("node"), "node", "left_anti") if has_wide else ranked
-    items = F.sort_array(F.collect_list(F.struct("degree", "via", "is_hot")))
+    items = F.sort_array(F.collect_list(F.struct("via", "is_hot")))
     sets = narrow.groupBy("node").agg(items.alias("items")).select(
         "node",
         F.size("items").alias("size"),
