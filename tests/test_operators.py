@@ -201,3 +201,14 @@ def test_upsert_parquet(spark, tmp_path, rows):
     new = spark.createDataFrame([(1, "b"), (2, "c")], "id long, n string")
     for _ in range(2):
         assert rows(sinks.upsert_parquet(spark, path, lambda old: upsert_nodes(old, new, "id"))) == [(1, "b"), (2, "c")]
+
+
+def test_graph_is_stored_and_read(spark, tmp_path, rows):
+    from topicloom.model import Graph
+
+    topics = spark.createDataFrame([("a",), ("b",)], "name string")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    sinks.save_graph(Graph({"Topic": topics}, {"SUBTOPIC_OF": edges}), str(tmp_path / "g"))
+    back = sinks.load_graph(spark, str(tmp_path / "g"), ["Topic"], ["SUBTOPIC_OF"])
+    assert rows(back.nodes["Topic"]) == [("a",), ("b",)]
+    assert rows(back.edges["SUBTOPIC_OF"]) == [("a", "b")]
