@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.bpe import bpe_decode, bpe_encode
 from topicloom.llm.common import documents
+from topicloom.llm.packing import harmonic_pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_decode(encoded, ranks, pattern).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query("op4_harmonic_packing")
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = harmonic_pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
