@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ SLICE_BYTES = 4 << 20
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that memory follows the longest text at most."""
     for batch in batches:
-        sizes = [0 if v is None else v for v in pa.compute.binary_length(batch.column(text)).to_pylist()]
+        sizes = [0 if v is None else v for v in pc.binary_length(batch.column(text)).to_pylist()]
         start = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > most:
