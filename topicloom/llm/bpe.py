@@ -24,7 +24,7 @@ from topicloom.llm.common import id_and_text, slices
 
 NONE = 1 << 30
 WIDEST = 64  # leaves of a tree that is a row of a matrix
-CACHED = 250_000  # pieces, and runs without blanks, that a worker remembers
+CACHED = 120_000  # runs that a worker remembers since it last put its older half aside; as many of those, and of pieces
 
 
 def read_ranks(path: str) -> bytes:
@@ -57,6 +57,7 @@ class Bpe:
         self.byte_pairs = self._rank_of(both.ravel()).reshape(256, 256)
         self.pieces: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
 
     def _rank_of(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.pair_keys, keys)
@@ -176,11 +177,17 @@ class Bpe:
             head, *rest = self.BETWEEN.split(text)
             split.append([head, *map(" ".__add__, rest)] if text else [])
         if len(self.runs) > CACHED:
-            self.runs.clear()
+            self.runs, self.old_runs = {}, self.runs
         if len(self.pieces) > CACHED:
             self.pieces.clear()
-        runs = self.runs
-        missing = [run for run in dict.fromkeys(run for part in split for run in part) if run not in runs]
+        runs, old = self.runs, self.old_runs
+        missing = []
+        for run in {run for part in split for run in part}:
+            if run not in runs:
+                if run in old:
+                    runs[run] = old[run]
+                else:
+                    missing.append(run)
         pieces = [[p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(run)] for run in missing]
         self.encode_pieces([p for p in dict.fromkeys(p for part in pieces for p in part) if p not in self.pieces])
         ids = self.pieces.__getitem__
@@ -207,11 +214,14 @@ def loaded(ranks: bytes, pattern: str) -> Bpe:
     return _loaded[key]
 
 
-def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(
+    df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False,
+) -> DataFrame:
     """``doc_id, n_tokens long, ids binary`` for every row; ``ids`` are packed little-endian unsigned 32-bit integers.
 
     Null and empty texts have no ids. Repeated rows and null document ids come out as they came in. Other columns
-    are not read. There is no shuffle; a worker holds one slice of texts and two bounded caches.
+    are not read. There is no shuffle; a worker holds one slice of texts and bounded caches. ``decode`` adds the bytes
+    that the ids decode to, as ``decoded``, without a second worker.
     """
     source = id_and_text(df, id_col, text_col)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
@@ -220,12 +230,14 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         bpe = loaded(ranks.value, pattern)
         for batch in slices(batches):
             packed = bpe.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
-            )
+            columns = [batch.column("doc_id"), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+            if decode:
+                columns.append(pa.array([bpe.decode(p) for p in packed], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    if decode:
+        schema = schema.add("decoded", T.BinaryType())
     return source.mapInArrow(encode, schema)
 
 

@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.bpe import bpe_decode, bpe_encode
+from topicloom.llm.bpe import bpe_encode
 from topicloom.llm.common import documents
 from topicloom.llm.packing import harmonic_pack
+from topicloom.llm.set_join import similar_classes
+from topicloom.llm.sql import JACCARD_CLASSES, REPEATED_PASSAGES
+from topicloom.llm.substring_dedup import remove_repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,8 +32,7 @@ def query(name: str, sql: str | None = None):
 @query("op1_byte_bpe")
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe_encode(documents(spark, sf_dir), ranks, pattern)
-    return bpe_decode(encoded, ranks, pattern).select(
+    return bpe_encode(documents(spark, sf_dir), ranks, pattern, decode=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -41,3 +43,15 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op7_jaccard_join", JACCARD_CLASSES)
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(documents(spark, sf_dir), n=3, similarity_percent=90)
+
+
+@query("op9_substring_dedup", REPEATED_PASSAGES)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(documents(spark, sf_dir), window=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
