@@ -73,9 +73,7 @@ class Packer:
         for doc, start, ids, total in rest:
             while ids:
                 if not room:
-                    size = room = self.capacity if left > self.capacity - self.slack else 1 << left.bit_length() - 1
-                    size = min(size, left)
-                    room = size
+                    room = min(left, self.capacity) if left > self.capacity - self.slack else 1 << left.bit_length() - 1
                 part = ids[:4 * room]
                 held.append((doc, start, part, total))
                 count = len(part) // 4

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.bpe import bpe_encode
 from topicloom.llm.common import documents
+from topicloom.llm.line_dedup import remove_repeated_lines
 from topicloom.llm.packing import harmonic_pack
 from topicloom.llm.set_join import similar_classes
-from topicloom.llm.sql import JACCARD_CLASSES, REPEATED_PASSAGES
+from topicloom.llm.sql import JACCARD_CLASSES, REPEATED_LINES, REPEATED_PASSAGES
 from topicloom.llm.substring_dedup import remove_repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(documents(spark, sf_dir), window=13).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query("op6_line_dedup", REPEATED_LINES)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "lines_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
