@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm.bpe import bpe_encode
-from topicloom.llm.common import documents
+from topicloom.llm.common import documents, written
 from topicloom.llm.line_dedup import remove_repeated_lines
 from topicloom.llm.packing import harmonic_pack
+from topicloom.llm.quality import fit_discriminant, quality, with_statistics
 from topicloom.llm.set_join import similar_classes
 from topicloom.llm.sql import JACCARD_CLASSES, REPEATED_LINES, REPEATED_PASSAGES
 from topicloom.llm.substring_dedup import remove_repeated_passages
+from topicloom.llm.toxicity import fit_toxicity, held_out, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +64,26 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "lines_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out("doc_id", 3, 1)
+    model = fit_toxicity(docs, labels(spark, sf_dir).where(~out))
+    scored = docs.select("doc_id", out.alias("held_out"), toxicity(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out("doc_id", 5, 0)
+    described = with_statistics(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "statistics")
+    described = written(described, "statistics")
+    train = described.join(labels(spark, sf_dir).where(~out).select("doc_id", F.col("quality").alias("label")), "doc_id")
+    model = fit_discriminant(train)
+    scored = described.select("doc_id", out.alias("held_out"), quality(model, F.col("statistics")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
