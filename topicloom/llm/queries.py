@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.bpe import bpe_encode
 from topicloom.llm.common import documents, written
+from topicloom.llm.fingerprint import fingerprint_edits
 from topicloom.llm.line_dedup import remove_repeated_lines
+from topicloom.llm.neighbours import nearest_neighbours
 from topicloom.llm.packing import harmonic_pack
 from topicloom.llm.quality import fit_discriminant, quality, with_statistics
 from topicloom.llm.set_join import similar_classes
@@ -87,3 +89,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_discriminant(train)
     scored = described.select("doc_id", out.alias("held_out"), quality(model, F.col("statistics")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_every=100)
