@@ -16,6 +16,7 @@ from topicloom.llm.neighbours import nearest_neighbours
 from topicloom.llm.packing import harmonic_pack
 from topicloom.llm.quality import fit_discriminant, quality, with_statistics
 from topicloom.llm.set_join import similar_classes
+from topicloom.llm.shards import in_shards, token_sequences
 from topicloom.llm.sql import JACCARD_CLASSES, REPEATED_LINES, REPEATED_PASSAGES
 from topicloom.llm.substring_dedup import remove_repeated_passages
 from topicloom.llm.toxicity import fit_toxicity, held_out, toxicity
@@ -99,3 +100,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_nearest_neighbours")
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_every=100)
+
+
+@query("op2_training_order")
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = token_sequences(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=49407, key=20240117)
+    return in_shards(placed, per_shard=4096).select(
+        "shard", "record", "slot", "doc_id", "part", "n_tokens", F.sha2("bytes", 256).alias("bytes_sha256")
+    )
