@@ -39,6 +39,15 @@ def p4(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", c.to_long(text).alias("nation"))
 
 
+@query("p4_decimal_text", """
+SELECT c_custkey, c_nationkey::BIGINT AS nation, CAST(trunc(c_acctbal) AS BIGINT) AS balance FROM customer""")
+def p4_decimal_text(spark, sf_dir):
+    """Ids written as decimals keep their whole part; so does any decimal text."""
+    key = F.concat(F.col("c_nationkey").cast("string"), F.lit(".0"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", c.to_long(key).alias("nation"), c.to_long(F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("balance"))
+
+
 @query("p5_computed", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem")
 def p5(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from catalog.graphs import proxy_triples
-from catalog.registry import on_graph, query
-from catalog.texts import CLASSIFIED, TERM_TREE, WORDS, classified
+from catalog.registry import on_graph, query, rounded
+from catalog.texts import CLASSIFIED, TERM_TREE, WORDS, classified, embedded_sql
 from topicloom import sinks, sources
-from topicloom.functions.columns import topic_slug
+from topicloom.functions.columns import round_half_up, topic_slug
 from topicloom.operators.encode import embed
 from topicloom.operators.topk import limit_per_file
 from topicloom.operators.upsert import upsert_nodes
@@ -30,8 +30,8 @@ def s2_csv_tree(spark, sf_dir):
     path = scratch_path(spark, "s2")
     schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType())])
     docs = text_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    for lang, folder in (("de", "a/b"), ("en", "a"), ("es", "c"), ("fr", "c/d")):
-        sinks.write_csv(docs.where(F.col("lang") == lang), f"{path}/{folder}/{lang}")
+    docs.withColumns({"folder": F.length("lang"), "language": F.col("lang")}).write.partitionBy("folder", "language").option(
+        "header", True).option("quoteAll", True).option("escape", '"').csv(path)
     return sources.read_csv_tree(spark, path, schema=schema)
 
 
@@ -97,17 +97,17 @@ def s7_triples(spark, sf_dir):
 @query("s8_hierarchy", on_graph("SELECT parent, child FROM hierarchy"))
 def s8_hierarchy(spark, sf_dir):
     path = scratch_path(spark, "s8")
-    sinks.write_hierarchy(proxy_hierarchy(table(spark, sf_dir, "part")), path, children_per_line=100)
+    sinks.write_hierarchy(proxy_hierarchy(table(spark, sf_dir, "part")), path)
     return sources.read_hierarchy(spark, path)
 
 
-@query("s9_source_files", "SELECT lang AS folder, count(*) AS n FROM documents GROUP BY lang")
+@query("s9_source_files", "SELECT lang AS folder, doc_id::VARCHAR AS doc_id, source FROM documents")
 def s9_source_files(spark, sf_dir):
     path = scratch_path(spark, "s9")
     docs = text_table(spark, sf_dir, "documents")
     docs.select("doc_id", "source", "lang").write.partitionBy("lang").csv(path)
     back = sources.read_csv_tree(spark, path, names=["doc_id", "source"], multiline=False, with_source=True)
-    return back.groupBy(F.regexp_extract("source_file", "lang=([a-z]+)/", 1).alias("folder")).agg(F.count("*").alias("n"))
+    return back.select(F.regexp_extract("source_file", "lang=([^/]+)/", 1).alias("folder"), "doc_id", "source")
 
 
 @query("o6_limit_per_file", "SELECT lang AS folder, least(count(*), 100) AS n FROM documents GROUP BY lang")
@@ -116,7 +116,7 @@ def o6_limit_per_file(spark, sf_dir):
     docs = text_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     docs.repartition("lang").write.partitionBy("lang").csv(path)
     back = sources.read_csv_tree(spark, path, names=["doc_id", "source"], multiline=False, with_source=True)
-    return limit_per_file(back, 100).groupBy(F.regexp_extract("source_file", "lang=([a-z]+)/", 1).alias("folder")).agg(
+    return limit_per_file(back, 100).groupBy(F.regexp_extract("source_file", "lang=([^/]+)/", 1).alias("folder")).agg(
         F.count("*").alias("n"))
 
 
@@ -140,19 +140,21 @@ def k2_by_year(spark, sf_dir):
     return back.drop("keywords")
 
 
-@query("k3_embeddings", "SELECT doc_id, 32::BIGINT AS n FROM documents")
+@query("k3_embeddings", f"WITH {embedded_sql('doc_id', 'documents', 'text', 32)} SELECT doc_id, i, {rounded('x', 5)} AS x FROM word_vectors")
 def k3_embeddings(spark, sf_dir):
     path = scratch_path(spark, "k3")
     sinks.write_embeddings(embed(text_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", dim=32).drop("text"), path)
-    return sources.read_embeddings(spark, path).select("doc_id", F.size("embedding").cast("long").alias("n"))
+    places = sources.read_embeddings(spark, path).select("doc_id", F.posexplode("embedding").alias("i", "x"))
+    return places.where(F.col("x") != 0).select(
+        "doc_id", F.col("i").cast("long").alias("i"), round_half_up(F.col("x").cast("double"), 5).alias("x"))
 
 
-@query("k4_hierarchy_json", on_graph("SELECT parent, count(*) AS n FROM hierarchy GROUP BY parent"))
+@query("k4_hierarchy_json", on_graph("SELECT parent, string_agg(child, ',' ORDER BY child) AS children FROM hierarchy GROUP BY parent"))
 def k4_hierarchy_json(spark, sf_dir):
     path = scratch_path(spark, "k4")
     sinks.write_hierarchy(proxy_hierarchy(table(spark, sf_dir, "part")), path)
     lines = spark.read.text(path).select(F.explode(F.from_json("value", HIERARCHY)).alias("parent", "children"))
-    return lines.groupBy("parent").agg(F.sum(F.size("children")).alias("n"))
+    return lines.select("parent", F.array_join("children", ",").alias("children"))
 
 
 @query("k5_classified_csv", f"""WITH {WORDS}, {TERM_TREE}, {CLASSIFIED}
@@ -165,6 +167,19 @@ def k5_classified_csv(spark, sf_dir):
     return sources.read_csv_tree(spark, path, schema=CLASSIFIED_PAPERS, multiline=False)
 
 
+@query("k5_classified_all", f"""WITH {WORDS}, {TERM_TREE}, {CLASSIFIED},
+ranked AS (
+  SELECT doc_id, topic, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic) AS rank FROM scores QUALIFY rank <= 5)
+SELECT d.doc_id::VARCHAR AS eid, coalesce(string_agg(topic, ', ' ORDER BY rank), '') AS result_cso
+FROM documents d LEFT JOIN ranked ON ranked.doc_id = d.doc_id GROUP BY d.doc_id""")
+def k5_classified_all(spark, sf_dir):
+    path = scratch_path(spark, "k5all")
+    papers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("eid"))
+    sinks.write_classified(classified(spark, sf_dir).withColumnRenamed("doc_id", "eid"), path, papers=papers)
+    back = sources.read_csv_tree(spark, path, schema=CLASSIFIED_PAPERS, multiline=False)
+    return back.withColumn("result_cso", F.coalesce("result_cso", F.lit("")))
+
+
 @query("k6_upsert_parquet", """
 SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier""")
 def k6_upsert_parquet(spark, sf_dir):

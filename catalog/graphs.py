@@ -330,3 +330,25 @@ def e7_role_links(spark, sf_dir):
         embed(names, "job_title"), embed(words, "topic"), key="job_title", entity_nodes=names.distinct(), topic_nodes=words,
         threshold=0.4)
     return edges.withColumn("cosine_similarity", round_half_up("cosine_similarity", 5))
+
+
+@query("e7_post_links", f"""WITH
+texts AS (SELECT 'post:' || conv_id || '-' || turn AS id, text || chr(10) || role AS t FROM conversations
+          UNION SELECT DISTINCT 'word:' || w, w FROM (
+            SELECT unnest(string_split_regex(lower(text), '\\s+')) AS w FROM benchmark) WHERE length(w) >= 8),
+{embedded_sql('id', 'texts', 't', 384)},
+pairs AS (
+  SELECT substr(a.id, 6) AS src, substr(b.id, 6) AS dst, sum(a.x * b.x) AS sim FROM word_vectors a JOIN word_vectors b ON a.i = b.i
+  WHERE a.id LIKE 'post:%' AND b.id LIKE 'word:%' GROUP BY a.id, b.id
+)
+SELECT src, dst, {rounded('sim', 5)} AS cosine_similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY {rounded('sim', 5)} DESC, dst) AS rank FROM pairs WHERE sim >= 0.35 QUALIFY rank <= 3)""")
+def e7_post_links(spark, sf_dir):
+    """Posts to topics end to end: body and tags become one text, its vector, and links of 0.35 and more."""
+    posts = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("body"), F.col("role").alias("tags"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("topic"))
+    words = words.where(F.length("topic") >= 8).distinct()
+    edges = pipelines.link_pipeline(
+        pipelines.post_vectors_pipeline(posts), embed(words, "topic"), key="id", entity_nodes=posts.select("id"), topic_nodes=words)
+    return edges.withColumn("cosine_similarity", round_half_up("cosine_similarity", 5))

@@ -285,6 +285,20 @@ def k6(spark, sf_dir):
     return upsert_nodes(once, new.unionByName(new), "id")
 
 
+@query("k6_whole_rows", """
+SELECT l_partkey AS id, l_suppkey AS supplier, l_returnflag AS flag, l_quantity AS quantity, l_orderkey AS source FROM (
+  SELECT *, row_number() OVER (
+    PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_suppkey DESC, l_returnflag DESC, l_quantity DESC, l_orderkey DESC) AS r
+  FROM lineitem)
+WHERE r = 1""")
+def k6_whole_rows(spark, sf_dir):
+    """Of many new rows of one key the latest is taken as it is."""
+    new = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("flag"),
+        F.col("l_quantity").alias("quantity"), F.col("l_orderkey").alias("source"), F.col("l_shipdate").alias("at"))
+    return upsert_nodes(None, new, "id", order="at")
+
+
 @query("k7_upsert_edges", on_graph("SELECT src, dst FROM tagged WHERE src IN (SELECT id FROM post) AND dst IN (SELECT dst FROM requires)"))
 def k7(spark, sf_dir):
     g = proxy_graph(spark, sf_dir)

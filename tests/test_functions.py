@@ -20,7 +20,7 @@ def test_column_names(spark):
 
 
 def test_to_long(spark):
-    assert [one(spark, x, c.to_long) for x in ("12", "x", "", None, "1.0")] == [12, None, None, None, None]
+    assert [one(spark, x, c.to_long) for x in ("12", "x", "", None, "1.0")] == [12, None, None, None, 1]
     assert one(spark, 7.0, c.to_long, "double") == 7
 
 

@@ -37,13 +37,13 @@ def test_presence_joins(spark, rows):
     assert j.papers_with_subtopic(e1, up, per_parent=False).count() == 2
 
 
-def test_chunks_hold_every_value_once(spark):
-    df = spark.createDataFrame([("hot", i % 700) for i in range(2000)] + [("cold", 1), ("cold", None)], "k string, v int")
-    got = a.collect_distinct_by(df, "k", "v", chunk=50).collect()
-    values = [v for r in got if r.k == "hot" for v in r["values"]]
-    assert sorted(values) == list(range(700))
-    assert max(len(r["values"]) for r in got) < 200
-    assert [list(r["values"]) for r in got if r.k == "cold"] == [[1]]
+def test_collected_values_are_one_row_per_key(spark):
+    df = spark.range(50_000).selectExpr("'hot' AS k", "CAST(id % 25000 AS INT) AS v").union(
+        spark.createDataFrame([("cold", 1), ("cold", None)], "k string, v int"))
+    got = {r.k: list(r["values"]) for r in a.collect_distinct_by(df, "k", "v").collect()}
+    assert a.collect_distinct_by(df, "k", "v").count() == 2
+    assert got == {"hot": list(range(25_000)), "cold": [1]}
+    assert a.distinct_by(df, "k", "v").count() == 25_001
 
 
 def test_last_per_key(spark, rows):
@@ -80,6 +80,20 @@ def test_upserts(spark, rows):
     assert rows(upsert_edges(kept, edges.where("w = 0.5"), src, dst, props=["w"])) == [(1, "t", 0.5)]
 
 
+def test_upsert_takes_whole_rows(spark, rows):
+    new = spark.createDataFrame([(1, "zeta", 2001, "a"), (1, "alpha", 2020, "b")], "id long, name string, year int, tag string")
+    assert rows(upsert_nodes(None, new, "id").select("id", "name", "year", "tag")) == [(1, "zeta", 2001, "a")]
+    latest = upsert_nodes(None, new.withColumn("at", new["year"]), "id", order="at")
+    assert rows(latest.select("id", "name", "year", "tag")) == [(1, "alpha", 2020, "b")]
+
+
+def test_long_phrases_are_found(spark):
+    topics = spark.createDataFrame([("very_long_topic_name_indeed",)], "name string")
+    papers = spark.createDataFrame([(1, "a very long topic name indeed", None, None)], "eid long, title string, abstract string, keywords string")
+    up = spark.createDataFrame([], "src string, dst string")
+    assert [r.topic for r in classify_topics(papers, vocabulary(topics), up).collect()] == ["very_long_topic_name_indeed"]
+
+
 def test_people(spark, rows):
     papers = spark.createDataFrame(
         [(1, "Smith J.; Doe A.;", "Smith J., Univ X, City; NoComma; , x; Doe A., Lab"), (2, None, None)],
@@ -125,9 +139,9 @@ def test_fuzzy_match_finds_all_pairs(spark):
 def brute_links(entities, topics, threshold, top):
     best = {}
     for (key, x), (name, y) in itertools.product(entities, topics):
-        if len(x) < 8 or not np.any(x[:8]) or not np.any(y):
+        if len(x) != 8 or not np.any(x) or not np.any(y):
             continue
-        x8 = np.array(x[:8])
+        x8 = np.array(x)
         sim = float(x8 @ y / np.linalg.norm(x8) / np.linalg.norm(y))
         if sim >= threshold:
             best[key, name] = max(sim, best.get((key, name), -1))
@@ -138,11 +152,11 @@ def brute_links(entities, topics, threshold, top):
     return out
 
 
-def test_linking_routes_agree_with_brute_force(spark):
+def test_linking_agrees_with_brute_force_in_any_blocks(spark):
     rng = np.random.default_rng(1)
     entities = [(f"e{i % 40}", rng.normal(size=8).tolist()) for i in range(60)]
     entities += [("zero", [0.0] * 8), ("short", [1.0, 2.0]), ("long", [1.0] * 9)] + [("hot", [1.0] * 8)] * 50
-    topics = [(f"t{i}", rng.normal(size=8)) for i in range(25)] + [("copy_a", np.ones(8)), ("copy_b", np.ones(8)), ("none", np.zeros(8))]
+    topics = [(f"t{i % 20}", rng.normal(size=8)) for i in range(60)] + [("often", np.arange(8) + i / 10) for i in range(9)] + [("copy_a", np.ones(8)), ("copy_b", np.ones(8)), ("none", np.zeros(8))]
     left = spark.createDataFrame(entities, "id string, embedding array<double>")
     right = spark.createDataFrame([(n, v.tolist()) for n, v in topics], "topic string, embedding array<double>")
     want = brute_links(entities, topics, 0.2, 3)
@@ -151,6 +165,23 @@ def test_linking_routes_agree_with_brute_force(spark):
         assert {(r.id, r.topic, round(r.cosine_similarity, 9)) for r in got.collect()} == want
 
 
+def test_linking_encodes_every_row_once(spark):
+    for bound in (None, 4):
+        counted = spark.sparkContext.accumulator(0)
+
+        def encoder():
+            def encode(texts):
+                counted.add(len(texts))
+                return np.array([[len(t), t.count("a"), 1] for t in texts], dtype=float)
+
+            return encode
+
+        entities = embed(spark.range(100).selectExpr("id", "repeat('ab', CAST(id % 7 AS INT)) AS t"), "t", encoder=encoder)
+        topics = embed(spark.range(12).selectExpr("'t' || id AS topic", "repeat('a', CAST(id AS INT)) AS t"), "t", encoder=encoder)
+        assert link_topics(entities, topics, threshold=0.0, k=3, dim=3, max_topics=bound).count() == 300
+        assert counted.value == 112
+
+
 def test_embedding(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, t string")
     got = {r.id: r.embedding for r in embed(df, "t", dim=16).collect()}

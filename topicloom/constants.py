@@ -24,13 +24,12 @@ ROLE_THRESHOLD = 0.4
 POST_THRESHOLD = 0.35
 LINKS_PER_ENTITY = 3
 
-# Root and depth of the topic scope, vector width, topics per paper,
-# papers classified per file, neighbours kept by node similarity.
+# Root and depth of the topic scope, vector width, topics per paper, and
+# neighbours kept by node similarity.
 ROOT_TOPIC = "computer_science"
 SCOPE_DEPTH = 3
 EMBEDDING_DIM = 384
 TOPICS_PER_PAPER = 5
-PAPERS_PER_FILE = 20_000
 SIMILARITY_TOP_K = 10
 
 # Patterns of the source formats.

@@ -25,8 +25,15 @@ def snake_case_columns(df: DataFrame) -> DataFrame:
 
 
 def to_long(c: Column | str) -> Column:
-    """Cast to long; text that is no number gives null instead of an error."""
-    return _col(c).try_cast("long")
+    """Cast to long; text that is no number gives null instead of an error.
+
+    Decimal text loses its fraction: ``"2774458.0"`` is 2774458.
+    """
+    value = _col(c)
+    return F.coalesce(
+        value.try_cast("long"),
+        F.when(value.cast("string").rlike(r"^\s*[+-]?\d+\.\d*\s*$"), F.trim(value.cast("string")).try_cast("decimal(38,6)").try_cast("long")),
+    )
 
 
 def strip(c: Column | str) -> Column:

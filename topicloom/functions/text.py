@@ -27,12 +27,12 @@ BLOCK_TAGS = (
     "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 )
 
-# Applied in this order to raw HTML. Comments and the content of head, script and style go
-# first, headings keep a mark per level, block tags break the line, other tags vanish.
+# Applied in this order to raw HTML. The content of script and style goes first, as a comment
+# mark in it opens no comment, then comments and the head. Headings keep a mark per level, block tags break the line, other tags vanish.
 HTML_STEPS: list[tuple[str, str]] = [
-    (r"(?s)<!--.*?(-->|\z)", ""),
     (r"(?is)<script\b.*?(</script\s*>|\z)", ""),
     (r"(?is)<style\b.*?(</style\s*>|\z)", ""),
+    (r"(?s)<!--.*?(-->|\z)", ""),
     (r"(?is)<head\b.*?(</head\s*>|<body\b[^>]*>|\z)", "\n"),
     *[(rf"(?i)<h{level}\b[^>]*>", "\n" + "#" * level + " ") for level in range(1, 7)],
     (r"(?i)</?(" + "|".join(BLOCK_TAGS) + r")\b[^>]*>", "\n"),

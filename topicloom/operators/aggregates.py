@@ -36,24 +36,22 @@ def distinct_count_by(df: DataFrame, key: str, col: str, name: str = "n") -> Dat
     return df.groupBy(key).agg(F.count_distinct(col).alias(name))
 
 
-def collect_distinct_by(df: DataFrame, key: str, col: str, name: str = "values", chunk: int = 10_000) -> DataFrame:
-    """Per key the sorted distinct values, as ``key, part, values``.
+def distinct_by(df: DataFrame, key: str, col: str) -> DataFrame:
+    """Per key each distinct value that is not null, one per row: the form for keys of any size."""
+    return df.select(key, col).where(F.col(col).isNotNull()).distinct()
 
-    A key with more than ``chunk`` values gets several rows, told apart by ``part``, so no
-    task ever holds an unbounded group; every value is in exactly one row.
+
+def collect_distinct_by(df: DataFrame, key: str, col: str, name: str = "values") -> DataFrame:
+    """Per key one row with the sorted array of its distinct values.
+
+    The array of a key is one value, so it must fit a task; ``distinct_by`` has no such bound.
     """
-    values = df.select(key, col).where(F.col(col).isNotNull()).distinct()
-    sizes = values.groupBy(key).agg(F.ceil(F.count("*") / F.lit(chunk)).alias("parts"))
-    return (
-        values.join(sizes, key)
-        .groupBy(key, F.pmod(F.xxhash64(col), F.col("parts")).alias("part"))
-        .agg(F.sort_array(F.collect_list(col)).alias(name))
-    )
+    return distinct_by(df, key, col).groupBy(key).agg(F.sort_array(F.collect_list(col)).alias(name))
 
 
-def children_by_parent(edges: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """Distinct children per parent as ``parent, part, children``."""
-    return collect_distinct_by(edges, "parent", "child", name="children", chunk=chunk)
+def children_by_parent(edges: DataFrame) -> DataFrame:
+    """Distinct children per parent as ``parent, children``, one row per parent."""
+    return collect_distinct_by(edges, "parent", "child", name="children")
 
 
 def sum_if(cond: Column, col: Column | str) -> Column:

@@ -11,6 +11,9 @@ from topicloom.constants import TOPICS_PER_PAPER
 from topicloom.functions.columns import join_text
 from topicloom.functions.text import ngrams, normalize_keyword, tokens
 from topicloom.operators.topk import top_k_per_key
+from topicloom.runtime import has_at_most
+
+FEW_PHRASES = 200_000  # vocabulary entries that are broadcast; beyond that they are joined
 
 
 def vocabulary(topics: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
@@ -28,7 +31,7 @@ def classify_topics(
     k: int | None = TOPICS_PER_PAPER,
     key: str = "eid",
     text_cols: Sequence[str] = ("title", "abstract", "keywords"),
-    n_max: int = 3,
+    n_max: int | None = None,
     include_direct: bool = True,
 ) -> DataFrame:
     """Topics per paper as ``key, topic, score, rank``: at most ``k``, by (score desc, topic).
@@ -39,8 +42,12 @@ def classify_topics(
     ``src`` (child) and ``dst`` (parent).
 
     Parents are added to the vocabulary rather than to the hits, so the text is split once
-    and hits are summed in one shuffle.
+    and hits are summed in one shuffle. ``n_max`` is the length of the longest phrase of the
+    vocabulary unless it is given. A vocabulary of checked size is broadcast, so that phrases
+    outside of it are dropped where they are found; a larger one meets phrases counted per paper.
     """
+    if n_max is None:
+        n_max = vocab.agg(F.max(F.size(F.split("phrase", "_")))).first()[0] or 1
     direct = vocab.select("phrase", "topic", F.lit(1).alias("weight"), F.lit(1).alias("direct"))
     above = vocab.join(subtopic_of, vocab["topic"] == subtopic_of["src"]).select(
         "phrase", F.col("dst").alias("topic"), F.lit(1).alias("weight"), F.lit(0).alias("direct")
@@ -51,11 +58,12 @@ def classify_topics(
         .agg(F.sum("weight").alias("weight"), F.max("direct").alias("direct"))
     )
     grams = papers.select(key, F.explode(ngrams(tokens(join_text(*text_cols)), n_max)).alias("phrase"))
-    scored = (
-        grams.join(entries, "phrase")
-        .groupBy(key, "topic")
-        .agg(F.sum("weight").alias("score"), F.max("direct").alias("direct"))
-    )
+    if has_at_most(entries, FEW_PHRASES):
+        hits = grams.join(F.broadcast(entries), "phrase")
+    else:
+        counted = grams.groupBy(key, "phrase").agg(F.count("*").alias("times"))
+        hits = counted.join(entries, "phrase").withColumn("weight", F.col("weight") * F.col("times"))
+    scored = hits.groupBy(key, "topic").agg(F.sum("weight").alias("score"), F.max("direct").alias("direct"))
     if not include_direct:
         scored = scored.where(F.col("direct") == 0)
     scored = scored.drop("direct")

@@ -64,5 +64,6 @@ def embed(df: DataFrame, text_col: str, encoder=None, dim: int = EMBEDDING_DIM,
                 rows.extend(encode(values[start:start + batch]).astype("float32"))
             yield pd.Series(rows)
 
-    to_vector = F.pandas_udf(vectors, "array<float>")
+    # Marked as not deterministic, so that Spark computes each vector once and no filter copies the call.
+    to_vector = F.pandas_udf(vectors, "array<float>").asNondeterministic()
     return df.withColumn("embedding", to_vector(blank_if_null(text_col)))

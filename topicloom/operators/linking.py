@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from topicloom.constants import LINKS_PER_ENTITY, POST_THRESHOLD
 from topicloom.operators.topk import top_k_per_key
-from topicloom.runtime import has_at_most
+from topicloom.runtime import cut_lineage
+
+BLOCK_NUMBERS = 16_000_000  # of topic vectors that are broadcast at once: 128 MB
 
 
 def _best_matches(threshold: float, k: int):
     """Kernel: vectors of both sides in, the best ``k`` (row, topic, similarity) per row out.
 
-    Topics must come sorted by name, so that equal similarities are cut in name order. A zero
-    vector has no cosine and matches nothing.
+    ``starts`` are the places where a new topic begins among the topic vectors, which come
+    sorted by topic: a topic counts once per row, at its best, before the cut at ``k``, and equal
+    similarities are cut in name order. A zero vector has no cosine and matches nothing.
     """
 
-    def run(left, right):
+    def run(left, right, starts):
         import numpy as np
 
         def unit(m):
@@ -30,7 +33,8 @@ def _best_matches(threshold: float, k: int):
         out = []
         step = max(1, 4_000_000 // max(1, len(right)))
         for start in range(0, len(left), step):
-            sims = left[start:start + step] @ right.T
+            sims = np.nan_to_num(left[start:start + step] @ right.T, nan=-2.0)
+            sims = np.maximum.reduceat(sims, starts, axis=1)
             rows, cols = np.nonzero(sims >= threshold)
             values = sims[rows, cols]
             order = np.lexsort((cols, -values, rows))
@@ -43,11 +47,9 @@ def _best_matches(threshold: float, k: int):
     return run
 
 
-def _vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """Key and the first ``dim`` numbers; rows without a key or with too short a vector go."""
-    return df.where(F.col(key).isNotNull() & (F.size(vector) >= dim)).select(
-        F.col(key).alias("key"), F.slice(vector, 1, dim).alias("v")
-    )
+def misfits(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
+    """The rows that can't be linked: without a vector, or with one of another length than ``dim``."""
+    return df.where(F.col(vector).isNull() | (F.size(vector) != dim))
 
 
 def link_topics(
@@ -63,75 +65,59 @@ def link_topics(
 ) -> DataFrame:
     """The best ``k`` topics per entity with cosine similarity of at least ``threshold``.
 
-    Up to ``max_topics`` topics (by default 128 MB of them) are broadcast as one matrix, and the
-    entities stay where they are. More topics than that are cut into blocks that meet the
-    entities in a grid of equal cells. Either way a row emits at most ``k`` links per block, so
-    no pair table is built. Repeated keys share their slots: a topic counts once, at its best.
+    Vectors are taken whole and must have ``dim`` numbers; ``misfits`` returns the rows that have
+    not. Topics are broadcast in blocks of at most ``max_topics`` vectors (by default 128 MB of
+    them), one after the other, and the entities stay where they are: each row emits at most ``k``
+    links per block. Vectors of either side are computed once, and written before they are read
+    again. Repeated keys share their slots: a topic counts once, at its best.
     """
-    bound = max_topics if max_topics is not None else 16_000_000 // dim
-    left = _vectors(entities, key, vector, dim)
-    right = _vectors(topics, topic, vector, dim).withColumnRenamed("key", "topic")
+    bound = max(1, max_topics if max_topics is not None else BLOCK_NUMBERS // dim)
+    names = topics.where(F.col(topic).isNotNull()).select(F.col(topic).cast("string").alias("topic"), F.col(vector).alias("v"))
+    names = cut_lineage(names)
+    blocks = max(1, math.ceil(names.count() / bound))
+    # The vectors of one topic lie in one block.
+    names = names.withColumn("block", F.pmod(F.xxhash64("topic"), F.lit(blocks)))
+    left = entities.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    if blocks > 1:
+        left = cut_lineage(left)
     key_type = entities.schema[key].dataType.simpleString()
-    if has_at_most(right, bound):
-        links = _link_broadcast(left, right, key_type, threshold, k)
-    else:
-        links = _link_grid(left, right, key_type, threshold, k, bound)
-    best = links.groupBy("key", "topic").agg(F.max("cosine_similarity").alias("cosine_similarity"))
+    found = None
+    for number in range(blocks):
+        links = _link_block(left, names.where(F.col("block") == number), key_type, threshold, k, dim)
+        if blocks > 1:
+            links = cut_lineage(links)
+        found = links if found is None else found.unionByName(links)
+    best = found.groupBy("key", "topic").agg(F.max("cosine_similarity").alias("cosine_similarity"))
     ranked = top_k_per_key(best, "key", [F.desc("cosine_similarity"), "topic"], k)
     return ranked.select(F.col("key").alias(key), "topic", "cosine_similarity", "rank")
 
 
-def _link_broadcast(left: DataFrame, right: DataFrame, key_type: str, threshold: float, k: int) -> DataFrame:
+def _link_block(left: DataFrame, block: DataFrame, key_type: str, threshold: float, k: int, dim: int) -> DataFrame:
     import numpy as np
 
-    rows = right.orderBy("topic").toPandas()
-    matrix = np.array(rows["v"].tolist(), dtype="float64").reshape(len(rows), -1)
-    shared = left.sparkSession.sparkContext.broadcast((rows["topic"].to_numpy(), matrix))
+    rows = block.where(F.size("v") == dim).select("topic", "v").orderBy("topic").toPandas()
+    of_row = rows["topic"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], of_row[1:] != of_row[:-1]])) if len(rows) else np.empty(0, int)
+    matrix = np.array(rows["v"].tolist(), dtype="float64").reshape(len(rows), dim)
+    shared = left.sparkSession.sparkContext.broadcast((of_row[starts], starts, matrix))
     run = _best_matches(threshold, k)
 
     def kernel(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        names, vectors = shared.value
+        names, starts, vectors = shared.value
         for batch in batches:
+            fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dim), False)
+            batch = batch.filter(fits)
             if not batch.num_rows or not len(names):
                 continue
             mine = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            at, cols, sims = run(mine, vectors)
+            at, cols, sims = run(mine, vectors, starts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), pa.array(names[cols], pa.string()), pa.array(np.asarray(sims))],
                 names=["key", "topic", "cosine_similarity"],
             )
 
     return left.mapInArrow(kernel, f"key {key_type}, topic string, cosine_similarity double")
-
-
-def _link_grid(left: DataFrame, right: DataFrame, key_type: str, threshold: float, k: int, block: int) -> DataFrame:
-    """Entities in E hashed rows, topics in B hashed columns; each cell is one bounded product."""
-    left = left.dropDuplicates(["key", "v"])
-    columns = max(1, math.ceil(right.count() / max(1, block)))
-    rows = max(1, math.ceil(left.count() / 20_000))
-    cells_left = left.select(
-        "*", F.pmod(F.xxhash64("key", "v"), F.lit(rows)).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("b")
-    )
-    cells_right = right.select(
-        "*", F.pmod(F.xxhash64("topic", "v"), F.lit(columns)).cast("int").alias("b"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("e"),
-    )
-    run = _best_matches(threshold, k)
-
-    def cell(mine, theirs):
-        import numpy as np
-        import pandas as pd
-
-        if mine.empty or theirs.empty:
-            return pd.DataFrame({"key": mine["key"][:0], "topic": pd.Series([], dtype=object),
-                                 "cosine_similarity": pd.Series([], dtype=float)})
-        theirs = theirs.sort_values("topic")
-        at, cols, sims = run(np.stack(mine["v"].to_numpy()), np.stack(theirs["v"].to_numpy()))
-        return pd.DataFrame({"key": mine["key"].to_numpy()[at], "topic": theirs["topic"].to_numpy()[cols],
-                             "cosine_similarity": sims})
-
-    schema = f"key {key_type}, topic string, cosine_similarity double"
-    return cells_left.groupBy("e", "b").cogroup(cells_right.groupBy("e", "b")).applyInPandas(cell, schema)

@@ -9,25 +9,23 @@ from pyspark.sql import functions as F
 
 
 def _merge(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
-    """One row per key; for each property the newest value that is not null.
+    """One row per key: a whole new row, whose nulls are filled from the old row.
 
     Old and new rows meet in one aggregation, which also folds repeated keys. Among new rows
-    of one key the greatest ``order`` wins, or without it the greatest value.
+    of one key the one with the greatest ``order`` is taken, or without it, and among equals,
+    the greatest by its properties in the order of the columns; never a mixture of several.
     """
-    age = F.lit(1).alias("_age")
-    rows = new.withColumn("_age", age)
+    rows = new.withColumn("_age", F.lit(1))
     if existing is not None:
         rows = existing.withColumn("_age", F.lit(0)).unionByName(rows, allowMissingColumns=True)
     props = [c for c in rows.columns if c not in (*keys, "_age", order)]
-    newest = ["_age"] + ([order] if order else [])
-
-    def latest(c: str):
-        filled = F.when(F.col(c).isNotNull(), F.struct(*newest, c))
-        return F.max(filled)[c].alias(c)
-
     if not props:
         return rows.select(*keys).distinct()
-    return rows.groupBy(*keys).agg(*[latest(c) for c in props])
+    row = F.struct(*([order] if order else []), *props)
+    picked = rows.groupBy(*keys).agg(
+        F.max(F.when(F.col("_age") == 1, row)).alias("_new"), F.max(F.when(F.col("_age") == 0, row)).alias("_old")
+    )
+    return picked.select(*keys, *[F.coalesce(F.col("_new")[c], F.col("_old")[c]).alias(c) for c in props])
 
 
 def upsert_nodes(existing: DataFrame | None, new: DataFrame, key: str, order: str | None = None) -> DataFrame:

@@ -135,6 +135,18 @@ def topic_vectors_pipeline(
     return embed(scope.select("topic"), "topic", encoder, dim)
 
 
+def role_vectors_pipeline(roles: DataFrame, encoder=None, dim: int = EMBEDDING_DIM) -> DataFrame:
+    """``job_title, embedding`` of the job roles ``name``."""
+    titles = roles.where(F.col("name").isNotNull()).select(F.col("name").alias("job_title")).distinct()
+    return embed(titles, "job_title", encoder, dim)
+
+
+def post_vectors_pipeline(posts: DataFrame, encoder=None, dim: int = EMBEDDING_DIM) -> DataFrame:
+    """``id, embedding`` of posts: the text of a post is its body, a line end and its tags."""
+    texts = posts.where(F.col("id").isNotNull()).select("id", F.concat_ws("\n", F.coalesce("body", F.lit("")), F.coalesce("tags", F.lit(""))).alias("text"))
+    return embed(texts, "text", encoder, dim).drop("text")
+
+
 def link_pipeline(
     entities: DataFrame, topics: DataFrame, key: str, entity_nodes: DataFrame, topic_nodes: DataFrame,
     threshold: float = POST_THRESHOLD, k: int = LINKS_PER_ENTITY, dim: int = EMBEDDING_DIM,

@@ -16,10 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts. A file with fewer splits than there are cores is spread over them."""
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table of long texts; how it is split is up to the session's split size."""
+    return table(spark, sf_dir, name)
 
 
 def part_topic(key: str) -> Column:

@@ -46,15 +46,21 @@ def write_embeddings(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_classified(topics: DataFrame, path: str, key: str = "eid") -> None:
-    """One row per paper with its topics as ``a, b, c`` in rank order (a handful per paper)."""
+def write_classified(topics: DataFrame, path: str, key: str = "eid", papers: DataFrame | None = None) -> None:
+    """One row per paper with its topics as ``a, b, c`` in rank order (a handful per paper).
+
+    ``papers`` holds the keys of all papers that were classified; those without a topic get an empty text.
+    """
     ranked = F.transform(F.sort_array(F.collect_list(F.struct("rank", "topic"))), lambda x: x["topic"])
-    write_csv(topics.groupBy(key).agg(joined(ranked).alias("result_cso")), path)
+    rows = topics.groupBy(key).agg(joined(ranked).alias("result_cso"))
+    if papers is not None:
+        rows = papers.select(key).distinct().join(rows, key, "left").withColumn("result_cso", F.coalesce("result_cso", F.lit("")))
+    write_csv(rows, path)
 
 
-def write_hierarchy(edges: DataFrame, path: str, children_per_line: int = 10_000) -> None:
-    """JSON lines ``{"parent": ["child", ...]}``; a parent with very many children takes several lines."""
-    lines = children_by_parent(edges, chunk=children_per_line)
+def write_hierarchy(edges: DataFrame, path: str) -> None:
+    """JSON lines ``{"parent": ["child", ...]}``, one per parent."""
+    lines = children_by_parent(edges)
     lines.select(F.to_json(F.create_map("parent", "children")).alias("value")).write.mode("overwrite").text(path)
 
 
@@ -76,10 +82,18 @@ def load_graph(spark: SparkSession, path: str, labels: list[str], types: list[st
 def upsert_parquet(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Replace the Parquet set at ``path`` by ``merge`` of its rows.
 
-    A folder cannot be read and overwritten in one job, so the result is first written whole
-    beside it; should the second step fail, ``<path>.staged`` holds the complete new rows.
+    A folder cannot be read and overwritten in one job, so the result is written once, beside
+    it, and the folders change names; the old rows are then ``<path>.before``. A run that stops
+    between the two renames leaves no ``path``, and the next call goes on from the old rows.
     """
-    staged = f"{path.rstrip('/')}.staged"
-    merge(spark.read.parquet(path)).write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    here, staged, before = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".staged", ".before"))
+    files = here.getFileSystem(conf)
+    if not files.exists(here) and files.exists(before):
+        files.rename(before, here)
+    merge(spark.read.parquet(path)).write.mode("overwrite").parquet(staged.toString())
+    files.delete(before, True)
+    if not files.rename(here, before) or not files.rename(staged, here):
+        raise OSError(f"could not put {staged} in the place of {path}")
+    spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)
