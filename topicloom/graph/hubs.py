@@ -24,25 +24,41 @@ def hubs(
     by: str = "degree",
     iters: int = 20,
     sources: int | None = None,
+    measures: Sequence[str] = ("degree", "pagerank"),
 ) -> DataFrame:
-    """``label, key, degree, pagerank, rank`` of the best connected nodes of each label.
+    """``label, key``, the ``measures`` and ``rank`` of the best connected nodes of each label.
 
-    ``by`` is ``degree``, ``pagerank`` or ``betweenness``; the last needs ``sources``, the number
-    of nodes shortest paths start from, and adds a column. Ties go by key. ``k=None`` keeps all.
+    Measures are ``degree``, ``pagerank`` and ``betweenness``; the one of ``by`` is always among
+    them, and only those asked for are computed. Betweenness needs ``sources``, the number of
+    nodes shortest paths start from. Ties go by key. ``k=None`` keeps all.
     """
-    nodes, edges = project_graph(graph, labels, types)
-    nodes, edges = cut_lineage(nodes), cut_lineage(edges.select("src", "dst").distinct())
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    scored = (
-        nodes.join(degree, "id", "left")
-        .withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
-        .join(pagerank(nodes, edges, iters=iters).withColumnRenamed("rank", "pagerank"), "id")
-    )
-    columns = ["label", "key", "degree", "pagerank"]
-    if sources is not None:
-        scored = scored.join(betweenness(nodes, edges, sources=sources, directed=False), "id")
-        columns.append("betweenness")
-    scored = scored.select(*columns)
+    wanted = [m for m in ("degree", "pagerank", "betweenness") if m in measures or m == by or m == "betweenness" and sources is not None]
+    if "betweenness" in wanted and sources is None:
+        raise ValueError("betweenness needs sources, the number of nodes shortest paths start from")
+    named, edges = project_graph(graph, labels, types)
+    # Nodes are numbered once, and every measure runs on numbers; edges of two types never have the same ends.
+    named = cut_lineage(named.withColumnRenamed("id", "name").withColumn("id", F.monotonically_increasing_id()))
+    numbers = named.select("name", "id")
+    edges = edges.join(numbers.select(F.col("name").alias("src"), F.col("id").alias("a")), "src").join(
+        numbers.select(F.col("name").alias("dst"), F.col("id").alias("b")), "dst")
+    edges = cut_lineage(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    scored = named
+    if "degree" in wanted:
+        degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+        scored = scored.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+    if "pagerank" in wanted:
+        ranks = pagerank(named.select("id"), edges, iters=iters, numbered=True)
+        scored = scored.join(ranks.withColumnRenamed("rank", "pagerank"), "id")
+    if "betweenness" in wanted:
+        # Sources are drawn by name, so names stand for numbers here.
+        by_name = edges.join(numbers.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(
+            numbers.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst"
+        ).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        between = betweenness(named.select(F.col("name").alias("id")), by_name, sources=sources, directed=False)
+        scored = scored.join(between.withColumnRenamed("id", "name"), "name")
+    scored = scored.select("label", "key", *wanted)
     if k is None:
         return scored
-    return top_k_per_key(scored, "label", [F.desc(by), "key"], k)
+    # Values that differ in their last digits only, by the order of additions, are ties.
+    value = F.col(by) if by == "degree" else F.round(by, 13)
+    return top_k_per_key(scored, "label", [F.desc(value), "key"], k)

@@ -4,60 +4,85 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.runtime import cut_lineage
 
+EDGES_PER_SALT = 100_000  # of one source in one place
+
 
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iters: int = 20, cut_every: int = 5
+    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iters: int = 20, cut_every: int = 5, numbered: bool = False
 ) -> DataFrame:
     """``id, rank`` after ``iters`` rounds, the ranks adding up to 1.
 
     ``nodes`` has column ``id``, ``edges`` has ``src, dst`` with both ends among the nodes.
-    The rank of a sink, a node without outgoing edges, is spread over all nodes.
+    The rank of a sink, a node without outgoing edges, is spread over all nodes. ``numbered`` says
+    that ids are distinct whole numbers already.
     """
     # Rounds run on numbers instead of names; the checkpoint fixes which number a node has.
-    named = cut_lineage(nodes.select(F.col("id").alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    if numbered:
+        named = nodes.select(F.col("id").alias("name"), "id")
+    else:
+        named = cut_lineage(nodes.select(F.col("id").alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()))
     n = named.count()
     if n == 0:
         return named.select(F.col("name").alias("id"), F.lit(0.0).alias("rank"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = cut_lineage(named.select("id").repartition(parts, "id"))
-    links = edges.join(named.select(F.col("name").alias("src"), F.col("id").alias("a")), "src").join(
+    links = edges.select("src", "dst") if numbered else edges.join(
+        named.select(F.col("name").alias("src"), F.col("id").alias("a")), "src").join(
         named.select(F.col("name").alias("dst"), F.col("id").alias("b")), "dst"
     ).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    links = cut_lineage(links.repartition(parts, "src"))
-    out = links.groupBy("src").agg(F.count("*").alias("out"))
-    # Edges stay where their source is, so a round shuffles nothing but what the nodes receive.
-    shares = cut_lineage(links.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("share")))
+    links = cut_lineage(links)
+    out = cut_lineage(links.groupBy("src").agg(F.count("*").alias("out")))
+    # Edges are dealt by their source and by a salt, so that a source of many edges lies in several partitions, and
+    # kept on disk in a form whose partitioning the plan knows: a round moves ranks, never edges. A lost part is made
+    # again from the checkpoint.
+    salted = links.join(out, "src").select(
+        "src", F.pmod(F.xxhash64("dst"), _salts(F.col("out"))).alias("salt"), "dst", (F.lit(1.0) / F.col("out")).alias("share")
+    )
+    shares = salted.repartition(parts, "src", "salt").persist(StorageLevel.DISK_ONLY)
+    out = out.select("src", _salts(F.col("out")).alias("salts"))
     sinks = cut_lineage(ids.join(out.select(F.col("src").alias("id")), "id", "left_anti"))
     n_sinks = sinks.count()
     ends = shares.select(F.col("dst").alias("id")).distinct()
     if n_sinks == 0 or sinks.join(ends, "id", "left_semi").isEmpty():
-        ranks = _with_lone_sinks(ids, n, shares, n_sinks, damping, iters, cut_every)
+        ranks = _with_lone_sinks(ids, n, shares, out, n_sinks, damping, iters, cut_every)
     else:
-        ranks = _with_reached_sinks(ids, n, shares, sinks, damping, iters)
+        ranks = _with_reached_sinks(ids, n, shares, out, sinks, damping, iters)
+    ranks = cut_lineage(ranks)
+    shares.unpersist()
     return named.join(ranks, "id").select(F.col("name").alias("id"), "rank")
 
 
-def _passed_on(ranks: DataFrame, shares: DataFrame) -> DataFrame:
+def _salts(out: Column) -> Column:
+    """Over how many salts the edges of a source are dealt."""
+    return F.ceil(out / F.lit(EDGES_PER_SALT)).cast("long")
+
+
+def _passed_on(ranks: DataFrame, shares: DataFrame, out: DataFrame) -> DataFrame:
+    """The rank that each node receives: a rank goes to every salt of its node, and from there along the edges."""
+    sent = ranks.join(out, ranks["id"] == out["src"]).select(
+        "src", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    )
     return (
-        ranks.join(shares, ranks["id"] == shares["src"])
+        sent.join(shares, ["src", "salt"])
         .groupBy(F.col("dst").alias("id"))
         .agg(F.sum(F.col("rank") * F.col("share")).alias("rank"))
     )
 
 
 def _with_lone_sinks(
-    ids: DataFrame, n: int, shares: DataFrame, n_sinks: int, damping: float, iters: int, cut_every: int
+    ids: DataFrame, n: int, shares: DataFrame, out: DataFrame, n_sinks: int, damping: float, iters: int, cut_every: int
 ) -> DataFrame:
     """Nothing points at a sink, as in an undirected graph: all sinks share one known rank."""
     ranks, alone = ids.withColumn("rank", F.lit(1.0 / n)), 1.0 / n
     for i in range(1, iters + 1):
         alone = (1 - damping) / n + damping * n_sinks * alone / n
-        received = _passed_on(ranks, shares)
+        received = _passed_on(ranks, shares, out)
         ranks = ids.join(received, "id", "left").select(
             "id", (F.lit(alone) + damping * F.coalesce("rank", F.lit(0.0))).alias("rank")
         )
@@ -67,7 +92,7 @@ def _with_lone_sinks(
 
 
 def _with_reached_sinks(
-    ids: DataFrame, n: int, shares: DataFrame, sinks: DataFrame, damping: float, iters: int
+    ids: DataFrame, n: int, shares: DataFrame, out: DataFrame, sinks: DataFrame, damping: float, iters: int
 ) -> DataFrame:
     """The general case, without asking for the rank of the sinks in every round.
 
@@ -78,7 +103,7 @@ def _with_reached_sinks(
     """
     powers = [ids.withColumn("rank", F.lit(1.0))]
     for _ in range(iters):
-        power = cut_lineage(_passed_on(powers[-1], shares))
+        power = cut_lineage(_passed_on(powers[-1], shares, out))
         if power.isEmpty():
             break
         powers.append(power)

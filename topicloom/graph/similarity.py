@@ -81,13 +81,16 @@ def _frequent_route(sets: DataFrame, cutoff: float, k: int) -> DataFrame:
     """
     nodes = sets.where(F.size("hot") > 0).select("node", "size", F.sort_array("hot").alias("hot"))
     members = top_k_per_key(nodes, ["hot", "size"], "node", k + 1).drop("rank")
-    spread = members.select("node", "size", F.explode(_subsets(F.col("hot"))).alias("shared"))
+    # A similarity above the cutoff takes more than cutoff * size shared neighbours; smaller subsets, whose
+    # groups are the largest, are not even listed.
+    telling = F.filter(_subsets(F.col("hot")), lambda s: F.size(s) > F.col("size") * F.lit(cutoff))
+    spread = members.select("node", "size", F.explode(telling).alias("shared"))
     groups = top_k_per_key(spread, ["shared", "size"], "node", k + 1).select(
         "shared", F.col("size").alias("other_size"), F.col("node").alias("neighbour")
     )
     classes = nodes.select("hot", "size").distinct()
     offers = (
-        classes.select("hot", "size", F.explode(_subsets(F.col("hot"))).alias("shared"))
+        classes.select("hot", "size", F.explode(telling).alias("shared"))
         .join(groups, "shared")
         .withColumn("similarity", _jaccard(F.size("shared"), F.col("size"), F.col("other_size")))
         .where(F.col("similarity") > cutoff)

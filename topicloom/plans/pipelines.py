@@ -24,6 +24,7 @@ from topicloom.operators.joins import companies_with_jobs, denormalize_jobs
 from topicloom.operators.linking import link_topics
 from topicloom.operators.people import author_affiliations, paper_authors
 from topicloom.operators.upsert import hierarchy_to_graph, upsert_edges, upsert_nodes
+from topicloom.runtime import cut_lineage
 
 # The properties a paper node keeps.
 PAPER_COLUMNS = (
@@ -34,7 +35,8 @@ PAPER_COLUMNS = (
 
 def papers_pipeline(raw: DataFrame) -> Graph:
     """Paper, Author and Affiliation nodes with AUTHORED and AFFILIATED_WITH edges."""
-    papers = normalize_column_names(raw)
+    # The raw files are read and cleaned once; nodes and edges are made of the written rows.
+    papers = cut_lineage(normalize_column_names(raw))
     nodes = upsert_nodes(None, papers.select(*[c for c in PAPER_COLUMNS if c in papers.columns]), "eid")
     written = paper_authors(papers)
     pairs = author_affiliations(papers)
@@ -63,8 +65,9 @@ def jobs_pipeline(
         .where(has_word("industry_name", words))
         .withColumn("company_id", to_long("company_id"))
     )
+    jobs = cut_lineage(jobs)  # read by five of the six outputs
     roles = jobs.dropna(subset=["title"]).select("job_id", normalize_title("title").alias("name")).distinct()
-    known = companies.withColumn("company_id", to_long("company_id"))
+    known = cut_lineage(companies.withColumn("company_id", to_long("company_id")))
     return Graph(
         {
             "Job": upsert_nodes(None, jobs, "job_id"),

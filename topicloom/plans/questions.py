@@ -116,6 +116,12 @@ def q6_similar_papers(graph: Graph, cutoff: float = 0.3, k: int = 3, n: int | No
     """Papers with their most similar papers as an array of ``{title, sim}``."""
     near = similar_papers(graph, cutoff, k)
     papers = graph.nodes["Paper"].select("eid", "title")
+    near = near.join(papers.select(F.col("eid").alias("neighbour")), "neighbour", "left_semi")
+    near = near.join(papers.select(F.col("eid").alias("paper")), "paper", "left_semi")
+    if n is not None:
+        # The papers are chosen before titles are fetched and arrays are made.
+        chosen = first_n(near.select("paper").distinct(), "paper", n)
+        near = near.join(F.broadcast(chosen), "paper", "left_semi")
     titled = near.join(papers.select(F.col("eid").alias("neighbour"), F.col("title")), "neighbour")
     top = top_k_array(titled, "paper", "rank", k, ["title", "sim"], name="top_similar")
     named = top.join(papers, F.col("paper") == F.col("eid")).select(
@@ -156,7 +162,7 @@ def q7_similar_authors(graph: Graph, cutoff: float = 0.8, k: int = 3, n: int | N
 
 def q8_hubs(
     graph: Graph, labels: Sequence[str] = HUB_LABELS, types: Sequence[str] = HUB_TYPES, k: int | None = 10,
-    by: str = "degree", sources: int | None = None,
+    by: str = "degree", sources: int | None = None, measures: Sequence[str] = ("degree", "pagerank"),
 ) -> DataFrame:
     """Hub candidates per label on the full graph."""
-    return hubs(graph, labels, types, k=k, by=by, sources=sources)
+    return hubs(graph, labels, types, k=k, by=by, sources=sources, measures=measures)

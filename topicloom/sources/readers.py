@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,8 +97,15 @@ def with_source_position(df: DataFrame) -> DataFrame:
     )
 
 
-def read_xml_rows(spark: SparkSession, path: str, row_tag: str, schema: StructType) -> DataFrame:
-    """One row per ``row_tag`` element; attributes are columns with a leading underscore."""
+def read_xml_rows(spark: SparkSession, path: str, row_tag: str, schema: StructType, one_per_line: bool = False) -> DataFrame:
+    """One row per ``row_tag`` element; attributes are columns with a leading underscore.
+
+    A file is read by one task, unless ``one_per_line`` says that every element is a line of its own:
+    then a large file is read in splits, and lines that are no such element are passed over.
+    """
+    if one_per_line:
+        lines = spark.read.text(path).where(F.col("value").rlike(rf"^\s*<{re.escape(row_tag)}[\s/>]"))
+        return lines.select(F.from_xml("value", schema).alias("row")).select("row.*")
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
