@@ -141,6 +141,31 @@ def g7_leiden(spark, sf_dir):
     return leiden(proxy_graph(spark, sf_dir).edges["SUBTOPIC_OF"])
 
 
+CLIQUES = """
+members AS (SELECT p_partkey AS id, p_brand AS brand, min(p_partkey) OVER (PARTITION BY p_brand) AS head FROM part WHERE p_size <= 10)"""
+
+
+def _clique_edges(spark, sf_dir) -> DataFrame:
+    """Small parts of one brand all joined with each other; the first parts of brands joined in a ring by single bridges."""
+    part = table(spark, sf_dir, "part").where("p_size <= 10").select("p_brand", F.col("p_partkey").alias("src"))
+    inside = part.join(part.withColumnRenamed("src", "dst"), "p_brand").where("src < dst").select("src", "dst")
+    heads = part.groupBy("p_brand").agg(F.min("src").alias("src"))
+    nearest = heads.withColumnRenamed("src", "dst").withColumnRenamed("p_brand", "other")
+    bridges = heads.join(nearest, F.col("other") > F.col("p_brand")).groupBy("p_brand").agg(
+        F.first("src").alias("src"), F.min_by("dst", "other").alias("dst")).select("src", "dst")
+    return inside.unionByName(bridges)
+
+
+@query("g6_louvain_cliques", f"WITH {CLIQUES} SELECT id AS node, head AS community FROM members")
+def g6_louvain_cliques(spark, sf_dir):
+    return louvain(_clique_edges(spark, sf_dir))
+
+
+@query("g7_leiden_cliques", f"WITH {CLIQUES} SELECT id AS node, head AS community FROM members")
+def g7_leiden_cliques(spark, sf_dir):
+    return leiden(_clique_edges(spark, sf_dir))
+
+
 def brandes_sql(edges: str, sources: str, levels: int, scale: float) -> str:
     """Brandes' method unrolled: levels of (source, node, paths), then deltas backwards."""
     parts = [f"level_0 AS MATERIALIZED (SELECT id AS source, id AS node, 1.0::DOUBLE AS paths FROM {sources})"]
@@ -192,6 +217,15 @@ def g9_hubs(spark, sf_dir):
     return scored.withColumn("pagerank", round_half_up(F.col("pagerank") * 1000, 6))
 
 
+@query("g9_hubs_by_pagerank", on_graph(
+    f"""SELECT label, key, {rounded('r * 1000', 6)} AS pagerank, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(r, 13) DESC, key) AS rank FROM full_degree JOIN rank_20 USING (id))
+WHERE rank <= 5""", FULL_GRAPH, rank_rounds("full_degree", "full_edges")))
+def g9_hubs_by_pagerank(spark, sf_dir):
+    ranked = hubs(proxy_graph(spark, sf_dir), k=5, by="pagerank", measures=())
+    return ranked.withColumns({"pagerank": round_half_up(F.col("pagerank") * 1000, 6), "rank": F.col("rank").cast("long")})
+
+
 # --- entities -------------------------------------------------------------------------------
 
 

@@ -86,6 +86,7 @@ def test_html(spark):
         "<style>p{}</style><script>var a='<p>';</script>Hi<!-- no <b> -->": "hi",
         "<head><title>T</title></head><body><h2>Top</h2>a<br>b</body>": "## top a b",
         "a &amp;lt; b &#39;q&#x27; &#8364; &unknown; &copy; R&D": "a &lt; b q € &unknown; (c) r&d",
+        "<script>var a=\"<!--\";</script><p>Body text stays</p>": "body text stays",
         "cut <a href=\"x": "cut", None: "", "": "",
     }
     for body, want in cases.items():

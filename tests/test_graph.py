@@ -6,9 +6,12 @@ import pytest
 
 from topicloom.graph.betweenness import betweenness
 from topicloom.graph.communities import leiden, louvain
+from topicloom.graph import pagerank as pagerank_module
 from topicloom.graph.components import connected_components, symmetric
+from topicloom.graph.hubs import hubs
 from topicloom.graph.ontology import canonical_hierarchy, descendants
 from topicloom.graph.pagerank import pagerank
+from topicloom.graph.projection import project_graph
 from topicloom.graph.similarity import node_similarity
 from topicloom.model import Graph
 from topicloom.plans import questions as q
@@ -87,6 +90,17 @@ def test_pagerank(spark, both_ways):
     assert all(abs(got[i] - want[i]) < 1e-12 for i in range(n))
 
 
+def test_pagerank_of_a_heavy_source(spark, monkeypatch):
+    """One source holds a third of all edges; its edges lie under several salts."""
+    monkeypatch.setattr(pagerank_module, "EDGES_PER_SALT", 4)
+    edges = [(0, i) for i in range(1, 31)] + [(i, (i * 7) % 31) for i in range(1, 31)] + [(i, (i * 3 + 1) % 31) for i in range(1, 31)]
+    edges = sorted({(a, b) for a, b in edges if a != b})
+    nodes = spark.createDataFrame([(i,) for i in range(31)], "id long")
+    got = {r.id: r["rank"] for r in pagerank(nodes, spark.createDataFrame(edges, "src long, dst long")).collect()}
+    want = brute_pagerank(31, edges)
+    assert all(abs(got[i] - want[i]) < 1e-12 for i in range(31))
+
+
 def test_components(spark):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("x", "y"), ("z", "z")]
     got = dict(connected_components(spark.createDataFrame(chain, "src string, dst string")).collect())
@@ -204,3 +218,27 @@ def test_similar_papers_and_authors(graph):
     rows = q.q7_similar_authors(graph, n=None).collect()
     assert [(r.paper, r.neighbour, list(r.paper_authors), list(r.similar_paper_authors)) for r in rows] == [
         (2, 3, ["ann"], ["ann", "bob"]), (3, 2, ["ann", "bob"], ["ann"])]
+
+
+def test_hub_measures(graph):
+    labels, types = ["Paper", "Topic"], ["ADDRESSES_TOPIC", "SUBTOPIC_OF"]
+    nodes, edges = project_graph(graph, labels, types)
+    want = {r.id: r.betweenness for r in betweenness(nodes.select("id"), edges.select("src", "dst"), sources=5, directed=False).collect()}
+    got = hubs(graph, labels, types, k=None, by="betweenness", sources=5, measures=())
+    assert got.columns == ["label", "key", "betweenness"]
+    assert {f"{r.label}:{r.key}": r.betweenness for r in got.collect()} == pytest.approx(want)
+    assert hubs(graph, labels, types, k=2, by="degree", measures=()).columns == ["label", "key", "degree", "rank"]
+    top = hubs(graph, labels, types, k=1, by="pagerank").collect()
+    every = hubs(graph, labels, types, k=None).collect()
+    for r in top:
+        assert r.pagerank == pytest.approx(max(e.pagerank for e in every if e.label == r.label))
+    with pytest.raises(ValueError):
+        hubs(graph, labels, types, by="betweenness")
+
+
+@pytest.mark.parametrize("orientation", ["NATURAL", "REVERSE"])
+def test_directed_projection(graph, orientation):
+    _, edges = project_graph(graph, ["Paper", "Topic"], ["ADDRESSES_TOPIC"], orientation)
+    stored = {(f"Paper:{r.src}", f"Topic:{r.dst}") for r in graph.edges["ADDRESSES_TOPIC"].collect()}
+    got = {(r.src, r.dst) for r in edges.collect()}
+    assert got and got <= (stored if orientation == "NATURAL" else {(b, a) for a, b in stored})

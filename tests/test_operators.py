@@ -218,9 +218,24 @@ def test_xml_rows(spark, tmp_path):
     assert (got[0]["_Body"], got[0]["_Tags"], got[0]["_CreationDate"].year, got[1]["_Body"]) == ("<p>x</p>", "<a>", 2012, None)
 
 
+def test_xml_in_splits_equals_whole_files(spark, tmp_path):
+    path = tmp_path / "many.xml"
+    rows_ = "".join(f'  <row Id="{i}" PostTypeId="1" Body="&lt;b&gt;{i}&lt;/b&gt;" />\n' for i in range(9000))
+    path.write_text(f'<?xml version="1.0" encoding="utf-8"?>\n<posts>\n{rows_}</posts>\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        split = sources.read_xml_rows(spark, str(path), "row", POSTS_XML, one_per_line=True)
+        assert split.rdd.getNumPartitions() > 5
+        whole = sources.read_xml_rows(spark, str(path), "row", POSTS_XML)
+        assert split.exceptAll(whole).isEmpty() and split.count() == whole.count() == 9000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_hierarchy_documents(spark, tmp_path, rows):
     edges = spark.createDataFrame([("r", f"c{i}") for i in range(30)] + [("c1", "d")], "parent string, child string")
-    sinks.write_hierarchy(edges, str(tmp_path / "lines"), children_per_line=7)
+    sinks.write_hierarchy(edges, str(tmp_path / "lines"))
     assert rows(sources.read_hierarchy(spark, str(tmp_path / "lines"))) == rows(edges)
     (tmp_path / "one.json").write_text('{\n "a": ["b",\n "c"],\n "b": []\n}')
     assert rows(sources.read_hierarchy(spark, str(tmp_path / "one.json"), single_document=True)) == [("a", "b"), ("a", "c")]
