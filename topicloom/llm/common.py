@@ -78,4 +78,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_and_text(df: DataFrame, id_col: str, text_col: str, blank: bool = True) -> DataFrame:
     """Just the two columns an operator reads, so that no other column can clash; null texts become empty."""
     text = F.col(text_col).cast("string")
-    return df.select(F.col(id_col).alias("doc_id"), (F.coalesce(text, F.lit("")) if blank else text).alias("text"))
+    # Without an alias of the same name, equal shuffles of two branches of a plan are seen to be equal and made once.
+    number = F.col(id_col) if id_col == "doc_id" else F.col(id_col).alias("doc_id")
+    return df.select(number, (F.coalesce(text, F.lit("")) if blank else text).alias("text"))
