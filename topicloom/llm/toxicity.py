@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import slices
+from topicloom.llm.common import slices, written
 
 WORD = re.compile(r"\w+")
 HEAD = 4  # least length of a lexicon entry, and the part of a word by which entries are looked up
@@ -134,7 +134,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    most_rows: int = 6000, most_terms: int = 400, least_texts: int = 6, least_lift: float = 25.0,
+    most_rows: int = 6000, most_terms: int = 1000, least_texts: int = 4, least_lift: float = 14.0,
 ) -> Model:
     """Learn from labelled rows; ``labels`` must hold the training rows alone.
 
@@ -145,7 +145,8 @@ def fit_toxicity(
     prior = (counts.get(1, 0) + 1e-3) / (sum(counts.values()) + 2e-3) if counts else 1e-3
     if not counts.get(1) or not counts.get(0):
         return Model({}, np.zeros(10), np.ones(10), np.append(np.zeros(10), np.log(prior / (1 - prior))))
-    texts = rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
+    texts = rows.groupBy("text").agg(F.max("label").alias("label"))
+    texts = written(texts, "labelled-texts")
 
     def count_terms(wanted: frozenset | None):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
