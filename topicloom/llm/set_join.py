@@ -6,10 +6,11 @@ key. Heavy (large) sets are entered in inverted lists. A list is kept per hash r
 one more range than elements may differ, some range is equal in both sets, and its key is the sum of its elements, so a
 frequent shingle does not make a long list. The boundary is the size at which the keys of all sets cost least.
 
-Lists are first reduced to a star: everything in a list is compared with its smallest member only. What that connects
-needs no comparison any more; afterwards members of a list that are still in different classes are compared. So a
-group of thousands of copies costs a comparison per copy, and no link between classes is lost. Every candidate pair is
-verified on the whole sets.
+A list is first reduced to a star: everything in it is compared with its smallest member only, its hub, and what that
+connects needs no comparison any more. The members of a hub that are still in different classes are then compared with
+each other in blocks of bounded size, by products of incidence matrices; a block gives back which of its sets are
+connected, not the pairs. So a group of thousands of near copies makes a few rows per copy, and no link between classes
+is lost. Every comparison is exact and on whole sets.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ from topicloom.runtime import has_at_most
 
 MOST_LACKING = 2  # elements that a subset of a light set may lack; with more there are too many subsets
 LIST_WEIGHT = 4  # cost of an entry of an inverted list, in subsets: it is met by chance more often
+OUTLINE = 256  # counts by which a pair is tried before whole sets are compared
+BLOCK = 200_000  # elements of the sets that one side of a block holds
+SETS = 400  # that one side of a block holds
+COLUMNS = 1024  # of an incidence matrix at once
+FEW_KEYS = 2_000_000  # shared keys that are broadcast, some 100 MB; beyond that they are joined
 FEW_IDS = 500_000  # candidate ids that are broadcast; beyond that they are joined
 
 
@@ -154,19 +160,56 @@ def _elements(source: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            packed = [shingles(t, n).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "elements"])
+            found = [shingles(t, n) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary()),
+                pa.array([outline(x).tobytes() for x in found], pa.binary()),
+            ], names=["doc_id", "elements", "outline"])
 
-    return wanted.mapInArrow(sets, T.StructType([source.schema["doc_id"], T.StructField("elements", T.BinaryType())]))
+    return wanted.mapInArrow(sets, T.StructType([
+        source.schema["doc_id"], T.StructField("elements", T.BinaryType()), T.StructField("outline", T.BinaryType()),
+    ]))
 
 
-def _verified(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` that are alike enough, as ``src, dst``."""
+def outline(s: np.ndarray) -> np.ndarray:
+    """How many elements of a set have each remainder."""
+    return np.bincount((s & np.uint64(OUTLINE - 1)).astype(np.int64), minlength=OUTLINE).astype("<u4" if len(s) > 1 << 16 else "<u2")
+
+
+def _possible(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` whose outlines leave room for the similarity: no like pair is lost, and whole sets need not move."""
+    a = elements.select(F.col("doc_id").alias("a"), F.col("outline").alias("of_a"))
+    b = elements.select(F.col("doc_id").alias("b"), F.col("outline").alias("of_b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counts(x) -> np.ndarray:
+            return np.frombuffer(x.as_buffer(), "<u2" if len(x.as_buffer()) == 2 * OUTLINE else "<u4").astype(np.int64)
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
+                x, y = counts(x), counts(y)
+                most = np.minimum(x, y).sum()
+                keep.append(bool(den * most >= num * (x.sum() + y.sum() - most)))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
+
+    kind = elements.schema["doc_id"].dataType
+    joined = pairs.join(a, "a").join(b, "b").select("a", "of_a", "b", "of_b")
+    return joined.mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _with_elements(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     a = elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("of_a"))
     b = elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("of_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "of_a", "b", "of_b")
+
+
+def _verified(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` that are alike enough, as ``src, dst``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "of_b"):
             keep = []
             for x, y in zip(batch.column("of_a"), batch.column("of_b")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -179,8 +222,88 @@ def _verified(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> Data
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["src", "dst"])
 
     kind = elements.schema["doc_id"].dataType
-    joined = pairs.join(a, "a").join(b, "b").select("a", "of_a", "b", "of_b")
-    return joined.mapInArrow(compare, T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]))
+    return _with_elements(pairs, elements).mapInArrow(compare, T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]))
+
+
+def _in_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the keys whose members are in several classes by now, with their class."""
+    near = connected_components(links)
+    placed = members.join(near, members["rep"] == near["node"], "left").select(
+        *members.columns, F.coalesce("component", "rep").alias("component")
+    )
+    several = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
+    return written(placed.join(several.select("key"), "key", "left_semi"), "open-keys")
+
+
+def connected(alike: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the smallest row it is connected with."""
+    label = np.arange(len(alike))
+    while True:
+        near = np.where(alike, label[None, :], len(alike)).min(1, initial=len(alike))
+        new = np.minimum(label, near)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def alike_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets are alike enough, by the product of their incidence matrix with itself, some columns at a time."""
+    sizes = np.array([len(x) for x in sets])
+    which = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Elements of one set alone are shared by none.
+    several = count[column] > 1
+    which, column = which[several], (np.cumsum(count > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    which, column = which[order], column[order]
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64  # counts must be exact
+    shared = np.zeros((len(sets), len(sets)), kind)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), kind)
+        held[which[a:b], column[a:b] - start] = 1
+        shared += held @ held.T
+    shared = shared.astype(np.int64)
+    return den * shared >= num * (sizes[:, None] + sizes[None, :] - shared)
+
+
+def _within_hubs(open_: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``src, dst`` that connect the like ones among the members of each hub."""
+    kind = elements.schema["doc_id"].dataType
+    pairs = open_.where("rep <> hub").select("hub", "rep").distinct()
+    pairs = pairs.join(pairs.groupBy("hub").count().where("count > 1").select("hub"), "hub", "left_semi")
+    sized = pairs.join(elements.select(F.col("doc_id").alias("rep"), "elements"), "rep")
+    blocks = sized.groupBy("hub").agg(
+        F.ceil(F.greatest(F.sum(F.octet_length("elements")) / (8 * BLOCK), F.count(F.lit(1)) / SETS)).cast("int").alias("blocks"),
+        F.count(F.lit(1)).alias("n"),
+    ).where("n > 1").select("hub", "blocks")
+    dealt = sized.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "elements")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"]]
+        label = connected(alike_sets(sets, num, den)) if len(sets) > 1 else np.arange(len(sets))
+        at = np.flatnonzero(label != np.arange(len(label)))
+        reps = table["rep"].combine_chunks()
+        return pa.table([reps.take(pa.array(label[at])), reps.take(pa.array(at))], names=["src", "dst"])
+
+    schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])
+    return dealt.groupBy("hub", "i", "j").applyInArrow(compare, schema)
+
+
+def _linked(entries: DataFrame, source: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links ``src, dst`` that connect every two like sets that share a key."""
+    # A set has a key once, so a key that is counted twice belongs to two sets.
+    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = written(hubs.select("key", "hub"), "hubs")
+    members = written(entries.join(F.broadcast(hubs) if has_at_most(hubs, FEW_KEYS) else hubs, "key"), "shared-keys")
+    elements = written(_elements(source, members.select("rep").distinct(), n), "candidate-sets")
+    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = written(_possible(stars, elements, num, den), "possible-pairs")
+    links = written(_verified(stars, elements, num, den), "links")
+    return links.unionByName(written(_within_hubs(_in_classes(members, links), elements, num, den), "links"))
 
 
 def similar_classes(
@@ -190,9 +313,9 @@ def similar_classes(
 
     Words are runs of anything but blank and 0x09 to 0x0D, with A-Z lower-cased; a set holds the distinct runs of
     ``n`` words. Two texts link if ``100 * shared >= similarity_percent * united``. ``component_id`` is the smallest
-    id reachable by links. Null and blank texts have an empty set and are their own class. Rows that share an id are
-    one node: each has its own ``n_shingles``, and links of either hold for both. Rows with a null id come out with a
-    null class. Other columns are not read.
+    id reachable by links. Null and blank texts have an empty set and are their own class. Rows that repeat an id and
+    a text are alike; if the texts differ, each row has the class of its own set. Rows with a null id come out with a
+    null class. An empty table gives no rows. Other columns are not read.
     """
     num, den = similarity_percent, 100
     source = id_and_text(df, id_col, text_col)
@@ -207,33 +330,12 @@ def similar_classes(
     ).otherwise(F.coalesce("light", "heavy"))
     distinct = known.select("digest", "doc_id", keys.alias("keys")).where(F.col("keys").isNotNull())
     distinct = distinct.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "keys")).alias("s")).select("s.*")
-    entries = _entries(distinct)
-    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top")
-    members = written(entries.join(hubs.select("key", "hub"), "key"), "shared-keys")
-    elements = written(_elements(source, members.select("rep").distinct(), n), "candidate-sets")
-
-    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    star_links = written(_verified(stars, elements, num, den), "star-links")
-    near = connected_components(star_links)
-    placed = members.join(near, members["rep"] == near["node"], "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
-    placed = written(placed.join(open_keys.select("key"), "key", "left_semi").distinct(), "open-keys")
-    groups = placed.select("key", "component").distinct()
-    left = groups.withColumnRenamed("component", "c")
-    right = groups.withColumnRenamed("component", "d")
-    met = left.join(right, "key").where("c < d")
-    met = met.join(placed.select("key", F.col("component").alias("c"), F.col("rep").alias("a")), ["key", "c"])
-    met = met.join(placed.select("key", F.col("component").alias("d"), F.col("rep").alias("b")), ["key", "d"])
-    across = written(_verified(met.select("a", "b").distinct(), elements, num, den), "links-across")
-    linked = connected_components(star_links.unionByName(across))
+    linked = connected_components(_linked(_entries(distinct), source, n, num, den))
 
     named = classes.join(linked, classes["rep"] == linked["node"], "left").select(
         "digest", F.coalesce("component", "rep").alias("of_set")
     )
     rows = sets.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    # Rows that share an id but not a set are one node, too.
     return rows.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id")).alias("component_id")
     )
