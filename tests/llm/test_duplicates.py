@@ -59,6 +59,21 @@ def test_classes_agree_with_brute_force(spark):
         assert {tuple(r) for r in similar_classes(df, n, percent).collect()} == brute_classes(texts, n, percent)
 
 
+def test_sets_that_lack_nothing_link_with_larger_ones(spark):
+    """9 shingles in 10 at 90 percent and 4 in 5 at 80 percent: the smaller set is contained in the larger."""
+    for n, percent, sizes in ((3, 90, range(3, 32)), (5, 80, range(5, 24))):
+        texts = []
+        for size in sizes:
+            words = [f"s{size}w{i}" for i in range(size)]
+            texts += [" ".join(words), " ".join(["before", *words]), " ".join([*words, "after"])]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        want = brute_classes(texts, n, percent)
+        assert {tuple(r) for r in similar_classes(df, n, percent).collect()} == want
+        least = {3: 11, 5: 8}[n]
+        linked = {texts[i].count(" ") + 1 for i, _, c in want if i != c}
+        assert min(linked) == least + 1
+
+
 def test_a_large_group_of_near_copies_agrees_with_brute_force(spark):
     """Copies that differ from each other by a few edits each: most lists hold many classes after the first stars."""
     rng = random.Random(8)

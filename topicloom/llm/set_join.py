@@ -107,7 +107,7 @@ def _described(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 s = shingles(text, n)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                alone = lacking(len(s), num, den) == 0  # has no partner but equal sets
+                alone = len(s) * den // num == len(s)  # no larger partner, so none but equal sets
                 light.append(subset_keys(s, num, den).tobytes() if len(s) <= largest_light and not alone else None)
                 heavy.append(range_keys(s, num, den).tobytes() if not alone else None)
             yield pa.RecordBatch.from_arrays([
