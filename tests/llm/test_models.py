@@ -66,6 +66,16 @@ def test_toxicity_learns_beginnings_of_words(spark):
     assert np.mean([(r.s >= 0.7) == bool(r.y) for r in got]) > 0.97
 
 
+def test_frequent_neutral_terms_displace_no_mark(spark):
+    """Over 20,000 terms stand in more toxic texts than the mark does, and in as many others."""
+    common = " ".join(f"{i:05d}neutral" for i in range(12_000))
+    rows = [(i, f"{common} no{i}" + (" zorgon" if i < 5 else ""), 1) for i in range(8)]
+    rows += [(10 + i, f"{common} own{i}", 0) for i in range(10)] + [(20 + i, f"plain text {i}", 0) for i in range(30)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = fit_toxicity(train, train.select("doc_id", "toxic"))
+    assert "zorgon" in model.terms and not any("neutral" in t for t in model.terms)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     model = fit_toxicity(odd, spark.createDataFrame([(1, 1), (5, 0), (None, 1), (9, None)], "doc_id long, toxic int"))
     got = odd.select(toxicity(model, F.col("text")).alias("s"), held_out("doc_id", 3, 1).alias("h")).collect()

@@ -140,6 +140,8 @@ def fit_toxicity(
 
     At most ``most_rows`` rows of each label are used, drawn by the hash of their id. Rows without id or label are
     left out. Without toxic or without other rows every text scores the share of toxic labels (0 if there is none).
+    The lexicon holds the ``most_terms`` terms of the largest count times log of lift, among those in ``least_texts``
+    toxic texts and with a lift of ``least_lift`` at least; terms beyond that mark nothing.
     """
     rows, counts = _sampled(docs, labels, id_col, text_col, label_col, most_rows)
     prior = (counts.get(1, 0) + 1e-3) / (sum(counts.values()) + 2e-3) if counts else 1e-3
@@ -148,28 +150,24 @@ def fit_toxicity(
     texts = rows.groupBy("text").agg(F.max("label").alias("label"))
     texts = written(texts, "labelled-texts")
 
-    def count_terms(wanted: frozenset | None):
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                seen = Counter()
-                for text in batch.column("text").to_pylist():
-                    found = entries_of(text)
-                    seen.update(found if wanted is None else found & wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
-
-        return count
-
-    marks = texts.where("label = 1").select("text").mapInArrow(count_terms(None), "term string, n bigint")
-    marks = marks.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least_texts)
-    marks = {r["term"]: r["n"] for r in marks.orderBy(F.desc("n"), "term").limit(20_000).collect()}
-    others = texts.where("label = 0").select("text").mapInArrow(count_terms(frozenset(marks)), "term string, n bigint")
-    others = {r["term"]: r["n"] for r in others.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            seen = {0: Counter(), 1: Counter()}
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+                seen[label].update(entries_of(text))
+            for label, found in seen.items():
+                n, none = pa.array(found.values(), pa.int64()), pa.array([0] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.keys(), pa.string()), *([n, none] if label else [none, n])], names=["term", "n", "others"])
+
     sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    lifts = {
-        t: (n + 0.5) / (sizes.get(1, 0) + 1) * (sizes.get(0, 0) + 1) / (others.get(t, 0) + 0.5) for t, n in marks.items()
-    }
-    best = sorted((t for t in lifts if lifts[t] >= least_lift), key=lambda t: (-marks[t] * np.log(lifts[t]), t))[:most_terms]
-    terms = {t: (k % GROUPS, float(np.log(lifts[t]))) for k, t in enumerate(best)}
+    counted = texts.select("label", "text").mapInArrow(count_terms, "term string, n bigint, others bigint")
+    counted = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("others").alias("others")).where(F.col("n") >= least_texts)
+    # Terms are ranked when their lift is known: frequent terms without a lift take no place.
+    lift = (F.col("n") + 0.5) / (sizes.get(1, 0) + 1) * (sizes.get(0, 0) + 1) / (F.col("others") + 0.5)
+    marks = counted.withColumn("lift", lift).where(F.col("lift") >= least_lift)
+    best = marks.orderBy(F.desc(F.col("n") * F.log("lift")), "term").limit(most_terms).collect()
+    terms = {r["term"]: (k % GROUPS, float(np.log(r["lift"]))) for k, r in enumerate(best)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms)
