@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom import sinks, sources
@@ -165,6 +166,26 @@ def test_linking_agrees_with_brute_force_in_any_blocks(spark):
         assert {(r.id, r.topic, round(r.cosine_similarity, 9)) for r in got.collect()} == want
 
 
+def test_linking_takes_no_vectors_to_the_driver(spark, monkeypatch):
+    """A topic of more vectors than a block holds is dealt into blocks; nothing is collected or broadcast."""
+    rng = np.random.default_rng(4)
+    entities = [(f"e{i}", rng.normal(size=8).tolist()) for i in range(30)]
+    topics = [("hot", rng.normal(size=8)) for _ in range(40)] + [(f"t{i}", rng.normal(size=8)) for i in range(6)]
+    left = spark.createDataFrame(entities, "id string, embedding array<double>")
+    right = spark.createDataFrame([(n, v.tolist()) for n, v in topics], "topic string, embedding array<double>")
+
+    def refuse(*args, **options):
+        raise AssertionError("vectors went to the driver")
+
+    with monkeypatch.context() as patch:
+        for frame in {type(left), DataFrame}:
+            patch.setattr(frame, "toPandas", refuse)
+        patch.setattr(type(spark.sparkContext), "broadcast", refuse)
+        links = link_topics(left, right, threshold=0.2, k=3, dim=8, max_topics=5)
+    got = {(r.id, r.topic, round(r.cosine_similarity, 9)) for r in links.collect()}
+    assert got == brute_links(entities, topics, 0.2, 3)
+
+
 def test_linking_encodes_every_row_once(spark):
     for bound in (None, 4):
         counted = spark.sparkContext.accumulator(0)

@@ -11,7 +11,7 @@ from topicloom.constants import LINKS_PER_ENTITY, POST_THRESHOLD
 from topicloom.operators.topk import top_k_per_key
 from topicloom.runtime import cut_lineage
 
-BLOCK_NUMBERS = 16_000_000  # of topic vectors that are broadcast at once: 128 MB
+TASK_NUMBERS = 2_000_000  # of the vectors of either side that a task holds at once: 16 MB
 
 
 def _best_matches(threshold: float, k: int):
@@ -66,58 +66,57 @@ def link_topics(
     """The best ``k`` topics per entity with cosine similarity of at least ``threshold``.
 
     Vectors are taken whole and must have ``dim`` numbers; ``misfits`` returns the rows that have
-    not. Topics are broadcast in blocks of at most ``max_topics`` vectors (by default 128 MB of
-    them), one after the other, and the entities stay where they are: each row emits at most ``k``
-    links per block. Vectors of either side are computed once, and written before they are read
-    again. Repeated keys share their slots: a topic counts once, at its best.
+    not. Topic vectors are dealt into blocks of about ``max_topics`` (by default 16 MB of them) by
+    the hash of topic and vector, the entities into parts of at most that size, and every block
+    meets every part in a task; no vector passes through the driver. A row emits at most ``k``
+    links per block, each topic at its best there: a topic among the best ``k`` of all is among
+    the best ``k`` of the block that holds its best vector. Vectors of either side are computed
+    once, and written before they are read again. Repeated keys share their slots: a topic counts
+    once, at its best.
     """
-    bound = max(1, max_topics if max_topics is not None else BLOCK_NUMBERS // dim)
+    bound = max(1, max_topics if max_topics is not None else TASK_NUMBERS // dim)
     names = topics.where(F.col(topic).isNotNull()).select(F.col(topic).cast("string").alias("topic"), F.col(vector).alias("v"))
-    names = cut_lineage(names)
-    blocks = max(1, math.ceil(names.count() / bound))
-    # The vectors of one topic lie in one block.
-    names = names.withColumn("block", F.pmod(F.xxhash64("topic"), F.lit(blocks)))
     left = entities.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
-    if blocks > 1:
-        left = cut_lineage(left)
-    key_type = entities.schema[key].dataType.simpleString()
-    found = None
-    for number in range(blocks):
-        links = _link_block(left, names.where(F.col("block") == number), key_type, threshold, k, dim)
-        if blocks > 1:
-            links = cut_lineage(links)
-        found = links if found is None else found.unionByName(links)
+    # Equal rows of either side make equal links; without them no hash is hot.
+    names, left = (cut_lineage(side).where(F.size("v") == dim).distinct() for side in (names, left))
+    blocks = max(1, math.ceil(names.count() / bound))
+    tasks = 2 * left.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(tasks / blocks), math.ceil(left.count() / max(1, TASK_NUMBERS // dim)))
+    found = _links_of_blocks(left, parts, names, blocks, threshold, k)
     best = found.groupBy("key", "topic").agg(F.max("cosine_similarity").alias("cosine_similarity"))
     ranked = top_k_per_key(best, "key", [F.desc("cosine_similarity"), "topic"], k)
     return ranked.select(F.col("key").alias(key), "topic", "cosine_similarity", "rank")
 
 
-def _link_block(left: DataFrame, block: DataFrame, key_type: str, threshold: float, k: int, dim: int) -> DataFrame:
-    import numpy as np
-
-    rows = block.where(F.size("v") == dim).select("topic", "v").orderBy("topic").toPandas()
-    of_row = rows["topic"].to_numpy()
-    starts = np.flatnonzero(np.concatenate([[True], of_row[1:] != of_row[:-1]])) if len(rows) else np.empty(0, int)
-    matrix = np.array(rows["v"].tolist(), dtype="float64").reshape(len(rows), dim)
-    shared = left.sparkSession.sparkContext.broadcast((of_row[starts], starts, matrix))
+def _links_of_blocks(left: DataFrame, parts: int, names: DataFrame, blocks: int, threshold: float, k: int) -> DataFrame:
+    """The best ``k`` links ``key, topic, cosine_similarity`` of every row in every block."""
     run = _best_matches(threshold, k)
+    key_type = left.schema["key"].dataType.simpleString()
+
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = left.withColumn("part", F.pmod(F.xxhash64("key", "v"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    names = names.withColumn("block", F.pmod(F.xxhash64("topic", "v"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
 
-    def kernel(batches):
+    def link(mine, others):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        names, starts, vectors = shared.value
-        for batch in batches:
-            fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dim), False)
-            batch = batch.filter(fits)
-            if not batch.num_rows or not len(names):
-                continue
-            mine = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            at, cols, sims = run(mine, vectors, starts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array(names[cols], pa.string()), pa.array(np.asarray(sims))],
-                names=["key", "topic", "cosine_similarity"],
-            )
-
-    return left.mapInArrow(kernel, f"key {key_type}, topic string, cosine_similarity double")
+
+        def matrix(table):
+            column = table["v"].combine_chunks()
+            return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+        def result(keys, topics, sims):
+            return pa.table([keys, topics, pa.array(sims, pa.float64())], names=["key", "topic", "cosine_similarity"])
+
+        if not mine.num_rows or not others.num_rows:
+            return result(mine["key"].slice(0, 0), pa.array([], pa.string()), [])
+        others = others.sort_by("topic")
+        of_row = others["topic"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], of_row[1:] != of_row[:-1]]))
+        at, cols, sims = run(matrix(mine), matrix(others), starts)
+        return result(mine["key"].take(pa.array(at)), pa.array(of_row[starts][cols], pa.string()), np.asarray(sims))
+
+    pairs = left.groupBy("part", "block").cogroup(names.groupBy("part", "block"))
+    return pairs.applyInArrow(link, f"key {key_type}, topic string, cosine_similarity double")
