@@ -36,8 +36,9 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that a document of smaller id holds; texts that lose nothing keep their line ends."""
-    cut = remove_repeated_passages(docs.select("doc_id", "text")).where("n_removed > 0").select("doc_id", "kept").distinct()
-    kept = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    cut = remove_repeated_passages(docs, with_rows=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    kept = cut.select(*[(text if c == "text" else F.col("others")[c]).alias(c) for c in docs.columns])
     return _with_length(kept)
 
 

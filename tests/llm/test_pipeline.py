@@ -80,6 +80,16 @@ def test_run_is_the_stages_and_ends_in_pieces(spark, planted):
     assert 201 not in {r.doc_id for r in pieces.select("doc_id").distinct().collect()}
 
 
+def test_rows_that_repeat_an_id_keep_their_own_text(spark):
+    """Each row is cut by itself: an id joins no row to the text of another."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, passage, "a"), (2, f"x1 {passage} x2", "b"), (2, "y1\ny2", "c"), (2, f"z1 {passage} z2", "d"), (3, None, "e"), (None, passage, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.cut_repeated_passages(spark, df, "").collect()
+    assert sorted((r.lang, r.doc_id, r.text) for r in got) == [
+        ("a", 1, passage), ("b", 2, "x1 x2"), ("c", 2, "y1\ny2"), ("d", 2, "z1 z2"), ("e", 3, None), ("f", None, passage)]
+
+
 def test_every_operator_has_a_query_and_names_are_in_order():
     assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "substring dedup", "packing"]

@@ -248,10 +248,11 @@ def _cut(batch: pa.RecordBatch, known: dict[int, np.ndarray], window: int) -> pa
         kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
         spans.append([{"start": a, "end": b} for a, b in found])
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    carried = ["text", "others"] if "others" in batch.schema.names else []
     return pa.RecordBatch.from_arrays([
         batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()),
-        pa.array(kept, pa.string()), pa.array(spans, pa.list_(pair)),
-    ], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+        pa.array(kept, pa.string()), pa.array(spans, pa.list_(pair)), *map(batch.column, carried),
+    ], names=["doc_id", "n_words", "n_removed", "kept", "spans", *carried])
 
 
 def _prime_from(n: int) -> int:
@@ -260,16 +261,22 @@ def _prime_from(n: int) -> int:
     return n
 
 
-def remove_repeated_passages(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_passages(
+    df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False,
+) -> DataFrame:
     """``doc_id, n_words, n_removed, kept, spans`` for every row: texts without what a smaller id holds already.
 
     Words are runs of anything but blank and 0x09 to 0x0D. A word goes if it lies in ``window`` consecutive words that
     also start somewhere in a document of smaller id; all windows are judged on the input. ``kept`` joins the other
     words by single blanks; ``spans`` are the word positions cut out. Null, empty and shorter texts lose nothing.
     Rows that repeat an id are one document: they lose nothing to each other and the same windows to smaller ids. Rows
-    without an id lose nothing and take nothing. Ids are whole numbers. Other columns are not read.
+    without an id lose nothing and take nothing. Ids are whole numbers. Other columns are not read, unless
+    ``with_rows`` asks for ``text``, the text as it was, and ``others``, the other columns of the row, besides.
     """
     all_rows = id_and_text(df, id_col, text_col)
+    if with_rows:
+        row = F.struct(F.col(text_col).isNull().alias("blank"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("columns"))
+        all_rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row.alias("others"))
     if all_rows.schema["doc_id"].dataType != WHOLE:
         all_rows = all_rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     docs = all_rows.where(F.col("doc_id").isNotNull())
@@ -280,22 +287,27 @@ def remove_repeated_passages(df: DataFrame, window: int = 13, id_col: str = "doc
 
     sent = docs.select("doc_id", "text").mapInArrow(_send_anchors(window, buckets), SENT)
     shared = sent.groupBy("bucket").applyInArrow(_shared_anchors(buckets), ANSWER)
-    sent = docs.groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(_send_windows(window, buckets), SENT)
+    sent = docs.select("doc_id", "text", "group").groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(_send_windows(window, buckets), SENT)
     later = sent.groupBy("bucket").applyInArrow(_later_windows(buckets), ANSWER)
     schema = T.StructType([
         T.StructField("doc_id", WHOLE), T.StructField("n_words", WHOLE), T.StructField("n_removed", WHOLE),
         T.StructField("kept", T.StringType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", WHOLE), T.StructField("end", WHOLE)]))),
+        *([T.StructField("text", T.StringType()), all_rows.schema["others"]] if with_rows else []),
     ])
+    columns = all_rows.columns
 
     def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
         known = _keys_of(answers)
-        batches = [_cut(batch, known, window) for batch in slices(texts.select(["doc_id", "text"]).to_batches())]
-        return pa.Table.from_batches(batches or [_cut(pa.RecordBatch.from_pylist([], texts.select(["doc_id", "text"]).schema), {}, window)])
+        batches = [_cut(batch, known, window) for batch in slices(texts.select(columns).to_batches())]
+        return pa.Table.from_batches(batches or [_cut(pa.RecordBatch.from_pylist([], texts.select(columns).schema), {}, window)])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield _cut(batch, {}, window)
 
     found = docs.groupBy("group").cogroup(later.groupBy("group")).applyInArrow(cut, schema)
-    return found.unionByName(all_rows.where(F.col("doc_id").isNull()).mapInArrow(keep, schema))
+    found = found.unionByName(all_rows.where(F.col("doc_id").isNull()).mapInArrow(keep, schema))
+    if not with_rows:
+        return found
+    return found.withColumns({"text": F.when(~F.col("others.blank"), F.col("text")), "others": F.col("others.columns")})
