@@ -210,6 +210,12 @@ def test_fingerprints_add_up():
     assert np.array_equal(changed(vector(many[:3000]), inserted=many[3000:]), vector(many))
 
 
+def test_sketch_counts_do_not_wrap_at_16_bits():
+    junk = b"same junk line"
+    assert likeness_of(vector([junk] * 40_000), vector([junk] * 20_000)) > 0.99
+    assert np.array_equal(changed(vector([junk] * 20_000), inserted=[junk] * 20_000), vector([junk] * 40_000))
+
+
 def plain_edits(rows):
     rows = sorted(((d is not None, d or 0, t or ""), d, t or "") for d, t in rows)
     out = Counter()

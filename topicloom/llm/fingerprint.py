@@ -1,7 +1,7 @@
 """Homomorphic fingerprints: the sum, modulo powers of two, of a wide vector hashed from every paragraph.
 
 A paragraph is a line. Its vector has ``LANES`` lanes of 32 bits, all hashed from the whole paragraph, and ``SKETCH``
-lanes of 16 bits, in which each run of three words of the paragraph counts one up or down. Sums don't depend on the
+lanes of 32 bits, in which each run of three words of the paragraph counts one up or down. Sums don't depend on the
 order, and a paragraph is inserted or deleted by adding or subtracting its vector alone. Equal texts have equal
 fingerprints; the first lanes tell different multisets of paragraphs apart, the others are a sketch of which the
 cosine estimates how much two texts share.
@@ -33,7 +33,7 @@ def paragraphs(text: str) -> list[bytes]:
 
 
 def vector(parts: list[bytes]) -> np.ndarray:
-    """The fingerprint of a multiset of paragraphs, as 32-bit and 16-bit lanes in one array of bytes."""
+    """The fingerprint of a multiset of paragraphs, as 32-bit lanes of either kind in one array of bytes."""
     lanes, sketch = np.zeros(LANES, np.uint32), np.zeros(SKETCH, np.int64)
     if parts:
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
@@ -53,11 +53,11 @@ def vector(parts: list[bytes]) -> np.ndarray:
             runs = np.concatenate([runs, mix(np.array(short, np.uint64))])
         at, sign = (runs >> np.uint64(8)) % np.uint64(SKETCH), 1.0 - 2.0 * (runs & np.uint64(1)).astype(float)
         sketch = np.bincount(at.astype(np.int64), weights=sign, minlength=SKETCH).astype(np.int64)
-    return np.concatenate([lanes.view(np.uint8), (sketch & 0xFFFF).astype("<u2").view(np.uint8)])
+    return np.concatenate([lanes.view(np.uint8), (sketch & 0xFFFFFFFF).astype("<u4").view(np.uint8)])
 
 
 def _lanes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return v[:4 * LANES].view("<u4"), v[4 * LANES:].view("<u2")
+    return v[:4 * LANES].view("<u4"), v[4 * LANES:].view("<u4")
 
 
 def changed(fingerprint: np.ndarray, inserted: list[bytes] = (), deleted: list[bytes] = ()) -> np.ndarray:
@@ -78,7 +78,7 @@ def likeness_of(a: np.ndarray, b: np.ndarray) -> float:
     """From 0 to 1: 1 for equal fingerprints, else the cosine of the sketches where it is positive."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = (v[4 * LANES:].view("<i2").astype(float) for v in (a, b))
+    x, y = (v[4 * LANES:].view("<i4").astype(float) for v in (a, b))
     scale = float(np.sqrt((x @ x) * (y @ y)))
     return max(0.0, min(1.0, float(x @ y) / scale)) if scale else 0.0
 
