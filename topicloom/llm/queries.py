@@ -15,6 +15,7 @@ from topicloom.llm.line_dedup import remove_repeated_lines
 from topicloom.llm.neighbours import nearest_neighbours
 from topicloom.llm.packing import harmonic_pack
 from topicloom.llm.quality import fit_discriminant, quality, with_statistics
+from topicloom.llm.rank_array import rank_array_encode
 from topicloom.llm.set_join import similar_classes
 from topicloom.llm.shards import in_shards, token_sequences
 from topicloom.llm.sql import JACCARD_CLASSES, REPEATED_LINES, REPEATED_PASSAGES
@@ -108,3 +109,12 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_shards(placed, per_shard=4096).select(
         "shard", "record", "slot", "doc_id", "part", "n_tokens", F.sha2("bytes", 256).alias("bytes_sha256")
     )
+
+
+@query("op11_rank_array_bpe")
+def op11_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = rank_array_encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), decode=True)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
