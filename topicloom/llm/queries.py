@@ -14,11 +14,12 @@ from topicloom.llm.fingerprint import fingerprint_edits
 from topicloom.llm.line_dedup import remove_repeated_lines
 from topicloom.llm.neighbours import nearest_neighbours
 from topicloom.llm.packing import harmonic_pack
+from topicloom.llm.prefix_trie import conversation_trie
 from topicloom.llm.quality import fit_discriminant, quality, with_statistics
 from topicloom.llm.rank_array import rank_array_encode
 from topicloom.llm.set_join import similar_classes
 from topicloom.llm.shards import in_shards, token_sequences
-from topicloom.llm.sql import JACCARD_CLASSES, REPEATED_LINES, REPEATED_PASSAGES
+from topicloom.llm.sql import JACCARD_CLASSES, PREFIX_TRIE, REPEATED_LINES, REPEATED_PASSAGES
 from topicloom.llm.substring_dedup import remove_repeated_passages
 from topicloom.llm.toxicity import fit_toxicity, held_out, toxicity
 
@@ -118,3 +119,12 @@ def op11_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+@query("op12_prefix_trie", PREFIX_TRIE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(conversations(spark, sf_dir))

@@ -79,3 +79,61 @@ FROM documents d LEFT JOIN (
   FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.c = n.c GROUP BY n.doc_id) k ON k.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
+
+#: The table of crc32 and the checksum of a text of ASCII characters.
+CRC_TABLE = """
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)) AS c
+    FROM range(256) r(i))
+"""
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII text, given the table of ``CRC_TABLE`` as ``crc.t``."""
+    return f"""xor(4294967295::UBIGINT, list_reduce(
+      list_prepend(4294967295::UBIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::UBIGINT)),
+      lambda c, b: xor(c >> 8, crc.t[((xor(c, b) & 255) + 1)::BIGINT])))"""
+
+
+PREFIX_TRIE = f"""
+WITH crc AS ({CRC_TABLE}),
+own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+    md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k, length(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+conv AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32("conv_id::VARCHAR")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), crc),
+turn AS (
+  SELECT c.conv_id, i, k, n FROM conv c JOIN own o ON o.conv_id = c.base AND o.i <= c.h
+  UNION ALL SELECT c.conv_id, 1000000 + i, k, n FROM conv c JOIN own o ON o.conv_id = c.conv_id AND o.i > c.h
+),
+placed AS (SELECT conv_id, k, n, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d FROM turn),
+path AS (
+  SELECT conv_id, d, n, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS p FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM conv
+),
+last AS (SELECT conv_id, max(d) AS d FROM path GROUP BY conv_id),
+node AS (
+  SELECT p, path.d, min(path.conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+    sha256(coalesce(string_agg(path.conv_id::VARCHAR, ',' ORDER BY path.conv_id) FILTER (last.d = path.d), '')) AS ends_sha256
+  FROM path JOIN last ON last.conv_id = path.conv_id GROUP BY p, path.d
+),
+inner_node AS (
+  SELECT a.p, count(*) AS n_children, any_value(b.d) AS d FROM node a JOIN node b ON b.d = a.d + 1 AND left(b.p, 32 * a.d) = a.p GROUP BY a.p
+),
+valued AS (
+  SELECT node.p, node.d, node.conv_id, (n_convs - 1) * n AS saved, (i.p IS NULL)::INT AS leaf
+  FROM node LEFT JOIN inner_node i ON i.p = node.p
+),
+below AS (
+  SELECT path.p, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves
+  FROM valued v JOIN path ON path.conv_id = v.conv_id AND path.d <= v.d GROUP BY path.p
+)
+SELECT node.conv_id, node.d::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs,
+  coalesce(i.n_children, 0)::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens,
+  node.ends_sha256
+FROM node JOIN below b ON b.p = node.p LEFT JOIN inner_node i ON i.p = node.p
+  LEFT JOIN node up ON up.d = node.d - 1 AND up.p = left(node.p, 32 * (node.d - 1))
+"""
