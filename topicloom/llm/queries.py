@@ -19,7 +19,8 @@ from topicloom.llm.quality import fit_discriminant, quality, with_statistics
 from topicloom.llm.rank_array import rank_array_encode
 from topicloom.llm.set_join import similar_classes
 from topicloom.llm.shards import in_shards, token_sequences
-from topicloom.llm.sql import JACCARD_CLASSES, PREFIX_TRIE, REPEATED_LINES, REPEATED_PASSAGES
+from topicloom.llm.sql import JACCARD_CLASSES, PREFIX_TRIE, REPEATED_LINES, REPEATED_PASSAGES, STRUCTURE_REPAIR
+from topicloom.llm.structure_repair import damaged, digest_of_turns, repair_conversations
 from topicloom.llm.substring_dedup import remove_repeated_passages
 from topicloom.llm.toxicity import fit_toxicity, held_out, toxicity
 
@@ -128,3 +129,13 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_prefix_trie", PREFIX_TRIE)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(conversations(spark, sf_dir))
+
+
+@query("op13_structure_repair", STRUCTURE_REPAIR)
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, turns = repair_conversations(damaged(conversations(spark, sf_dir)))
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return report.join(digest_of_turns(turns), "conv_id", "left").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("repaired_sha256", empty).alias("repaired_sha256"),
+    )

@@ -137,3 +137,75 @@ SELECT node.conv_id, node.d::BIGINT AS depth, up.conv_id AS parent_conv_id, node
 FROM node JOIN below b ON b.p = node.p LEFT JOIN inner_node i ON i.p = node.p
   LEFT JOIN node up ON up.d = node.d - 1 AND up.p = left(node.p, 32 * (node.d - 1))
 """
+
+STRUCTURE_REPAIR = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+original AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("concat(conv_id, ':', coalesce(turn::VARCHAR, ' '))")} % 20 AS e
+  FROM (SELECT * FROM conversations WHERE conv_id IS NOT NULL), crc
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN e = 4 THEN 'user' ELSE role END AS role,
+    CASE e WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN e = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM original WHERE e > 0
+),
+placed AS (
+  SELECT *, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(role), ':', role, text)), copy) AS i
+  FROM damaged
+),
+marked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair,
+    right(rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1) AS ending
+  FROM placed
+),
+turn AS (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+  FROM marked
+),
+inserted AS (
+  SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', chr(10) || 'user:'),
+    (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 2, 3, 'I', chr(10) || 'user:'),
+    (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 3, 3, 'I', chr(10) || 'assistant:'),
+    (3, 2, 3, 'I', chr(10) || 'user:')) v(before, after, cost, edits, lines)
+),
+kept AS (SELECT * FROM (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) v(initial, before, after)),
+wanted AS (SELECT * FROM (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')) v(before, after, role)),
+edit AS (
+  SELECT conv_id, i, before, before AS after, 4 AS cost, 'D' AS edits, '' AS lines FROM turn, range(4) s(before)
+  UNION ALL SELECT conv_id, i, before, after, CASE WHEN fault IS NULL THEN 0 ELSE 3 END, 'K', chr(10) || role || ':' || text
+  FROM turn JOIN kept ON kept.initial = turn.initial WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL SELECT conv_id, i, before, after, CASE WHEN fault IS NULL THEN 3 ELSE 6 END, 'R', chr(10) || wanted.role || ':' || text
+  FROM turn, wanted WHERE fault IS NULL OR fault = 'truncated'
+),
+step AS (
+  SELECT conv_id, i, n.before, e.after, n.cost + e.cost AS cost, n.edits || e.edits AS edits, n.lines || e.lines AS lines
+  FROM edit e JOIN inserted n ON n.after = e.before
+),
+conv AS (SELECT DISTINCT conv_id FROM original),
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0, 'edits': '', 'lines': ''}} AS b FROM conv
+  UNION ALL
+  SELECT best.conv_id, best.i + 1, step.after,
+    min({{'cost': b.cost + step.cost, 'edits': b.edits || step.edits, 'lines': b.lines || step.lines}})
+  FROM best JOIN step ON step.conv_id = best.conv_id AND step.i = best.i + 1 AND step.before = best.state
+  GROUP BY best.conv_id, best.i + 1, step.after
+),
+size AS (
+  SELECT conv.conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM conv LEFT JOIN turn ON turn.conv_id = conv.conv_id GROUP BY conv.conv_id
+),
+final AS (
+  SELECT best.conv_id, min({{'cost': b.cost + n.cost, 'edits': b.edits || n.edits, 'lines': b.lines || n.lines}}) AS b
+  FROM best JOIN size ON size.conv_id = best.conv_id AND size.n = best.i JOIN inserted n ON n.before = best.state
+  WHERE n.after IN (0, 3) GROUP BY best.conv_id
+)
+SELECT size.conv_id, gaps, blank, duplicate, truncated, illegal, b.cost::BIGINT AS cost, b.edits AS audit,
+  sha256(substr(b.lines, 2)) AS repaired_sha256
+FROM size JOIN final ON final.conv_id = size.conv_id
+"""
