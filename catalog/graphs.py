@@ -16,7 +16,7 @@ from catalog.texts import (
 from topicloom.constants import PREDICATE_KINDS
 from topicloom.functions.columns import round_half_up
 from topicloom.graph.betweenness import betweenness
-from topicloom.graph.communities import leiden, louvain
+from topicloom.graph.communities import leiden, louvain, settled
 from topicloom.graph.components import symmetric
 from topicloom.graph.hubs import hubs
 from topicloom.graph.ontology import canonical_hierarchy, descendants
@@ -131,37 +131,39 @@ def g5_pagerank(spark, sf_dir):
     return ranks.select("id", round_half_up(F.col("rank") * 1000, 6).alias("pagerank"))
 
 
-@query("g6_louvain")
+@query("g6_louvain", on_graph("SELECT name AS node, true AS settled, true AS named FROM topic WHERE name IN (SELECT src FROM subtopic_of UNION SELECT dst FROM subtopic_of)"))
 def g6_louvain(spark, sf_dir):
-    return louvain(proxy_graph(spark, sf_dir).edges["SUBTOPIC_OF"])
+    """Every topic, and whether its community is one that no move improves and is named by its smallest member."""
+    edges = proxy_graph(spark, sf_dir).edges["SUBTOPIC_OF"]
+    return settled(edges, louvain(edges)).select("node", "settled", "named")
 
 
-@query("g7_leiden")
+@query("g7_leiden", on_graph("SELECT name AS node, true AS settled, true AS connected, true AS named FROM topic WHERE name IN (SELECT src FROM subtopic_of UNION SELECT dst FROM subtopic_of)"))
 def g7_leiden(spark, sf_dir):
-    return leiden(proxy_graph(spark, sf_dir).edges["SUBTOPIC_OF"])
+    """As for Louvain, and whether the community is in one piece."""
+    edges = proxy_graph(spark, sf_dir).edges["SUBTOPIC_OF"]
+    return settled(edges, leiden(edges))
 
 
 CLIQUES = """
-members AS (SELECT p_partkey AS id, p_brand AS brand, min(p_partkey) OVER (PARTITION BY p_brand) AS head FROM part WHERE p_size <= 10)"""
+members AS (
+  SELECT p_partkey AS id, min(p_partkey) OVER same AS head, count(*) OVER same AS n
+  FROM part WINDOW same AS (PARTITION BY p_brand, p_partkey // 200)
+)"""
 
 
 def _clique_edges(spark, sf_dir) -> DataFrame:
-    """Small parts of one brand all joined with each other; the first parts of brands joined in a ring by single bridges."""
-    part = table(spark, sf_dir, "part").where("p_size <= 10").select("p_brand", F.col("p_partkey").alias("src"))
-    inside = part.join(part.withColumnRenamed("src", "dst"), "p_brand").where("src < dst").select("src", "dst")
-    heads = part.groupBy("p_brand").agg(F.min("src").alias("src"))
-    nearest = heads.withColumnRenamed("src", "dst").withColumnRenamed("p_brand", "other")
-    bridges = heads.join(nearest, F.col("other") > F.col("p_brand")).groupBy("p_brand").agg(
-        F.first("src").alias("src"), F.min_by("dst", "other").alias("dst")).select("src", "dst")
-    return inside.unionByName(bridges)
+    """Parts of one brand and one range of 200 keys, all joined with each other: cliques stay small, their number grows."""
+    part = table(spark, sf_dir, "part").select("p_brand", F.floor(F.col("p_partkey") / 200).alias("keys"), F.col("p_partkey").alias("src"))
+    return part.join(part.withColumnRenamed("src", "dst"), ["p_brand", "keys"]).where("src < dst").select("src", "dst")
 
 
-@query("g6_louvain_cliques", f"WITH {CLIQUES} SELECT id AS node, head AS community FROM members")
+@query("g6_louvain_cliques", f"WITH {CLIQUES} SELECT id AS node, head AS community FROM members WHERE n > 1")
 def g6_louvain_cliques(spark, sf_dir):
     return louvain(_clique_edges(spark, sf_dir))
 
 
-@query("g7_leiden_cliques", f"WITH {CLIQUES} SELECT id AS node, head AS community FROM members")
+@query("g7_leiden_cliques", f"WITH {CLIQUES} SELECT id AS node, head AS community FROM members WHERE n > 1")
 def g7_leiden_cliques(spark, sf_dir):
     return leiden(_clique_edges(spark, sf_dir))
 

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from topicloom.graph.betweenness import betweenness
-from topicloom.graph.communities import leiden, louvain
+from topicloom.graph import communities
+from topicloom.graph.communities import leiden, louvain, modularity, settled
 from topicloom.graph import pagerank as pagerank_module
 from topicloom.graph.components import connected_components, symmetric
 from topicloom.graph.hubs import hubs
@@ -136,6 +137,56 @@ def test_communities(spark, method):
         assert reached == members
 
 
+def plain_modularity(edges, community):
+    m2, inside, total = 2 * len(edges), 0, {}
+    for a, b in edges:
+        inside += 2 * (community[a] == community[b])
+        for x in (a, b):
+            total[community[x]] = total.get(community[x], 0) + 1
+    return inside / m2 - sum(t * t for t in total.values()) / m2 ** 2
+
+
+def test_communities_are_settled(spark):
+    rng = random.Random(4)
+    edges = {(a, b) for a in range(24) for b in range(a) if a // 8 == b // 8 and rng.random() < 0.7 or rng.random() < 0.06}
+    df = spark.createDataFrame([(a, b) for a, b in edges] + [(b, a) for a, b in edges] + [(5, 5)], "src long, dst long")
+    for method in (louvain, leiden):
+        labels = method(df)
+        found = dict(labels.collect())
+        assert modularity(communities._weighted(df), labels) == pytest.approx(plain_modularity(edges, found)) and plain_modularity(edges, found) > 0.25
+        rows = settled(df, labels).collect()
+        assert len(rows) == len(found) and all(r.settled and r.named for r in rows)
+        assert method is louvain or all(r.connected for r in rows)
+    assert louvain(df.limit(0)).count() == 0
+
+
+def test_rises_are_exact(spark):
+    rng = random.Random(6)
+    edges = [(a, b) for a in range(12) for b in range(a) if rng.random() < 0.4]
+    links = communities._weighted(spark.createDataFrame(edges, "src long, dst long"))
+    before = {x: x % 3 for x in range(12)}
+    labels = communities._with_degrees(links, spark.createDataFrame(list(before.items()), "node long, community long"))
+    wants = communities.moves_that_gain(links, labels, labels.select("node"), 2.0 * len(edges))
+    drawn = communities._drawn(wants, 1)
+    rises = communities._rises(links, labels, drawn, 2.0 * len(edges))
+    rows = drawn.collect()
+    assert rises and set(rises) == {r.draw for r in rows}
+    for draw, rise in rises.items():
+        after = before | {r.node: r.target for r in rows if r.draw == draw}
+        assert rise == pytest.approx(plain_modularity(edges, after) - plain_modularity(edges, before))
+    assert rises[3] > 0
+
+
+def test_refinement_cuts_what_a_split_leaves_whole(spark):
+    edges = cliques(2, 5)
+    links = communities._weighted(spark.createDataFrame(edges, "src string, dst string"))
+    nodes = {x for e in edges for x in e}
+    one = communities._with_degrees(links, spark.createDataFrame([(x, "all") for x in nodes], "node string, community string"))
+    parts = {r.node: r.part for r in communities._refined(links, one, 2.0 * len(edges)).collect()}
+    assert len(set(parts.values())) == 2
+    assert communities._split_disconnected(links, one).select("community").distinct().count() == 1
+
+
 def test_betweenness(spark):
     def run(edges, directed=False, **options):
         df = spark.createDataFrame(edges, "src string, dst string")

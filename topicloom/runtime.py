@@ -39,6 +39,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/topicloom/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again.
+
+    As ``cut_lineage``, but what is read has a known size, so that small steps are broadcast, and is computed once.
+    """
+    path, schema = scratch_path(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Check a size bound; counts no further than it needs to."""
     return df.limit(rows + 1).count() <= rows
