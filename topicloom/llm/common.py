@@ -71,6 +71,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of ``written`` tables that nothing reads any more."""
+    for table in tables:
+        for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+            where = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,9 +7,9 @@ one more range than elements may differ, some range is equal in both sets, and i
 frequent shingle does not make a long list. The boundary is the size at which the keys of all sets cost least.
 
 A list is first reduced to a star: everything in it is compared with its smallest member only, its hub, and what that
-connects needs no comparison any more. The members of a hub that are still in different classes are then compared with
-each other in blocks of bounded size, by products of incidence matrices; a block gives back which of its sets are
-connected, not the pairs. So a group of thousands of near copies makes a few rows per copy, and no link between classes
+connects needs no comparison any more. The members of a hub that are still in different classes are then tried by their
+outlines, and those that may be like another are compared in blocks of bounded size, by products of incidence matrices;
+a block gives back which of its sets are connected, not the pairs. So a group of thousands of near copies makes a few rows per copy, and no link between classes
 is lost. Every comparison is exact and on whole sets.
 """
 
@@ -22,17 +22,18 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.graph.components import connected_components
-from topicloom.llm.common import ascii_words, gram_hashes, id_and_text, mix, slices, word_hashes, written
+from topicloom.llm.common import ascii_words, discard, gram_hashes, id_and_text, mix, slices, word_hashes, written
 from topicloom.runtime import has_at_most
 
 MOST_LACKING = 2  # elements that a subset of a light set may lack; with more there are too many subsets
 LIST_WEIGHT = 4  # cost of an entry of an inverted list, in subsets: it is met by chance more often
-OUTLINE = 256  # counts by which a pair is tried before whole sets are compared
+OUTLINE = 256  # counts at least by which a pair is tried before whole sets are compared; larger sets have more
+OUTLINES = 1000  # that one side of a block holds
 BLOCK = 200_000  # elements of the sets that one side of a block holds
 SETS = 400  # that one side of a block holds
 COLUMNS = 1024  # of an incidence matrix at once
@@ -163,7 +164,7 @@ def _elements(source: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             found = [shingles(t, n) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary()),
-                pa.array([outline(x).tobytes() for x in found], pa.binary()),
+                pa.array([outline(x) for x in found], pa.binary()),
             ], names=["doc_id", "elements", "outline"])
 
     return wanted.mapInArrow(sets, T.StructType([
@@ -171,9 +172,22 @@ def _elements(source: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     ]))
 
 
-def outline(s: np.ndarray) -> np.ndarray:
-    """How many elements of a set have each remainder."""
-    return np.bincount((s & np.uint64(OUTLINE - 1)).astype(np.int64), minlength=OUTLINE).astype("<u4" if len(s) > 1 << 16 else "<u2")
+def outline(s: np.ndarray) -> bytes:
+    """How many elements of a set have each remainder, some four to a count; the first byte is the width of a count."""
+    size = max(OUTLINE, 1 << max(0, len(s) // 4).bit_length())
+    counts = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    wide = counts.max(initial=0) > 255
+    return (b"\4" if wide else b"\1") + counts.astype("<u4" if wide else np.uint8).tobytes()
+
+
+def outline_counts(blob: pa.Scalar) -> np.ndarray:
+    data = blob.as_buffer()
+    return np.frombuffer(data, "<u4" if data[0] == 4 else np.uint8, offset=1).astype(np.int64)
+
+
+def folded(counts: np.ndarray, size: int) -> np.ndarray:
+    """The counts by fewer remainders; sizes are powers of two."""
+    return counts.reshape(-1, size).sum(0)
 
 
 def _possible(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
@@ -182,14 +196,12 @@ def _possible(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> Data
     b = elements.select(F.col("doc_id").alias("b"), F.col("outline").alias("of_b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counts(x) -> np.ndarray:
-            return np.frombuffer(x.as_buffer(), "<u2" if len(x.as_buffer()) == 2 * OUTLINE else "<u4").astype(np.int64)
-
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("of_a"), batch.column("of_b")):
-                x, y = counts(x), counts(y)
-                most = np.minimum(x, y).sum()
+                x, y = outline_counts(x), outline_counts(y)
+                size = min(len(x), len(y))
+                most = np.minimum(folded(x, size), folded(y, size)).sum()
                 keep.append(bool(den * most >= num * (x.sum() + y.sum() - most)))
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
@@ -199,6 +211,40 @@ def _possible(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> Data
     return joined.mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+def _still_open(members: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
+    """Those ``hub, rep`` that some other member of the hub, of another class, may be like by their outlines.
+
+    ``members`` has ``hub, rep, component``. Outlines meet in blocks of bounded size; a block gives members, not pairs.
+    """
+    sized = members.join(elements.select(F.col("doc_id").alias("rep"), "outline"), "rep")
+    dealt = _in_blocks(sized, F.count(F.lit(1)) / OUTLINES)
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = [outline_counts(x) for x in table["outline"]]
+        size = min(map(len, found))
+        total = np.array([x.sum() for x in found])
+        counts = np.stack([folded(x, size) for x in found])
+        _, component = np.unique(table["component"].to_numpy(), return_inverse=True)
+        open_ = np.zeros(len(found), bool)
+        for i in range(len(found)):
+            near = np.flatnonzero((component != component[i]) & (den * np.minimum(total, total[i]) >= num * np.maximum(total, total[i])))
+            most = np.minimum(counts[near], counts[i]).sum(1)
+            open_[i] = (den * most >= num * (total[near] + total[i] - most)).any()
+        return table.select(["hub", "rep"]).filter(pa.array(open_))
+
+    kind = elements.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("hub", kind), T.StructField("rep", kind)])
+    return dealt.groupBy("hub", "i", "j").applyInArrow(compare, schema).distinct()
+
+
+def _in_blocks(sized: DataFrame, blocks: Column) -> DataFrame:
+    """Members of every hub dealt so that any two of them meet in some block ``hub, i, j``, of about two shares."""
+    count = sized.groupBy("hub").agg(F.ceil(blocks).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = sized.join(count.select("hub", "blocks"), "hub").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("mine", "other", "blocks")
+
+
 def _with_elements(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     a = elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("of_a"))
     b = elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("of_b"))
@@ -269,18 +315,14 @@ def alike_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def _within_hubs(open_: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``src, dst`` that connect the like ones among the members of each hub."""
+    """Links ``src, dst`` that connect the like ones among the members of each hub. Whole sets move for those members
+    only that may be like another by their outlines."""
     kind = elements.schema["doc_id"].dataType
-    pairs = open_.where("rep <> hub").select("hub", "rep").distinct()
-    pairs = pairs.join(pairs.groupBy("hub").count().where("count > 1").select("hub"), "hub", "left_semi")
-    sized = pairs.join(elements.select(F.col("doc_id").alias("rep"), "elements"), "rep")
-    blocks = sized.groupBy("hub").agg(
-        F.ceil(F.greatest(F.sum(F.octet_length("elements")) / (8 * BLOCK), F.count(F.lit(1)) / SETS)).cast("int").alias("blocks"),
-        F.count(F.lit(1)).alias("n"),
-    ).where("n > 1").select("hub", "blocks")
-    dealt = sized.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "elements")
+    members = open_.where("rep <> hub").select("hub", "rep", "component").distinct()
+    members = written(_still_open(members, elements, num, den), "open-members")
+    sized = members.join(elements.select(F.col("doc_id").alias("rep"), "elements"), "rep")
+    size = F.sum(F.octet_length("elements")) / (8 * BLOCK)
+    dealt = _in_blocks(sized, F.greatest(size, F.count(F.lit(1)) / SETS)).select("hub", "i", "j", "rep", "elements")
 
     def compare(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"]]
@@ -303,7 +345,9 @@ def _linked(entries: DataFrame, source: DataFrame, n: int, num: int, den: int) -
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     stars = written(_possible(stars, elements, num, den), "possible-pairs")
     links = written(_verified(stars, elements, num, den), "links")
-    return links.unionByName(written(_within_hubs(_in_classes(members, links), elements, num, den), "links"))
+    links = links.unionByName(written(_within_hubs(_in_classes(members, links), elements, num, den), "links"))
+    discard(hubs, members, elements, stars)  # what follows reads the links alone
+    return links
 
 
 def similar_classes(
