@@ -178,3 +178,14 @@ def test_centroid_graph_finds_what_a_full_search_finds():
     ids, _ = CentroidGraph(centroids).nearest(x[:200], 16)
     full = np.argsort(distances(x[:200], centroids), axis=1)[:, :8]
     assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(ids[:, :8], full)]) > 0.95
+
+
+def test_toxicity_without_labelled_documents(spark):
+    from topicloom.llm.toxicity import fit_toxicity, toxicity
+
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(8, 1), (9, 0), (1, None), (None, 1)], "doc_id long, toxic int")
+    for these, known in ((docs.limit(0), labels), (docs, labels), (docs, labels.limit(0)), (docs, spark.createDataFrame([(1, 1)], labels.schema))):
+        model = fit_toxicity(these, known)
+        scores = [r.s for r in docs.select(toxicity(model, F.col("text")).alias("s")).collect()]
+        assert len(scores) == 3 and len(set(scores)) == 1 and 0 <= scores[0] <= 1

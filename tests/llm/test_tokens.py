@@ -55,13 +55,23 @@ def test_bpe_on_odd_rows(odd, none):
 
 def test_word_ids_equal_the_library(texts):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
+    texts = [*texts, "a <|endoftext|> b", "x<|startoftext|>y<|endoftext|><|endoftext|", "é<|ENDOFTEXT|>日"]
     words = WordIds(read_tokenizer(WORDS))
     for text, packed in zip(texts, words.encode(texts)):
         assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
     assert words.encode([None]) == [b""]
 
 
+def test_caches_forget_long_runs():
+    bpe, words, rng = Bpe(read_ranks(RANKS), PATTERN), WordIds(read_tokenizer(WORDS)), random.Random(2)
+    for _ in range(20):
+        text = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(3000)) + " " + "x" * 100 + " short"
+        bpe.encode([text])
+        words.encode([text])
+    assert max(map(len, bpe.runs)) <= 64 and max(map(len, bpe.pieces)) <= 64
+    assert max(map(len, words.runs)) <= 64 and max(map(len, words.pieces)) <= 64
+
+
 def test_cuts_leave_little_padding():
     for tokens in (1, 2, 31, 33, 700, 1023, 1025, 1500, 2047, 2048, 2049, 9000):
         cuts = cut_lengths(tokens, 2048, 32)

@@ -24,6 +24,7 @@ from topicloom.llm.common import id_and_text, slices
 
 NONE = 1 << 30
 WIDEST = 64  # leaves of a tree that is a row of a matrix
+LONGEST = 64  # characters of a run, bytes of a piece, that is remembered; caches hold some 150 MB at most
 CACHED = 120_000  # runs that a worker remembers since it last put its older half aside; as many of those, and of pieces
 
 
@@ -192,7 +193,13 @@ class Bpe:
         self.encode_pieces([p for p in dict.fromkeys(p for part in pieces for p in part) if p not in self.pieces])
         ids = self.pieces.__getitem__
         runs.update((run, b"".join(map(ids, part))) for run, part in zip(missing, pieces))
-        return [b"".join(map(runs.__getitem__, part)) for part in split]
+        out = [b"".join(map(runs.__getitem__, part)) for part in split]
+        for run in missing:
+            if len(run) > LONGEST:
+                del runs[run]
+        for piece in {p for part in pieces for p in part if len(p) > LONGEST}:
+            del self.pieces[piece]
+        return out
 
     def decode(self, packed: bytes | None) -> bytes | None:
         if packed is None or len(packed) % 4:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import slices, written
 
 WORD = re.compile(r"\w+")
-HEAD = 4  # least length of a lexicon entry, and the part of a word by which entries are looked up
+HEAD = 4  # the part of a word by which entries are looked up; shorter words are looked up whole
 BEGINNINGS = (4, 5, 6)
 GROUPS = 12  # lexicon voters
 
@@ -37,7 +37,7 @@ class Model:
 
 
 def entries_of(text: str) -> set[str]:
-    words = {w for w in WORD.findall(text.lower()) if len(w) >= HEAD}
+    words = set(WORD.findall(text.lower()))
     return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}
 
 
@@ -134,19 +134,21 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    most_rows: int = 6000, most_terms: int = 1000, least_texts: int = 4, least_lift: float = 14.0,
+    most_rows: int = 6000, most_terms: int | None = None, least_texts: int = 4, least_lift: float = 14.0,
 ) -> Model:
     """Learn from labelled rows; ``labels`` must hold the training rows alone.
 
     At most ``most_rows`` rows of each label are used, drawn by the hash of their id. Rows without id or label are
-    left out. Without toxic or without other rows every text scores the share of toxic labels (0 if there is none).
-    The lexicon holds the ``most_terms`` terms of the largest count times log of lift, among those in ``least_texts``
-    toxic texts and with a lift of ``least_lift`` at least; terms beyond that mark nothing.
+    left out. Where no toxic or no other label meets a document, every text scores the share of toxic labels, next to
+    0 without any. The lexicon holds all terms in ``least_texts`` toxic texts of the sample with a lift of
+    ``least_lift`` at least, or, if ``most_terms`` is given, as many of the largest count times log of lift. Repeated
+    rows of a text count once, as toxic if one is. Other columns of either table are not read.
     """
     rows, counts = _sampled(docs, labels, id_col, text_col, label_col, most_rows)
     prior = (counts.get(1, 0) + 1e-3) / (sum(counts.values()) + 2e-3) if counts else 1e-3
+    constant = Model({}, np.zeros(10), np.ones(10), np.append(np.zeros(10), np.log(prior / (1 - prior))))
     if not counts.get(1) or not counts.get(0):
-        return Model({}, np.zeros(10), np.ones(10), np.append(np.zeros(10), np.log(prior / (1 - prior))))
+        return constant
     texts = rows.groupBy("text").agg(F.max("label").alias("label"))
     texts = written(texts, "labelled-texts")
 
@@ -161,12 +163,15 @@ def fit_toxicity(
                     [pa.array(found.keys(), pa.string()), *([n, none] if label else [none, n])], names=["term", "n", "others"])
 
     sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    if not sizes.get(1) or not sizes.get(0):
+        return constant
     counted = texts.select("label", "text").mapInArrow(count_terms, "term string, n bigint, others bigint")
     counted = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("others").alias("others")).where(F.col("n") >= least_texts)
     # Terms are ranked when their lift is known: frequent terms without a lift take no place.
     lift = (F.col("n") + 0.5) / (sizes.get(1, 0) + 1) * (sizes.get(0, 0) + 1) / (F.col("others") + 0.5)
     marks = counted.withColumn("lift", lift).where(F.col("lift") >= least_lift)
-    best = marks.orderBy(F.desc(F.col("n") * F.log("lift")), "term").limit(most_terms).collect()
+    marks = marks.orderBy(F.desc(F.col("n") * F.log("lift")), "term")
+    best = (marks if most_terms is None else marks.limit(most_terms)).collect()  # no more than the sample's terms
     terms = {r["term"]: (k % GROUPS, float(np.log(r["lift"]))) for k, r in enumerate(best)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHED = 300_000  # runs that a worker remembers since it last put its older half aside; as many of those
+CACHED = 200_000  # runs that a worker remembers since it last put its older half aside; as many of those, and of pieces
+LONGEST = 64  # bytes of a run or piece that is remembered, so that the caches hold some 100 MB at most
 
 #: How the tokenizer file cuts normalised text. They must equal those of the file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -26,12 +27,14 @@ class WordIds:
 
     The tokenizer drops white space and no piece crosses it, so a run between ASCII white space has the same ids
     wherever it stands. Runs of letters below U+0250 go piece by piece to the model of the tokenizer; any other run
-    goes to the tokenizer as it is. Strings of special tokens in a text are ordinary text.
+    goes to the tokenizer as it is. So does a run with the string of a special token, which is that token, as for the
+    library.
     """
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_str(file)
-        self.tokenizer.encode_special_tokens = True
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, strings)).encode()) if strings else None
         self.model = self.tokenizer.model
         self.pattern = regex.compile(PIECES)
         self.letters = _byte_letters()
@@ -44,13 +47,16 @@ class WordIds:
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode("utf-8")])
         packed = self.packed
-        self.pieces[piece] = ids = b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
+        ids = b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
+        if len(piece) <= LONGEST:
+            self.pieces[piece] = ids
         return ids
 
     def _run(self, run: bytes) -> bytes:
         text = run.decode("utf-8", "surrogatepass")
-        if not run.isascii():
-            if max(text) >= "ɐ":
+        special = self.special is not None and b"<" in run and self.special.search(run) is not None
+        if special or not run.isascii():
+            if special or max(text) >= "ɐ":
                 text = text.encode("utf-8", "replace").decode("utf-8")
                 return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             text = unicodedata.normalize("NFC", text)
@@ -70,10 +76,15 @@ class WordIds:
         out = []
         for text in texts:
             split = (text or "").encode("utf-8", "surrogatepass").split()
+            long = []
             for word in split:
                 if word not in runs:
                     runs[word] = old.get(word) or run(word)
+                    if len(word) > LONGEST:
+                        long.append(word)
             out.append(b"".join(map(runs.__getitem__, split)))
+            for word in long:
+                del runs[word]
         return out
 
 
