@@ -17,8 +17,7 @@ from topicloom.llm.toxicity import fit_toxicity, toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.7; the classifier learns from all labelled documents among them."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = docs.columns
-    return docs.select("*", toxicity(model, F.col("text")).alias("_toxicity")).where("_toxicity < 0.7").select(*columns)
+    return docs.where(toxicity(model, F.col("text")) < 0.7)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
