@@ -11,7 +11,7 @@ from topicloom.operators import joins as j
 from topicloom.operators import topk as k
 from topicloom.operators.classify import classify_topics, vocabulary
 from topicloom.operators.encode import embed
-from topicloom.operators.fuzzy import fuzzy_match
+from topicloom.operators.fuzzy import fuzzy_match, windows
 from topicloom.operators.linking import link_topics
 from topicloom.operators.people import author_affiliations, paper_authors
 from topicloom.operators.upsert import upsert_edges, upsert_nodes
@@ -137,6 +137,27 @@ def test_fuzzy_match_finds_all_pairs(spark):
         assert got == {(w, n, distance(w, n)) for w in words for n in names if distance(w, n) <= limit}
 
 
+def test_fuzzy_match_of_long_texts(spark):
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(30, 60))) for _ in range(40)] + [None, ""]
+    words = [None, "", "ab"]
+    for name in names[:40]:
+        for edits in range(5):
+            word = list(name)
+            for _ in range(edits):
+                at = rng.randrange(len(word))
+                word[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+            words.append("".join(word))
+    left = spark.createDataFrame([(w,) for w in words], "keyword string")
+    right = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = {(w, n, distance(w, n)) for w in words for n in names if None not in (w, n) and abs(len(w) - len(n)) <= 3}
+    for limit in (2, 3):
+        got = {tuple(r) for r in fuzzy_match(left, right, limit).collect()}
+        assert got == {p for p in pairs if p[2] <= limit}
+    entries = left.where("length(keyword) > 30").select(F.size(windows(F.col("keyword"), 3)).alias("n"))
+    assert entries.agg(F.max("n")).first()[0] <= 7 * 4 * 7
+
+
 def brute_links(entities, topics, threshold, top):
     best = {}
     for (key, x), (name, y) in itertools.product(entities, topics):
