@@ -9,6 +9,7 @@ from topicloom import sinks, sources
 from topicloom.operators import aggregates as a
 from topicloom.operators import joins as j
 from topicloom.operators import topk as k
+from topicloom.operators import classify
 from topicloom.operators.classify import classify_topics, vocabulary
 from topicloom.operators.encode import embed
 from topicloom.operators.fuzzy import fuzzy_match, windows
@@ -95,6 +96,22 @@ def test_long_phrases_are_found(spark):
     assert [r.topic for r in classify_topics(papers, vocabulary(topics), up).collect()] == ["very_long_topic_name_indeed"]
 
 
+def test_automaton_and_join_find_the_same(spark, rows, monkeypatch):
+    rng = random.Random(8)
+    phrases = ["_".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    vocab = spark.createDataFrame([(p, f"t{i % 9}") for i, p in enumerate(phrases)], "phrase string, topic string").distinct()
+    up = spark.createDataFrame([(f"t{i}", f"t{i % 4}") for i in range(9)], "src string, dst string")
+    texts = [(i, " ".join(rng.choice(["a", "b", "c", "C,", "ab", "é"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    papers = spark.createDataFrame([*texts, (None, "a b"), (99, None)], "eid long, title string")
+    for n_max in (None, 2):
+        options = {"text_cols": ["title"], "k": None, "n_max": n_max}
+        walked = rows(classify_topics(papers, vocab, up, **options).select("eid", "topic", "score"))
+        monkeypatch.setattr(classify, "FEW_PHRASES", 0)
+        assert walked and walked == rows(classify_topics(papers, vocab, up, **options).select("eid", "topic", "score"))
+        monkeypatch.undo()
+    assert classify_topics(papers, vocab.limit(0), up, text_cols=["title"]).count() == 0
+
+
 def test_people(spark, rows):
     papers = spark.createDataFrame(
         [(1, "Smith J.; Doe A.;", "Smith J., Univ X, City; NoComma; , x; Doe A., Lab"), (2, None, None)],

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,9 @@ from topicloom.functions.text import ngrams, normalize_keyword, tokens
 from topicloom.operators.topk import top_k_per_key
 from topicloom.runtime import has_at_most
 
-FEW_PHRASES = 200_000  # vocabulary entries that are broadcast; beyond that they are joined
+FEW_PHRASES = 200_000  # vocabulary entries that are broadcast as an automaton; beyond that they are joined
+
+_automata: dict[int, ahocorasick.Automaton] = {}
 
 
 def vocabulary(topics: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
@@ -42,12 +48,13 @@ def classify_topics(
     ``src`` (child) and ``dst`` (parent).
 
     Parents are added to the vocabulary rather than to the hits, so the text is split once
-    and hits are summed in one shuffle. ``n_max`` is the length of the longest phrase of the
-    vocabulary unless it is given. A vocabulary of checked size is broadcast, so that phrases
-    outside of it are dropped where they are found; a larger one meets phrases counted per paper.
+    and hits are summed in one shuffle. With ``n_max`` longer phrases are left out. A vocabulary
+    of checked size becomes one automaton, and every text is walked once whatever the length of
+    phrases; with a larger one all runs of words, counted per paper, are joined with it. Papers
+    without a key keep it; null texts hold nothing.
     """
-    if n_max is None:
-        n_max = vocab.agg(F.max(F.size(F.split("phrase", "_")))).first()[0] or 1
+    if n_max is not None:
+        vocab = vocab.where(F.size(F.split("phrase", "_")) <= n_max)
     direct = vocab.select("phrase", "topic", F.lit(1).alias("weight"), F.lit(1).alias("direct"))
     above = vocab.join(subtopic_of, vocab["topic"] == subtopic_of["src"]).select(
         "phrase", F.col("dst").alias("topic"), F.lit(1).alias("weight"), F.lit(0).alias("direct")
@@ -57,10 +64,12 @@ def classify_topics(
         .groupBy("phrase", "topic")
         .agg(F.sum("weight").alias("weight"), F.max("direct").alias("direct"))
     )
-    grams = papers.select(key, F.explode(ngrams(tokens(join_text(*text_cols)), n_max)).alias("phrase"))
+    words = tokens(join_text(*text_cols))
     if has_at_most(entries, FEW_PHRASES):
-        hits = grams.join(F.broadcast(entries), "phrase")
+        hits = _found(papers.select(F.col(key), F.concat(F.lit("_"), F.array_join(words, "_"), F.lit("_")).alias("text")), entries, key)
     else:
+        longest = n_max or vocab.agg(F.max(F.size(F.split("phrase", "_")))).first()[0] or 1
+        grams = papers.select(key, F.explode(ngrams(words, longest)).alias("phrase"))
         counted = grams.groupBy(key, "phrase").agg(F.count("*").alias("times"))
         hits = counted.join(entries, "phrase").withColumn("weight", F.col("weight") * F.col("times"))
     scored = hits.groupBy(key, "topic").agg(F.sum("weight").alias("score"), F.max("direct").alias("direct"))
@@ -68,3 +77,54 @@ def classify_topics(
         scored = scored.where(F.col("direct") == 0)
     scored = scored.drop("direct")
     return scored if k is None else top_k_per_key(scored, key, [F.desc("score"), "topic"], k)
+
+
+def _automaton(number: int, phrases: list[str]) -> ahocorasick.Automaton:
+    """The automaton of a broadcast vocabulary, built once per worker. A value is the place of a phrase in the list."""
+    if number not in _automata:
+        _automata.clear()
+        automaton = ahocorasick.Automaton()
+        for at, phrase in enumerate(phrases):
+            automaton.add_word(f"_{phrase}_", at)
+        automaton.make_automaton()
+        _automata[number] = automaton
+    return _automata[number]
+
+
+def _found(texts: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """``key, topic, weight, direct``: the entries found in every text of ``key, text``, summed per text and topic.
+
+    Words of a text stand between ``_``, and so do phrases, so a phrase is found at words only and phrases may overlap.
+    """
+    known: dict[str, list[tuple[str, int, int]]] = {}
+    for r in entries.collect():
+        known.setdefault(r["phrase"], []).append((r["topic"], r["weight"], r["direct"]))
+    shared = texts.sparkSession.sparkContext.broadcast((list(known), list(known.values())))
+    number = uuid.uuid4().int  # workers outlive a vocabulary
+    kind = texts.schema[key].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, values = shared.value
+        automaton = _automaton(number, phrases) if phrases else None
+        for batch in batches:
+            rows: list[int] = []
+            topics: list[str] = []
+            weights: list[int] = []
+            directs: list[int] = []
+            for row, text in enumerate(batch.column(1).to_pylist() if automaton else []):
+                times = Counter(at for _, at in automaton.iter(text))
+                sums: dict[str, tuple[int, int]] = {}
+                for at, n in times.items():
+                    for topic, weight, direct in values[at]:
+                        before = sums.get(topic, (0, 0))
+                        sums[topic] = before[0] + weight * n, max(before[1], direct)
+                rows += [row] * len(sums)
+                topics += sums
+                weights += [w for w, _ in sums.values()]
+                directs += [d for _, d in sums.values()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(topics, pa.string()), pa.array(weights, pa.int64()), pa.array(directs, pa.int32())],
+                names=[key, "topic", "weight", "direct"],
+            )
+
+    return texts.mapInArrow(walk, f"`{key}` {kind}, topic string, weight long, direct int")
