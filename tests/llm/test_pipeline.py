@@ -91,5 +91,5 @@ def test_rows_that_repeat_an_id_keep_their_own_text(spark):
 
 
 def test_every_operator_has_a_query_and_names_are_in_order():
-    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "substring dedup", "packing"]
