@@ -144,6 +144,8 @@ def test_shards_give_every_sequence_at_its_slot(spark, tmp_path, odd, none):
     slots = sorted(r.slot for r in token_sequences(odd, WORDS, end_id=49407, key=1).collect())
     assert slots == list(range(len(slots))) and len(slots) >= odd.count()
     assert token_sequences(none, WORDS, end_id=49407, key=1).count() == 0
+    with pytest.raises(ValueError):
+        token_sequences(none, WORDS, end_id=1 << 16, key=1)
 
 
 def test_crc_of_packed_ids(spark):

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from topicloom.llm.common import id_and_text, mix, slices, written
 from topicloom.llm.word_ids import loaded, read_tokenizer
@@ -54,11 +55,16 @@ def token_sequences(
     A document is its ids and ``end_id``; its last sequence may be short. ``tokens`` are little-endian unsigned 16-bit
     integers, without padding. Slots run from 0 to the number of sequences less one, each once. Null and empty texts
     are ``end_id`` alone; repeated rows and null ids are documents like any other; an empty table has no sequence.
-    Other columns are not read. Only a number per partition comes to the driver.
+    Other columns are not read. Only a number per partition comes to the driver. A vocabulary or ``end_id`` beyond 16
+    bits is an error.
     """
     source = id_and_text(df, id_col, text_col)
     sc = df.sparkSession.sparkContext
-    file = sc.broadcast(read_tokenizer(tokenizer_path))
+    tokenizer = read_tokenizer(tokenizer_path)
+    largest = max(end_id, *Tokenizer.from_str(tokenizer).get_vocab().values())
+    if largest > 0xFFFF:
+        raise ValueError(f"id {largest} does not fit into 16 bits")
+    file = sc.broadcast(tokenizer)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, split, at = loaded(file.value), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
