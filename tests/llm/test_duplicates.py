@@ -139,29 +139,23 @@ def test_factors_meet_at_their_boundaries():
     assert factors(np.zeros(4, bool), 3) == []
 
 
-def brute_lines(rows, mean):
+def brute_lines(rows, passed_over):
     def hashed(line):
         return int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
 
-    chunks = {}
+    chunks, first, out = {}, {}, {}
     for doc, text in rows:
-        lines, start, before = text.split("\n"), 0, 0
-        chunks[doc] = []
-        for i, line in enumerate(lines):
-            now = hashed(line)
-            if (before * 1_000_003 + now >> 13) % mean == 0 or i == len(lines) - 1:
-                chunks[doc].append((start, lines[start:i + 1]))
-                start = i + 1
-            before = now
-    first = {}
-    for doc in sorted(chunks):
-        for start, lines in chunks[doc]:
-            if len(lines) > 1:
-                first.setdefault(tuple(lines), (doc, start))
-    out = {}
-    for doc, parts in chunks.items():
-        kept = [ls for start, ls in parts if len(ls) == 1 or first[tuple(ls)] == (doc, start)]
-        out[doc] = (sum(len(ls) for _, ls in parts) - sum(map(len, kept)), "\n".join(line for ls in kept for line in ls))
+        lines = text.split("\n")
+        ends = [i for i in range(len(lines)) if i in (0, len(lines) - 1)
+                or (hashed(lines[i - 1]) * 1_000_003 + hashed(lines[i]) >> 13) % passed_over != 0]
+        spans = [range(max(a - 1, 0), b + 1) for a, b in zip(ends, ends[1:])]
+        chunks[doc] = lines, [s for s in spans if sum(not re.fullmatch(r"[\x20\x09-\x0D]*", lines[i]) for i in s) > 1]
+    for doc, (lines, spans) in sorted(chunks.items()):
+        for s in spans:
+            first.setdefault(tuple(lines[i] for i in s), (doc, s[0]))
+    for doc, (lines, spans) in chunks.items():
+        gone = {i for s in spans if first[tuple(lines[i] for i in s)] != (doc, s[0]) for i in s}
+        out[doc] = len(gone), "\n".join(line for i, line in enumerate(lines) if i not in gone)
     return out
 
 
@@ -181,6 +175,36 @@ def test_lines_agree_with_a_plain_version(spark):
     assert sum(n for n, _ in want.values()) > 100
 
 
+def test_most_lines_of_short_repeated_blocks_go(spark):
+    rng = random.Random(3)
+    line = lambda: f"line {rng.getrandbits(60)}"
+    for size, least in ((3, 0.5), (6, 0.8)):
+        rows = []
+        for k in range(300):
+            block = [line() for _ in range(size)]
+            for copy in range(2):
+                rows.append((2 * k + copy, "\n".join([*(line() for _ in range(8)), *block, *(line() for _ in range(8))])))
+        got = remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        went = {r.doc_id: r.lines_removed for r in got}
+        assert not any(n for doc, n in went.items() if doc % 2 == 0)
+        assert least * 300 * size <= sum(went.values()) <= 300 * size
+
+
+def test_lines_that_repeat_without_a_break_and_blank_lines(spark):
+    rows = [(1, "\n".join(["x"] * 9)), (2, "\n".join(["a", "b"] * 6)), (3, "p\n\n\n\n\nq"), (4, "r\n\n\n\n\ns"), (5, "\n".join(["x"] * 700))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.lines_removed, r.text) for r in remove_repeated_lines(df).collect()}
+    assert got == brute_lines(rows, 4)
+    assert got[3] == (0, rows[2][1]) and got[4] == (0, rows[3][1])
+
+
+def test_a_chunk_of_many_copies_goes_from_all_of_them(spark):
+    lines = [f"same {i}" for i in range(6)]
+    rows = [(i, "\n".join([f"own {i}", *lines, f"end {i}"])) for i in range(1300)]
+    got = {r.doc_id: (r.lines_removed, r.text) for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows, 4) and all(got[i][0] >= 3 for i in range(1, 1300))
+
+
 def test_lines_of_odd_rows(odd, none):
     got = remove_repeated_lines(odd)
     assert got.columns == [*odd.columns, "lines_removed"]

@@ -50,33 +50,35 @@ SELECT split.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(cut.pl
 FROM split LEFT JOIN cut ON cut.doc_id = split.doc_id
 """
 
-REPEATED_LINES = """
+REPEATED_LINES = r"""
 WITH line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i
   FROM documents
 ),
 hashed AS (SELECT *, CAST('0x' || md5(l)[1:8] AS BIGINT) AS h FROM line),
 rolled AS (
-  SELECT *, ((coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 1000003 + h) >> 13) % 4 = 0 AS ends FROM hashed
+  SELECT doc_id, i, i = 0 OR i = max(i) OVER (PARTITION BY doc_id)
+    OR ((lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 1000003 + h) >> 13) % 4 <> 0 AS ends FROM hashed
 ),
-numbered AS (
-  SELECT *, coalesce(sum(ends::INT) OVER (
-    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM rolled
+span AS (
+  SELECT doc_id, greatest(i - 1, 0) AS start, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM rolled WHERE ends
 ),
 chunk AS (
-  SELECT doc_id, c, count(*) AS n, min(i) AS start, string_agg(l, chr(10) ORDER BY i) AS t FROM numbered GROUP BY doc_id, c
+  SELECT s.doc_id, start, last, string_agg(l, chr(10) ORDER BY i) AS t
+  FROM span s JOIN line ON line.doc_id = s.doc_id AND i BETWEEN start AND last GROUP BY ALL
 ),
 gone AS (
-  SELECT doc_id, c FROM (
-    SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, start) AS r FROM chunk WHERE n > 1)
+  SELECT DISTINCT doc_id, unnest(range(start, last + 1)) AS i FROM (
+    SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, start) AS r FROM chunk
+    WHERE regexp_matches(t, '[^\x20\x09-\x0D][^\n]*\n[\x20\x09-\x0D]*[^\x20\x09-\x0D]'))
   WHERE r > 1
 )
 SELECT d.doc_id, coalesce(any_value(k.n_removed), 0)::BIGINT AS lines_removed,
   any_value(CASE WHEN k.n_removed > 0 THEN sha256(coalesce(k.t, '')) ELSE sha256(d.text) END) AS kept_sha256
 FROM documents d LEFT JOIN (
-  SELECT n.doc_id, count(*) FILTER (g.c IS NOT NULL) AS n_removed,
-    string_agg(l, chr(10) ORDER BY i) FILTER (g.c IS NULL) AS t
-  FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.c = n.c GROUP BY n.doc_id) k ON k.doc_id = d.doc_id
+  SELECT n.doc_id, count(*) FILTER (g.i IS NOT NULL) AS n_removed,
+    string_agg(l, chr(10) ORDER BY n.i) FILTER (g.i IS NULL) AS t
+  FROM line n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id) k ON k.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
 
