@@ -15,7 +15,7 @@ from catalog.texts import (
 )
 from topicloom.constants import PREDICATE_KINDS
 from topicloom.functions.columns import round_half_up
-from topicloom.graph.betweenness import betweenness
+from topicloom.graph.betweenness import betweenness, betweenness_within
 from topicloom.graph.communities import leiden, louvain, settled
 from topicloom.graph.components import symmetric
 from topicloom.graph.hubs import hubs
@@ -212,6 +212,30 @@ def g8_betweenness_from_16(spark, sf_dir):
     return found.withColumn("betweenness", round_half_up("betweenness", 4))
 
 
+@query("g8_betweenness_in_words", on_graph(f"SELECT id, {rounded('betweenness', 4)} AS betweenness, 0.0::DOUBLE AS bound FROM centrality",
+                                           "ids AS (SELECT name AS id FROM topic)", brandes_sql("subtopic_of", "ids", 3, 1.0)))
+def g8_betweenness_in_words(spark, sf_dir):
+    """No error is allowed, so all topics are drawn, 64 to a row."""
+    g = proxy_graph(spark, sf_dir)
+    found = betweenness_within(g.nodes["Topic"].select(F.col("name").alias("id")), g.edges["SUBTOPIC_OF"], error=0.0)
+    return found.withColumn("betweenness", round_half_up("betweenness", 4))
+
+
+@query("g8_betweenness_within", on_graph(
+    f"SELECT id, {rounded('betweenness', 4)} AS betweenness, true AS within FROM centrality", "ids AS (SELECT name AS id FROM topic)",
+    "around AS (SELECT src, dst FROM subtopic_of UNION SELECT dst, src FROM subtopic_of)", brandes_sql("around", "ids", 6, 0.5)))
+def g8_betweenness_within(spark, sf_dir):
+    """The undirected measure, and whether the estimate from drawn topics is within its stated bound and the error allowed."""
+    g = proxy_graph(spark, sf_dir)
+    ids, links = g.nodes["Topic"].select(F.col("name").alias("id")), symmetric(g.edges["SUBTOPIC_OF"])
+    allowed, n = 0.1, ids.distinct().count()
+    drawn = betweenness_within(ids, links, error=allowed, directed=False).withColumnRenamed("betweenness", "estimate")
+    off = F.abs(F.col("estimate") - F.col("betweenness"))
+    within = (off <= F.col("bound") + 1e-6) & (F.col("bound") <= allowed * (n - 1) * (n - 2) / 2)
+    both = betweenness(ids, links, directed=False).join(drawn, "id")
+    return both.select("id", round_half_up("betweenness", 4).alias("betweenness"), within.alias("within"))
+
+
 @query("g9_hubs", on_graph(f"SELECT label, key, degree, {rounded('r * 1000', 6)} AS pagerank FROM full_degree JOIN rank_20 USING (id)",
                            FULL_GRAPH, rank_rounds("full_degree", "full_edges")))
 def g9_hubs(spark, sf_dir):

@@ -3,8 +3,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from topicloom.graph.betweenness import betweenness
+from topicloom.graph import betweenness as betweenness_module
+from topicloom.graph.betweenness import betweenness, betweenness_within
 from topicloom.graph import communities
 from topicloom.graph.communities import leiden, louvain, modularity, settled
 from topicloom.graph import pagerank as pagerank_module
@@ -202,6 +204,66 @@ def test_betweenness(spark):
     assert run([("a", "b"), ("b", "c")], sources=3) == {"a": 0, "b": 1, "c": 0}
 
 
+def plain_dependencies(edges, nodes):
+    """Brandes' dependencies, one source after the other."""
+    after = {v: sorted({b for a, b in edges if a == v and b != v}) for v in nodes}
+    out = {v: [] for v in nodes}
+    for s in nodes:
+        paths, far, order = {s: 1}, {s: 0}, [s]
+        for v in order:
+            for w in after[v]:
+                if w not in far:
+                    far[w], paths[w] = far[v] + 1, 0
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    paths[w] += paths[v]
+        delta = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            delta[v] = sum(paths[v] / paths[w] * (1 + delta[w]) for w in after[v] if far[w] == far[v] + 1)
+        for v in nodes:
+            out[v].append(0.0 if v == s else delta.get(v, 0.0))
+    return {v: sum(d) for v, d in out.items()}
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_betweenness_of_all_nodes_in_words(spark, directed):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(90), rng.randrange(90)) for _ in range(170)} | {(0, i) for i in range(40, 90)}
+    df = spark.createDataFrame(sorted(pairs), "src int, dst int")
+    df = df if directed else symmetric(df)
+    nodes = spark.createDataFrame([(i,) for i in [*range(95), 3, None]], "id int")
+    want = plain_dependencies({(r.src, r.dst) for r in df.collect()}, range(95))
+    got = {r.id: r for r in betweenness_within(nodes, df, error=0.0, directed=directed).collect()}
+    assert sorted(got) == list(range(95)) and all(r.bound == 0 for r in got.values())
+    assert all(abs(got[v].betweenness - want[v] * (1 if directed else 0.5)) < 1e-9 for v in want)
+    assert max(want.values()) > 100
+
+
+def test_betweenness_stops_within_its_bound(spark, monkeypatch):
+    counts, real = [], betweenness_module._words
+    monkeypatch.setattr(betweenness_module, "_words", lambda drawn, n: counts.append(n) or real(drawn, n))
+    n = 900
+    edges = [(i, (i * 7) % 30) for i in range(30, n)] + [(i, (i + 1) % 30) for i in range(30)]
+    df = symmetric(spark.createDataFrame(edges, "src int, dst int"))
+    nodes = spark.range(n).select(F.col("id").cast("int").alias("id"))
+    want = plain_dependencies({(r.src, r.dst) for r in df.collect()}, range(n))
+    got = {r.id: r for r in betweenness_within(nodes, df, error=0.4, directed=False).collect()}
+    assert 0 < sum(counts) < 0.8 * n
+    assert all(abs(got[v].betweenness - want[v] / 2) <= got[v].bound for v in want)
+    assert 0 < max(r.bound for r in got.values()) <= 0.4 * (n - 1) * (n - 2) / 2
+    again = {r.id: r.betweenness for r in betweenness_within(nodes, df, error=0.4, directed=False).collect()}
+    assert all(abs(again[v] - got[v].betweenness) < 1e-6 for v in again)
+
+
+def test_betweenness_of_nothing(spark):
+    none = spark.createDataFrame([], "src int, dst int")
+    assert betweenness_within(spark.createDataFrame([], "id int"), none, error=0.1).count() == 0
+    two = spark.createDataFrame([(1,), (2,)], "id int")
+    assert {(r.id, r.betweenness, r.bound) for r in betweenness_within(two, none, error=0.1).collect()} == {(1, 0.0, 0.0), (2, 0.0, 0.0)}
+    one = spark.createDataFrame([(1, 2), (1, 1)], "src int, dst int")
+    assert {r.betweenness for r in betweenness_within(two, one, error=0.0).collect()} == {0.0}
+
+
 def triples(*rows):
     at = lambda x: f"<https://x.example/topics/{x}>"
     return [(at(a), f"<https://x.example/schema#{p}>", at(b)) for a, p, b in rows]

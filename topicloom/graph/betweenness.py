@@ -1,13 +1,17 @@
-"""Betweenness centrality by Brandes' method, all sources side by side."""
+"""Betweenness centrality by Brandes' method: exact with all sources side by side, or within a bound of the error."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.runtime import cut_lineage
+from topicloom.runtime import cut_lineage, forget, stored
+
+WORD = 64  # sources that share a row per node
+FIRST_SOURCES = 256  # of the first round of ``betweenness_within``; every round doubles what was drawn
 
 
 def pick_sources(nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -77,3 +81,141 @@ def betweenness(
     total = reduce(DataFrame.unionByName, parts).groupBy(F.col("node").alias("id")).agg(F.sum("delta").alias("delta"))
     scale = 1.0 if directed else 0.5
     return ids.join(total, "id", "left").select("id", (F.coalesce("delta", empty) * scale).alias("betweenness"))
+
+
+def betweenness_within(
+    nodes: DataFrame, edges: DataFrame, error: float, confidence: float = 0.95, seed: int = 0, directed: bool = True,
+) -> DataFrame:
+    """``id, betweenness, bound``: estimates that are off by at most ``bound`` for all nodes at once, with probability
+    ``confidence``.
+
+    Sources are drawn without replacement until every bound is at most ``error`` times the number of pairs that a node
+    can stand between, ``(n - 1) (n - 2)``; if that takes all nodes the result is exact and its bounds are 0. The bound is
+    the empirical one of Bernstein and Serfling (Bardenet and Maillard, 2015) on a node's dependencies, shared among nodes
+    and rounds. For an undirected graph give edges in both directions and ``directed=False``.
+
+    The state is one row per node and 64 sources: a word tells which of them have reached the node, an array holds their
+    numbers of shortest paths. A round's files are removed when its sums are written.
+    """
+    if not 0 < confidence < 1 or error < 0:
+        raise ValueError("confidence lies between 0 and 1, error is not negative")
+    links = stored(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "links")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 13), 16, 10)
+    ids = stored(nodes.select("id").where(F.col("id").isNotNull()).distinct().withColumn("draw", draw.cast("double") / 16.0**13), "ids")
+    n = ids.count()
+    sums, taken, share, most, rounds = None, 0, 0.0, 0.0, 0
+    while taken < n:
+        rounds += 1
+        upto = 1.0 if 2 * taken >= n else min(1.0, max(FIRST_SOURCES, 2 * taken) / n)
+        drawn = ids.where((F.col("draw") >= share) & (F.col("draw") < upto))
+        share, count = upto, drawn.count()
+        if not count:
+            continue
+        taken += count
+        levels = _levels_of_words(_words(drawn, count), links, directed)
+        # A node has one part for each level and word; added up before the shuffle.
+        added = _dependencies(levels, links)
+        if added:
+            earlier = [sums] if sums is not None else []
+            total = reduce(DataFrame.unionByName, [*(a for a, _ in added), *earlier]).groupBy("node").agg(
+                F.sum("delta").alias("delta"), F.sum("square").alias("square"))
+            sums, before = stored(total, "dependencies"), sums
+            forget(*(c for _, c in added), *([before] if before is not None else []))
+        forget(*levels)
+        limit = error * (n - 1) * (n - 2)
+        largest = F.max(F.coalesce(_bound(n, taken, rounds, confidence), F.lit(0.0)))
+        widest = _bound_of_nothing(n, taken, rounds, confidence)
+        most = widest if sums is None else max(widest, sums.agg(largest.alias("b")).first()["b"] or 0.0)
+        if most <= limit:
+            break
+    zero, scale = F.lit(0.0), 1.0 if directed else 0.5
+    if sums is None:
+        widest = _bound_of_nothing(n, taken, max(rounds, 1), confidence) if n else 0.0
+        return ids.select("id", zero.alias("betweenness"), F.lit(widest * scale).alias("bound"))
+    found = ids.select("id").join(sums.withColumnRenamed("node", "id"), "id", "left").fillna(0.0, ["delta", "square"])
+    return found.select(
+        "id", (F.col("delta") * (scale * n / taken)).alias("betweenness"),
+        (_bound(n, taken, rounds, confidence) * scale).alias("bound"),
+    )
+
+
+def _logarithm(n: int, rounds: int, confidence: float) -> float:
+    """Of the chance that is left to one node in one round: ten events each, and rounds take 1/2, 1/6, 1/12, ... of it."""
+    return math.log(10 * n * rounds * (rounds + 1) / (1 - confidence))
+
+
+def _bound_of_nothing(n: int, taken: int, rounds: int, confidence: float) -> float:
+    """The bound of a node whose drawn sources all depend on it by 0."""
+    if taken >= n:
+        return 0.0
+    return n * (7 / 3 + 3 / math.sqrt(2)) * max(n - 2, 0) * _logarithm(n, rounds, confidence) / taken
+
+
+def _bound(n: int, taken: int, rounds: int, confidence: float) -> Column:
+    """How far ``delta``, scaled to all sources, may be off, by the sums ``delta`` and ``square`` of ``taken`` sources."""
+    if taken >= n:
+        return F.lit(0.0)
+    rho = 1 - (taken - 1) / n if 2 * taken <= n else (1 - taken / n) * (1 + 1 / taken)
+    mean = F.col("delta") / taken
+    variance = F.greatest(F.col("square") / taken - mean * mean, F.lit(0.0))
+    spread = F.sqrt(variance * (2 * rho * _logarithm(n, rounds, confidence) / taken)) * n
+    return spread + _bound_of_nothing(n, taken, rounds, confidence)
+
+
+def _words(drawn: DataFrame, count: int) -> DataFrame:
+    """``word, node, reached, paths`` of sources at themselves; numbered in buckets of about ten words each."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(math.ceil(count / (10 * WORD))))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("draw", "id")) - 1
+    placed = drawn.withColumn("bucket", bucket).withColumn("place", place)
+    return placed.select(
+        F.struct("bucket", F.floor(F.col("place") / WORD).alias("at")).alias("word"), F.col("id").alias("node"),
+        F.expr(f"shiftleft(1L, place % {WORD})").alias("reached"),
+        F.transform(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: (i == F.col("place") % WORD).cast("double")).alias("paths"),
+    )
+
+
+def _array_sum(name: str) -> Column:
+    return F.array(*[F.sum(F.get(name, i)) for i in range(WORD)])
+
+
+def _levels_of_words(start: DataFrame, links: DataFrame, directed: bool) -> list[DataFrame]:
+    """Breadth-first levels; in the row of a level only the sources that reach the node there count."""
+    levels = [stored(start, "level")]
+    while True:
+        ahead = levels[-1].join(links, F.col("node") == F.col("src")).groupBy("word", F.col("dst").alias("node")).agg(
+            _array_sum("paths").alias("paths"))
+        # Without directions an edge leads to a neighbouring level only.
+        seen = levels if directed else levels[-2:]
+        seen = reduce(DataFrame.unionByName, [lv.select("word", "node", "reached") for lv in seen])
+        seen = seen.groupBy("word", "node").agg(F.bit_or("reached").alias("seen"))
+        ahead = ahead.join(seen, ["word", "node"], "left").withColumn("seen", F.coalesce("seen", F.lit(0).cast("bigint")))
+        fresh = F.transform("paths", lambda p, i: F.when(F.getbit(F.col("seen"), i) == 0, p).otherwise(0.0))
+        bits = F.aggregate(
+            F.transform("paths", lambda p, i: F.when(p > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))),
+            F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+        ahead = ahead.withColumn("paths", fresh).select("word", "node", bits.alias("reached"), "paths").where("reached != 0")
+        level = stored(ahead, "level")
+        if level.isEmpty():
+            forget(level)
+            return levels
+        levels.append(level)
+
+
+def _dependencies(levels: list[DataFrame], links: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Per level, from the last: sums and squares of dependencies by node, and the table they are read from."""
+    out, further = [], None
+    for level in reversed(levels[1:]):
+        if further is None:
+            carried = level.withColumn("delta", F.transform("paths", lambda p: F.lit(0.0)))
+        else:
+            given = further.select("word", F.col("node").alias("dst"), F.zip_with(
+                "delta", "paths", lambda d, p: F.when(p > 0, (1.0 + d) / p).otherwise(0.0)).alias("given"))
+            passed = level.select("word", "node").join(links, F.col("node") == F.col("src")).join(given, ["word", "dst"])
+            passed = passed.groupBy("word", "node").agg(_array_sum("given").alias("given"))
+            delta = F.when(F.col("given").isNull(), F.transform("paths", lambda p: F.lit(0.0))).otherwise(
+                F.zip_with("paths", "given", lambda p, g: p * g))
+            carried = level.join(passed, ["word", "node"], "left").withColumn("delta", delta).drop("given")
+        further = stored(carried.select("word", "node", "paths", "delta"), "carried")
+        added = lambda term: F.sum(F.aggregate("delta", F.lit(0.0), lambda a, d: a + term(d)))
+        out.append((further.groupBy("node").agg(added(lambda d: d).alias("delta"), added(lambda d: d * d).alias("square")), further))
+    return out

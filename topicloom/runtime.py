@@ -49,6 +49,15 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of ``stored`` tables that nothing reads any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+            where = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Check a size bound; counts no further than it needs to."""
     return df.limit(rows + 1).count() <= rows
