@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,7 +206,7 @@ def test_linking_agrees_with_brute_force_in_any_blocks(spark):
 
 
 def test_linking_takes_no_vectors_to_the_driver(spark, monkeypatch):
-    """A topic of more vectors than a block holds is dealt into blocks; nothing is collected or broadcast."""
+    """A topic of more vectors than a block holds is dealt into blocks; nothing but a bounded sample is collected."""
     rng = np.random.default_rng(4)
     entities = [(f"e{i}", rng.normal(size=8).tolist()) for i in range(30)]
     topics = [("hot", rng.normal(size=8)) for _ in range(40)] + [(f"t{i}", rng.normal(size=8)) for i in range(6)]
@@ -224,6 +225,32 @@ def test_linking_takes_no_vectors_to_the_driver(spark, monkeypatch):
     assert got == brute_links(entities, topics, 0.2, 3)
 
 
+@pytest.mark.parametrize("bound", [None, 40])
+def test_linking_skips_cells_that_cannot_win(spark, bound):
+    """Equal to brute force on clustered vectors, with less than 30% of the pairs multiplied."""
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(12, 8))
+    near = lambda i: (middles[i % 12] + rng.normal(size=8) * 0.1).tolist()
+    entities = [(f"e{i}", near(i)) for i in range(150)]
+    topics = [(f"t{i % 200}", near(i % 200)) for i in range(400)]
+    left = spark.createDataFrame(entities, "id string, embedding array<double>")
+    right = spark.createDataFrame(topics, "topic string, embedding array<double>")
+    compared = spark.sparkContext.accumulator(0)
+    got = link_topics(left, right, threshold=0.3, k=5, dim=8, max_topics=bound, compared=compared)
+    rows = {(r.id, r.topic, round(r.cosine_similarity, 9)) for r in got.collect()}
+    assert rows == brute_links(entities, [(n, np.array(v)) for n, v in topics], 0.3, 5)
+    assert 0 < compared.value < 0.3 * len(entities) * len(topics)
+
+
+def test_linking_of_vectors_without_a_direction(spark):
+    odd = [("zero", [0.0] * 3), ("nan", [float("nan"), 1.0, 1.0]), ("inf", [float("inf"), 1.0, 1.0]), ("none", None), ("hole", [None, 1.0, 1.0]), (None, [1.0] * 3)]
+    good = [("a", [1.0, 0.0, 0.0]), ("b", [-1.0, 0.0, 0.0])]
+    of = lambda data, name: spark.createDataFrame(data, f"{name} string, embedding array<double>")
+    run = lambda e, t: sorted((r.id, r.topic) for r in link_topics(of(e, "id"), of(t, "topic"), threshold=-1.0, k=2, dim=3).collect())
+    assert run(odd + good, odd + good) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
+    assert run(good, odd) == run(odd, good) == run(good, []) == run([], good) == []
+
+
 def test_linking_encodes_every_row_once(spark):
     for bound in (None, 4):
         counted = spark.sparkContext.accumulator(0)
