@@ -35,6 +35,15 @@ def s2_csv_tree(spark, sf_dir):
     return sources.read_csv_tree(spark, path, schema=schema)
 
 
+@query("s2_csv_in_splits", "SELECT doc_id, text, lang FROM documents")
+def s2_csv_in_splits(spark, sf_dir):
+    """Texts with line ends and quotes, written as CSV and read back in splits."""
+    path = scratch_path(spark, "s2s")
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType())])
+    sinks.write_csv(text_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    return sources.read_csv_in_splits(spark, path, schema)
+
+
 @query("s3_xml", """
 SELECT event_id AS "_Id", user_id AS "_PostTypeId", event_type AS "_Title", props AS "_Body", '<' || event_type || '><b>' AS "_Tags" FROM events""")
 def s3_xml(spark, sf_dir):

@@ -287,6 +287,40 @@ def test_csv_round_trip(spark, tmp_path, rows):
     assert rows(sources.read_csv_tree(spark, str(tmp_path / "x"), schema=df.schema)) == sorted(data, key=repr)
 
 
+@pytest.mark.parametrize("most_blocks", [100_000, 1])
+def test_csv_in_splits_of_any_size(spark, tmp_path, rows, monkeypatch, most_blocks):
+    """Records across many small splits are those of the reader that takes a file whole, in either way to order lines."""
+    monkeypatch.setattr(sources.readers, "MOST_BLOCKS", most_blocks)
+    rng = random.Random(9)
+    bits = ["word", '"', '""', "\n", "\n\n", ",", " x ", "ü", "\r\n", "a,b"]
+    data = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) + "e", "k") for i in range(400)]
+    data += [(400, "long\n" * 400 + "e", "k"), (401, 'q"\n' * 300 + "e", "k")]
+    schema = "id int, t string, k string"
+    df = spark.createDataFrame(data, schema)
+    sinks.write_csv(df.coalesce(2), str(tmp_path / "x"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("97", "1000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = sources.read_csv_in_splits(spark, str(tmp_path / "x"), df.schema)
+            assert rows(got) == sorted(data, key=repr)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_csv_in_splits_of_odd_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,t\r\n1,"x\r\ny"\r\n\r\n2,plain\r\nbad,z\r\n')
+    (tmp_path / "b.csv").write_text("id,t\n")
+    (tmp_path / "c.csv").write_text("")
+    schema = spark.createDataFrame([], "id int, t string").schema
+    read = lambda how: [tuple(r) for r in sources.read_csv_in_splits(spark, str(tmp_path), schema, bad_rows=how).orderBy("id").collect()]
+    assert read("drop") == [(1, "x\r\ny"), (2, "plain")]
+    assert read("null") == [(None, "z"), (1, "x\r\ny"), (2, "plain")]
+    assert read("keep")[0][-1] == "bad,z"
+
+
 def test_triples_skip_other_widths(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("a,p,b\nonly,two\nw,x,y,z\n c , q , d \n")
