@@ -103,7 +103,7 @@ def betweenness_within(
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 13), 16, 10)
     ids = stored(nodes.select("id").where(F.col("id").isNotNull()).distinct().withColumn("draw", draw.cast("double") / 16.0**13), "ids")
     n = ids.count()
-    sums, taken, share, most, rounds = None, 0, 0.0, 0.0, 0
+    sums, taken, share, rounds = None, 0, 0.0, 0
     while taken < n:
         rounds += 1
         upto = 1.0 if 2 * taken >= n else min(1.0, max(FIRST_SOURCES, 2 * taken) / n)
@@ -128,6 +128,7 @@ def betweenness_within(
         most = widest if sums is None else max(widest, sums.agg(largest.alias("b")).first()["b"] or 0.0)
         if most <= limit:
             break
+    forget(links)
     zero, scale = F.lit(0.0), 1.0 if directed else 0.5
     if sums is None:
         widest = _bound_of_nothing(n, taken, max(rounds, 1), confidence) if n else 0.0
