@@ -57,6 +57,33 @@ def n3_clean_html(spark, sf_dir):
     return text_table(spark, sf_dir, "pages").select("page_id", clean_html("html").alias("body"))
 
 
+@query("n3_lists_and_tables", """
+WITH lines AS (
+  SELECT l_orderkey, l_linenumber AS n, l_partkey AS part, l_returnflag || l_linestatus AS flag, l_suppkey AS supp,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem)
+SELECT l_orderkey, 'order ' || l_orderkey || ' ' ||
+  string_agg((l_orderkey % 5 + place - 1) || '. part ' || part || ' of supplier ' || supp || ' 1. ' || lower(flag), ' ' ORDER BY place)
+  || ' part| flag ---|--- ' || string_agg(part || '| ' || lower(flag), ' ' ORDER BY place) AS body
+FROM lines GROUP BY l_orderkey""")
+def n3_lists_and_tables(spark, sf_dir):
+    """Every order as a numbered list with lists in it, and as a table; the SQL states the text and parses no HTML."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("flag")))).alias("lines"))
+
+    def item(x):
+        return F.concat(F.lit("<li>Part "), x["l_partkey"].cast("string"), F.lit("<ul><li>of supplier <b>"), x["l_suppkey"].cast("string"),
+                        F.lit("</b></li></ul><ol><li>"), x["flag"], F.lit("</li></ol></li>"))
+
+    def row(x):
+        return F.concat(F.lit("<tr><td>"), x["l_partkey"].cast("string"), F.lit("</td><td>"), x["flag"], F.lit("</td></tr>"))
+
+    html = F.concat(
+        F.lit("<p>Order "), F.col("l_orderkey").cast("string"), F.lit('</p><ol start="'), (F.col("l_orderkey") % 5).cast("string"), F.lit('">'),
+        F.array_join(F.transform("lines", item), ""), F.lit("</ol><table><tr><th>Part</th><th>Flag</th></tr>"),
+        F.array_join(F.transform("lines", row), ""), F.lit("</table>"))
+    return lines.select("l_orderkey", clean_html(html).alias("body"))
+
+
 LEVELS = "CASE p_size % 5 WHEN 0 THEN 'Senior' WHEN 1 THEN 'Jr' WHEN 2 THEN 'Lead' WHEN 3 THEN 'Staff' ELSE 'Mid-Level' END"
 
 

@@ -93,6 +93,36 @@ def test_html(spark):
         assert one(spark, body, t.clean_html) == want, body
 
 
+def test_html_lists(spark):
+    cases = {
+        "<ol><li>One</li><li>Two</li></ol>": "1. one 2. two",
+        "<OL START='4'><LI>a<LI>b</OL>c": "4. a 5. b c",
+        "<ol><li>a<ul><li>x</li><li>y</li></ul></li><li>b<ol><li>p</li></ol></li><li>c</li></ol>": "1. a x y 2. b 1. p 3. c",
+        "<ul><li>x<ol start=\"10\"><li>t</li></ol></li><li>y</li></ul>": "x 10. t y",
+        "<li>loose</li></ol><ol><li><p>par</p></li></ol>": "loose 1. par",
+        "<ol start='x'><li>a</li></ol>": "1. a", "<ol start=-1><li>a<li>b<li>c</ol>": "-1. a 0. b 1. c",
+        "<ol><!-- <li>no</li> --><li>yes</li><script>'<li>'</script></ol>": "1. yes",
+        "&lt;ol&gt;&lt;li&gt;<ol><li>q": "olli 1. q",
+    }
+    bodies = spark.createDataFrame([(body,) for body in cases], "body string")
+    assert {r.body: r.text for r in bodies.select("body", t.clean_html("body").alias("text")).collect()} == cases
+
+
+def test_html_tables(spark):
+    cases = {
+        "<table><thead><tr><th>Name</th><th>Age</th></tr></thead><tbody><tr><td>Jo</td><td>7</td></tr></tbody></table>end":
+            "name| age ---|--- jo| 7 end",
+        "<table><tr><td>only</td></tr><tr><td>a</td><td></td><td>c</td></tr></table>": "only --- a| | c",
+        "<table><tr><td>a</td></tr></table><table><tr><td>b</td><td>c</td></tr></table>": "a --- b| c ---|---",
+        "<table><tr><td><ol><li>x</li><li>y</li></ol></td><td>z</td></tr></table>": "1. x 2. y | z ---|---",
+        "<td>no row</td><td>second</td>": "no row| second",
+    }
+    bodies = spark.createDataFrame([(body,) for body in cases], "body string")
+    assert {r.body: r.text for r in bodies.select("body", t.clean_html("body").alias("text")).collect()} == cases
+    many = "<table>" + "<tr><td>a</td><td>b</td></tr>" * 50_000 + "</table>"
+    assert one(spark, many, t.clean_html) == "a| b ---|---" + " a| b" * 49_999
+
+
 def test_keywords_and_ngrams(spark):
     assert one(spark, " Computer-Science  II", t.normalize_keyword) == "computer_science_ii"
     assert one(spark, "A b, c", lambda x: t.ngrams(t.tokens(x))) == ["a", "b", "c", "a_b", "b_c", "a_b_c"]

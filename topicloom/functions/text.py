@@ -1,11 +1,14 @@
-"""Text cleaning as native column expressions: HTML bodies, job titles, keywords, n-grams."""
+"""Text cleaning as column expressions: HTML bodies, job titles, keywords, n-grams."""
 
 from __future__ import annotations
 
+import re
 from html.entities import name2codepoint
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from topicloom.constants import LEVEL_WORDS, STRANGE_CHARS_PATTERN, URL_PATTERN
 from topicloom.functions.columns import blank_if_null, strip
@@ -39,6 +42,12 @@ HTML_STEPS: list[tuple[str, str]] = [
     (r"<[a-zA-Z/!?][^>]*(>|\z)", ""),
 ]
 
+# Steps of HTML_STEPS that come before lists and tables are marked.
+HIDDEN_STEPS = 4
+
+STRUCTURE_TAG = re.compile(r"<(/?)(ol|ul|li|table|tr|td|th)\b([^>]*)(?:>|\Z)", re.IGNORECASE)
+START_NUMBER = re.compile(r"""\bstart\s*=\s*["']?\s*(-?[0-9]{1,9})""", re.IGNORECASE)
+
 # Applied in this order to the plain text.
 TEXT_STEPS: list[tuple[str, str]] = [
     (URL_PATTERN, ""),
@@ -88,10 +97,68 @@ def decode_entities(c: Column) -> Column:
     return _once(F.split(c, "&"), rejoined)
 
 
+class _Structure:
+    """Lists and tables of one text, read tag by tag.
+
+    ``lists`` is the stack of open lists, each the number of its last item or None where items are not numbered.
+    The other fields belong to the table row that was opened last: tables within cells share them.
+    """
+
+    def __init__(self) -> None:
+        self.lists: list[int | None] = []
+        self.cells = 0
+        self.below_head = False
+
+    def text_of(self, tag: re.Match[str]) -> str:
+        closing, name, attributes = tag[1] == "/", tag[2].lower(), tag[3]
+        if name in ("td", "th"):
+            if closing:
+                return ""
+            self.cells += 1
+            return "| " if self.cells > 1 else ""
+        if name in ("ol", "ul"):
+            if not closing:
+                first = START_NUMBER.search(attributes)
+                self.lists.append(None if name == "ul" else int(first[1]) - 1 if first else 0)
+            elif self.lists:
+                self.lists.pop()
+        elif name == "table":
+            self.below_head = not closing
+        elif name == "tr":
+            rule = "\n" + "|".join(["---"] * self.cells) if closing and self.below_head else ""
+            self.below_head = self.below_head and not closing
+            self.cells = 0
+            return rule + "\n"
+        elif not closing and self.lists and self.lists[-1] is not None:
+            self.lists[-1] += 1
+            return f"\n{self.lists[-1]}. "
+        return "\n"
+
+
+@F.pandas_udf(StringType())
+def _with_structure(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: STRUCTURE_TAG.sub(_Structure().text_of, text), na_action="ignore")
+
+
+def _marked(text: Column) -> Column:
+    """Items of ordered lists numbered, cells of a table parted by ``|``, its first row underlined.
+
+    A fold over the tags with a stack of open lists. Only texts that hold such tags are sent to Python.
+    """
+    return F.coalesce(_with_structure(F.when(text.rlike(r"(?i)<(ol|tr|td|th)\b"), text)), text)
+
+
 def clean_html(c: Column | str) -> Column:
-    """HTML body to one lower-case line of text; null gives empty text."""
+    """HTML body to one lower-case line of text; null gives empty text.
+
+    Items of ordered lists carry their number, from ``start`` if that is given; the cells of a table row are parted by
+    ``|`` and its first row is followed by ``---|---``.
+    """
     text = blank_if_null(c)
-    for pattern, replacement in HTML_STEPS:
+    for pattern, replacement in HTML_STEPS[:HIDDEN_STEPS]:
+        text = F.regexp_replace(text, pattern, replacement)
+    text = _marked(text)
+    for pattern, replacement in HTML_STEPS[HIDDEN_STEPS:]:
         text = F.regexp_replace(text, pattern, replacement)
     text = decode_entities(text)
     for pattern, replacement in TEXT_STEPS:
