@@ -197,3 +197,35 @@ def k6_upsert_parquet(spark, sf_dir):
     suppliers.write.parquet(path)
     changed = suppliers.where(F.col("s_acctbal") < 0).select("s_suppkey", F.lit(0.0).alias("s_acctbal"))
     return sinks.upsert_parquet(spark, path, lambda old: upsert_nodes(old, changed, "s_suppkey"))
+
+
+@query("k6_upsert_buckets", """
+SELECT o_orderkey, o_orderstatus, CASE WHEN o_totalprice < 5000 THEN 0.0 ELSE o_totalprice END AS o_totalprice,
+       CASE WHEN o_totalprice < 5000 THEN 'small' END AS note FROM orders
+UNION ALL SELECT -1 - s_suppkey, NULL, s_acctbal, 'supplier' FROM supplier""")
+def k6_upsert_buckets(spark, sf_dir):
+    """Orders stored in buckets; then cheap orders are changed and suppliers added, each by an upsert of its own."""
+    path = scratch_path(spark, "k6b")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    sinks.upsert_buckets(orders, path, ["o_orderkey"])
+    cheap = orders.where(F.col("o_totalprice") < 5000).select(
+        "o_orderkey", F.lit(0.0).alias("o_totalprice"), F.lit("small").alias("note"))
+    sinks.upsert_buckets(cheap, path, ["o_orderkey"])
+    added = table(spark, sf_dir, "supplier").select(
+        (-1 - F.col("s_suppkey")).alias("o_orderkey"), F.col("s_acctbal").alias("o_totalprice"), F.lit("supplier").alias("note"))
+    return sinks.upsert_buckets(added, path, ["o_orderkey"])
+
+
+@query("k7_upsert_edge_buckets", """
+SELECT l_suppkey AS src, l_partkey AS dst, max(l_quantity) AS weight FROM lineitem
+WHERE l_returnflag IN ('A', 'R') GROUP BY l_suppkey, l_partkey""")
+def k7_upsert_edge_buckets(spark, sf_dir):
+    """Edges of two loads; an edge of both keeps the greater weight, as the second load is ordered and looked up."""
+    path = scratch_path(spark, "k7b")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("weight"), "l_returnflag")
+    first = lines.where(F.col("l_returnflag") == "A").drop("l_returnflag")
+    had = sinks.upsert_buckets(first, path, ["src", "dst"])
+    second = lines.where(F.col("l_returnflag") == "R").drop("l_returnflag").unionByName(
+        had.join(lines.where(F.col("l_returnflag") == "R").select("src", "dst").distinct(), ["src", "dst"], "left_semi"))
+    return sinks.upsert_buckets(second, path, ["src", "dst"])

@@ -369,6 +369,52 @@ def test_upsert_parquet(spark, tmp_path, rows):
         assert rows(sinks.upsert_parquet(spark, path, lambda old: upsert_nodes(old, new, "id"))) == [(1, "b"), (2, "c")]
 
 
+def stored_files(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_upsert_buckets_rewrites_touched_buckets_only(spark, tmp_path, rows):
+    path = tmp_path / "nodes"
+    nodes = spark.range(1000).select("id", F.concat(F.lit("n"), "id").alias("n"))
+    sinks.upsert_buckets(nodes, str(path), ["id"], buckets=16)
+    first = stored_files(path)
+    planned = sinks.read_buckets(spark, str(path))  # a reader that looked before the upsert
+    new = spark.createDataFrame([(5, "five"), (5, "fife"), (1001, "x"), (None, "lost")], "id int, n string")
+    want = sorted([(i, f"n{i}") for i in range(1000) if i != 5] + [(5, "five"), (1001, "x")], key=repr)
+    assert rows(sinks.upsert_buckets(new, str(path), ["id"], buckets=99)) == want
+    assert planned.count() == 1000
+    second = stored_files(path)
+    assert set(first.items()) <= set(second.items()) and 1 <= len(second) - len(first) <= 2
+    for _ in range(2):
+        assert rows(sinks.upsert_buckets(new, str(path), ["id"])) == want
+    assert len(stored_files(path)) == len(second)
+    assert rows(sinks.upsert_buckets(new.limit(0), str(path), ["id"])) == want
+    assert not list(path.glob("_staged*"))
+
+
+def test_upsert_buckets_goes_on_after_a_stop(spark, tmp_path, rows):
+    path = tmp_path / "edges"
+    edges = spark.createDataFrame([(s, d, 0.5) for s in range(20) for d in "abc"], "src long, dst string, w double")
+    sinks.upsert_buckets(edges, str(path), ["src", "dst"], buckets=8)
+    new = edges.select("src", "dst", F.lit("k").alias("kind"))
+    # A run that stopped halfway: some buckets are new, and a folder with rows in the making is left.
+    half = new.where(F.pmod(F.xxhash64("src", "dst"), F.lit(8)) < 4)
+    sinks.upsert_buckets(half, str(path), ["src", "dst"])
+    half.write.parquet(str(path / "_staged-lost"))
+    assert sinks.read_buckets(spark, str(path)).count() == 60
+    got = sinks.upsert_buckets(new, str(path), ["src", "dst"])
+    assert rows(got.select("src", "dst", "w", "kind")) == rows(edges.withColumn("kind", F.lit("k")))
+
+
+def test_upsert_buckets_without_rows(spark, tmp_path, rows):
+    none = spark.createDataFrame([], "id long, n string")
+    assert sinks.upsert_buckets(none, str(tmp_path / "none"), ["id"]).columns == ["id", "n"]
+    with pytest.raises(FileNotFoundError):
+        sinks.read_buckets(spark, str(tmp_path / "none"))
+    key_only = spark.createDataFrame([(1,), (1,), (2,)], "id long")
+    assert rows(sinks.upsert_buckets(key_only, str(tmp_path / "keys"), ["id"])) == [(1,), (2,)]
+
+
 def test_graph_is_stored_and_read(spark, tmp_path, rows):
     from topicloom.model import Graph
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _merge(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
+def merge_rows(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
     """One row per key: a whole new row, whose nulls are filled from the old row.
 
     Old and new rows meet in one aggregation, which also folds repeated keys. Among new rows
@@ -30,7 +30,7 @@ def _merge(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], orde
 
 def upsert_nodes(existing: DataFrame | None, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Nodes after merging ``new`` into ``existing`` by ``key``."""
-    return _merge(existing, new.where(F.col(key).isNotNull()), [key], order)
+    return merge_rows(existing, new.where(F.col(key).isNotNull()), [key], order)
 
 
 def upsert_edges(
@@ -50,7 +50,7 @@ def upsert_edges(
     kept = new.select("src", "dst", *props, *([order] if order else []))
     kept = kept.join(src_nodes.select(F.col(src).alias("src")), "src", "left_semi")
     kept = kept.join(dst_nodes.select(F.col(dst).alias("dst")), "dst", "left_semi")
-    return _merge(existing, kept.select("src", "dst", *props, *([order] if order else [])), ["src", "dst"], order)
+    return merge_rows(existing, kept.select("src", "dst", *props, *([order] if order else [])), ["src", "dst"], order)
 
 
 def hierarchy_to_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
