@@ -10,7 +10,8 @@ from topicloom.graph.betweenness import betweenness, betweenness_within
 from topicloom.graph import communities
 from topicloom.graph.communities import leiden, louvain, modularity, settled
 from topicloom.graph import pagerank as pagerank_module
-from topicloom.graph.components import connected_components, symmetric
+from topicloom.graph import components as components_module
+from topicloom.graph.components import components_by_stars, connected_components, symmetric
 from topicloom.graph.hubs import hubs
 from topicloom.graph.ontology import canonical_hierarchy, descendants
 from topicloom.graph.pagerank import pagerank
@@ -111,6 +112,47 @@ def test_components(spark):
     assert (got["x"], got["y"]) == ("x", "x")
 
 
+def brute_components(edges):
+    label = {}
+    for a, b in edges:
+        if a != b:
+            one, two = label.setdefault(a, {a}), label.setdefault(b, {b})
+            if one is not two:
+                one |= two
+                for x in two:
+                    label[x] = one
+    return {x: min(members) for x, members in label.items()}
+
+
+@pytest.mark.parametrize("hot_degree", [0, 100_000])
+def test_components_by_stars(spark, hot_degree):
+    rng = random.Random(hot_degree)
+    cases = [[(rng.randrange(60), rng.randrange(60)) for _ in range(n)] for n in (20, 45)]
+    cases += [[], [(1, 1)], [(2, 1), (1, 2), (2, 1), (None, 3), (4, None)]]
+    for edges in cases:
+        got = components_by_stars(spark.createDataFrame(edges, "src long, dst long"), hot_degree).collect()
+        want = brute_components([e for e in edges if None not in e])
+        assert len(got) == len(want) and dict(map(tuple, got)) == want, edges
+    words = spark.createDataFrame([("b", "a"), ("c", "b"), ("y", "x")], "src string, dst string")
+    assert dict(map(tuple, components_by_stars(words).collect())) == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_components_of_chains_and_stars_take_few_rounds(spark, monkeypatch):
+    """A chain in a scattered order of nodes, one in order, and stars around the least and the greatest node."""
+    n, rounds = 60_000, []
+    monkeypatch.setattr(components_module, "forget", lambda *tables: rounds.append(1))
+    monkeypatch.setattr(components_module, "FEW_HOT", 100)
+    nodes = spark.range(n - 1)
+    scattered = (F.col("id") * 7919) % n, ((F.col("id") + 1) * 7919) % n
+    shapes = [scattered, (F.col("id") + n, F.col("id") + n + 1), (F.lit(2 * n), F.col("id") + 2 * n + 1), (F.lit(4 * n), F.col("id") + 3 * n)]
+    parts = [nodes.select(a.cast("long").alias("src"), b.cast("long").alias("dst")) for a, b in shapes]
+    edges = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    got = components_by_stars(edges, hot_degree=1000)
+    sizes = {r["component"]: r["count"] for r in got.groupBy("component").count().collect()}
+    assert sizes == {i * n: n for i in range(4)}
+    assert len(rounds) <= 2 * 16
+
+
 def cliques(n_cliques, size):
     edges = []
     for c in range(n_cliques):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topicloom.constants import PREDICATE_KINDS, ROOT_TOPIC, SCOPE_DEPTH
 from topicloom.functions.columns import strip, topic_slug
 from topicloom.functions.predicates import drop_self_edges, non_empty, predicate_kind
-from topicloom.graph.components import connected_components
+from topicloom.graph.components import components_by_stars
 from topicloom.operators.aggregates import last_per_key
 from topicloom.operators.joins import canonicalize
 from topicloom.runtime import cut_lineage
@@ -40,7 +40,7 @@ def canonical_names(parsed: DataFrame) -> DataFrame:
     )
     preferred = last_per_key(stated, "name", "position")
     related = parsed.where(F.col("kind") == RELATED).select(F.col("subj").alias("src"), F.col("obj").alias("dst"))
-    members = connected_components(related).withColumnRenamed("node", "name")
+    members = components_by_stars(related).withColumnRenamed("node", "name")
     known = members.join(preferred, "name", "full_outer")
     cluster = known.groupBy("component").agg(F.min("preferred").alias("cluster_preferred"))
     return known.join(cluster, "component", "left").select(
