@@ -252,6 +252,24 @@ def n1_classify_inferred(spark, sf_dir):
     return classified(spark, sf_dir, k=None, include_direct=False)
 
 
+@query("n1_classify_near", f"""WITH {WORDS}, {TERM_TREE},
+spelt AS (
+  SELECT name AS phrase, name AS topic FROM terms
+  UNION SELECT word, name FROM (
+    SELECT word, {ONE_BYTE.format('word')} AS a FROM (
+      SELECT word FROM doc_words UNION SELECT unnest(string_split_regex(lower(source), '[^\\p{{L}}\\p{{N}}]+')) FROM documents)
+    WHERE word NOT IN (SELECT name FROM terms))
+  JOIN (SELECT name, {ONE_BYTE.format('name')} AS b FROM terms)
+    ON abs(length(a) - length(b)) <= 1 AND levenshtein(a, b) <= 1
+),
+{CLASSIFIED.replace("grams JOIN terms ON name = phrase", "grams JOIN spelt USING (phrase)").replace("name AS topic, 1 AS direct", "topic, 1 AS direct")
+           .replace("grams JOIN term_tree ON src = phrase", "grams JOIN spelt USING (phrase) JOIN term_tree ON src = topic")}
+SELECT doc_id, topic, score FROM scores""")
+def n1_classify_near(spark, sf_dir):
+    """Topics found by their names and by spellings one edit off."""
+    return classified(spark, sf_dir, k=None, near=1).select("doc_id", "topic", "score")
+
+
 def embedded_sql(key: str, tab: str, column: str, dim: int) -> str:
     """Signed word hashing in SQL: ``key, i, x`` for every place that is not zero."""
     return f"""

@@ -113,6 +113,44 @@ def test_automaton_and_join_find_the_same(spark, rows, monkeypatch):
     assert classify_topics(papers, vocab.limit(0), up, text_cols=["title"]).count() == 0
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_classify_near_spellings(spark, rows, monkeypatch, few):
+    """Held against every run of words compared with every phrase, word by word."""
+    monkeypatch.setattr(classify, "FEW_PHRASES", few)
+    names = ["neural networks", "neural network", "knowledge graph", "ontology", "ontologies", "rank", "Zürichberg"]
+    texts = ["Neurl networks and neural networcs", "neural network", "knowlege graph of knowledge grap", "ontologie, ontologyy ontology",
+             "ranc", "zurichberg zürichbergs", "knowledge-graphs knowledges graph", "", None, "neurall netwroks", "ontolog ontologys"]
+    topics = spark.createDataFrame([(n,) for n in names], "name string")
+    papers = spark.createDataFrame(list(enumerate(texts)), "eid long, title string")
+    up = spark.createDataFrame([("ontology", "root")], "src string, dst string")
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            line, above = [i], line
+            for j_, y in enumerate(b, 1):
+                line.append(min(above[j_] + 1, line[-1] + 1, above[j_ - 1] + (x != y)))
+        return line[-1]
+
+    phrases = {n: n.lower().split() for n in names}
+    stated = {w for ws in phrases.values() for w in ws}
+
+    def same(run, phrase):
+        off = [(x, y) for x, y in zip(run, phrase) if x != y]
+        return len(run) == len(phrase) and (not off or len(off) == 1 and len(off[0][1]) >= 8 and off[0][0] not in stated and edits(*off[0]) <= 1)
+
+    want = {}
+    for eid, text in enumerate(texts):
+        words = "".join(x if x.isalnum() else " " for x in (text or "").lower()).split()
+        for name, phrase in phrases.items():
+            times = sum(same(words[i:i + len(phrase)], phrase) for i in range(len(words)))
+            for topic in [name] + ["root"] * (name == "ontology"):
+                if times:
+                    want[eid, topic] = want.get((eid, topic), 0) + times
+    found = classify_topics(papers, vocabulary(topics), up, k=None, text_cols=["title"], near=1)
+    assert {(r.eid, r.topic): r.score for r in found.collect()} == want and len(want) >= 10
+
+
 def test_people(spark, rows):
     papers = spark.createDataFrame(
         [(1, "Smith J.; Doe A.;", "Smith J., Univ X, City; NoComma; , x; Doe A., Lab"), (2, None, None)],

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from topicloom.constants import TOPICS_PER_PAPER
 from topicloom.functions.columns import join_text
 from topicloom.functions.text import ngrams, normalize_keyword, tokens
+from topicloom.operators.fuzzy import fuzzy_match
 from topicloom.operators.topk import top_k_per_key
-from topicloom.runtime import has_at_most
+from topicloom.runtime import cut_lineage, has_at_most
 
 FEW_PHRASES = 200_000  # vocabulary entries that are broadcast as an automaton; beyond that they are joined
 
@@ -30,6 +31,29 @@ def vocabulary(topics: DataFrame, synonyms: DataFrame | None = None) -> DataFram
     return phrases.where(F.col("phrase") != "").distinct()
 
 
+def with_near_phrases(
+    vocab: DataFrame, papers: DataFrame, text_cols: Sequence[str] = ("title", "abstract", "keywords"), max_dist: int = 1, least: int = 8
+) -> DataFrame:
+    """``vocab`` and, for every phrase, its spellings in the texts of ``papers`` with one word at most ``max_dist`` edits off.
+
+    Only words of ``least`` characters in the vocabulary have other spellings, and a word or phrase that is in the
+    vocabulary itself never counts as another one. A spelling near several topics counts for all of them. The words of
+    the texts are made distinct before they meet the vocabulary, so the work grows with their variety, not their number.
+    """
+    if max_dist < 1:
+        return vocab
+    places = vocab.select("phrase", "topic", F.posexplode(F.split("phrase", "_")).alias("at", "word"))
+    stated = places.select("word").distinct()
+    used = papers.select(F.explode(tokens(join_text(*text_cols))).alias("keyword")).where(F.length("keyword") >= least - max_dist)
+    unknown = used.distinct().join(stated, F.col("keyword") == F.col("word"), "left_anti")
+    near = fuzzy_match(unknown, stated.where(F.length("word") >= least).withColumnRenamed("word", "name"), max_dist)
+    spelt = places.join(near.select("keyword", F.col("topic").alias("word")), "word").select(
+        F.array_join(F.transform(F.split("phrase", "_"), lambda w, i: F.when(i == F.col("at"), F.col("keyword")).otherwise(w)), "_").alias("phrase"),
+        "topic",
+    )
+    return vocab.select("phrase", "topic").unionByName(spelt).distinct()
+
+
 def classify_topics(
     papers: DataFrame,
     vocab: DataFrame,
@@ -39,6 +63,7 @@ def classify_topics(
     text_cols: Sequence[str] = ("title", "abstract", "keywords"),
     n_max: int | None = None,
     include_direct: bool = True,
+    near: int = 0,
 ) -> DataFrame:
     """Topics per paper as ``key, topic, score, rank``: at most ``k``, by (score desc, topic).
 
@@ -51,8 +76,11 @@ def classify_topics(
     and hits are summed in one shuffle. With ``n_max`` longer phrases are left out. A vocabulary
     of checked size becomes one automaton, and every text is walked once whatever the length of
     phrases; with a larger one all runs of words, counted per paper, are joined with it. Papers
-    without a key keep it; null texts hold nothing.
+    without a key keep it; null texts hold nothing. With ``near`` a phrase is also found where one
+    of its longer words is up to so many edits off, see ``with_near_phrases``.
     """
+    if near:
+        vocab = cut_lineage(with_near_phrases(vocab, papers, text_cols, near))
     if n_max is not None:
         vocab = vocab.where(F.size(F.split("phrase", "_")) <= n_max)
     direct = vocab.select("phrase", "topic", F.lit(1).alias("weight"), F.lit(1).alias("direct"))
