@@ -16,7 +16,7 @@ from topicloom.graph.hubs import hubs
 from topicloom.graph.ontology import canonical_hierarchy, descendants
 from topicloom.graph.pagerank import pagerank
 from topicloom.graph.projection import project_graph
-from topicloom.graph.similarity import node_similarity
+from topicloom.graph.similarity import node_similarity, similar_to
 from topicloom.model import Graph
 from topicloom.plans import questions as q
 
@@ -66,6 +66,34 @@ def test_node_similarity_routes(spark, k, cutoff, options):
     assert {(r.node, r.neighbour, round(r.similarity, 9)) for r in got} == brute_similarity(edges, k, cutoff)
 
 
+@pytest.mark.parametrize("k,cutoff", [(3, 0.3), (10, 0.0), (2, 0.8)])
+def test_similar_to_some_nodes(spark, k, cutoff):
+    edges = skewed_edges(k)
+    df = spark.createDataFrame([*edges, next(iter(edges)), (None, "hot"), (5, None)], "src long, dst string").where("dst IS NOT NULL AND src IS NOT NULL")
+    chosen = {0, 1, 150, 151, 200, 203, 999}
+    got = similar_to(df, spark.createDataFrame([(i,) for i in chosen], "node long"), top_k=k, cutoff=cutoff).collect()
+    want = {row for row in brute_similarity(edges, k, cutoff) if row[0] in chosen}
+    assert {(r.node, r.neighbour, round(r.similarity, 9)) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("batches", [(2, 3), (4096,)])
+def test_similar_papers_by_batches(spark, monkeypatch, batches):
+    """However many papers are tried at a time, the first rows are those of the whole result."""
+    monkeypatch.setattr(q, "BATCHES", batches)
+    edges = [(i, f"own{i}") for i in range(6)] + [(i, t) for i in range(6, 12) for t in ("a", "b", f"c{i % 3}")]
+    graph = Graph(
+        {"Paper": spark.createDataFrame([(i, f"t{i}") for i in range(11)], "eid long, title string")},
+        {"ADDRESSES_TOPIC": spark.createDataFrame(edges, "src long, dst string"),
+         "AUTHORED": spark.createDataFrame([("x", i) for i in range(5, 12)], "src string, dst long")},
+    )
+    whole = q.q6_similar_papers(graph, cutoff=0.99, n=None).collect()
+    for n in (1, 50):
+        assert q.q6_similar_papers(graph, cutoff=0.99, n=n).collect() == whole[:n]
+    pairs = q.q7_similar_authors(graph, cutoff=0.99, n=None).collect()
+    # Paper 11 has no node, so it makes no pair with 8.
+    assert len(pairs) == 4 and q.q7_similar_authors(graph, cutoff=0.99, n=3).collect() == pairs[:3]
+
+
 def brute_pagerank(n, edges, d=0.85, iters=20):
     out = np.zeros(n)
     for a, _ in edges:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from topicloom.constants import SIMILARITY_TOP_K
 from topicloom.operators.topk import top_k_per_key
-from topicloom.runtime import cut_lineage
+from topicloom.runtime import cut_lineage, forget, stored
 
 
 def _jaccard(common: Column, a: Column, b: Column) -> Column:
@@ -178,3 +178,32 @@ def node_similarity(
             .agg(F.max("similarity").alias("similarity"))
         )
     return top_k_per_key(found, "node", [F.desc("similarity"), "neighbour"], top_k)
+
+
+def similar_to(edges: DataFrame, sources: DataFrame, top_k: int = SIMILARITY_TOP_K, cutoff: float = 0.0) -> DataFrame:
+    """``node, neighbour, similarity, rank`` as ``node_similarity``, for the nodes of ``sources(node)`` only.
+
+    For some thousands of sources. A source meets other nodes at the first ``size - floor(cutoff * size)`` of its
+    neighbours, rarest first, and those that it met are measured; other nodes are never compared with each other.
+    """
+    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("name"))
+    # Every step reads the edges through a semi join with a stored table of known size, before rows are made distinct.
+    ours = stored(links.join(sources.select("node"), "node", "left_semi").distinct().withColumnRenamed("node", "a"))
+    around = stored(links.join(ours.select("name").distinct(), "name", "left_semi").distinct().withColumnRenamed("node", "b"))
+    degrees = around.groupBy("name").agg(F.count("*").alias("degree"))
+    ranked = ours.join(degrees, "name").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("degree", "name"))).alias("items"))
+    ranked = ranked.withColumn("a_size", F.size("items"))
+    prefix = F.col("a_size") - F.floor(F.greatest(F.col("a_size") * F.lit(cutoff) - F.lit(1e-9), F.lit(0.0))).cast("int")
+    probes = ranked.select("a", "a_size", F.explode(F.slice("items", F.lit(1), prefix)).alias("item")).select("a", "a_size", "item.name")
+    met = stored(probes.join(around, "name").where(F.col("a") != F.col("b")).select("a", "a_size", "b").distinct())
+    others = stored(met.select("b").distinct())
+    sizes = links.withColumnRenamed("node", "b").join(others, "b", "left_semi").distinct().groupBy("b").agg(F.count("*").alias("b_size"))
+    theirs = around.join(others, "b", "left_semi")
+    common = theirs.join(ours, "name").join(met, ["a", "b"]).groupBy("a", "a_size", "b").agg(F.count("*").alias("common"))
+    measured = common.join(sizes, "b").select(
+        F.col("a").alias("node"), F.col("b").alias("neighbour"),
+        _jaccard(F.col("common"), F.col("a_size"), F.col("b_size")).alias("similarity"),
+    )
+    found = stored(top_k_per_key(measured.where(F.col("similarity") > cutoff), "node", [F.desc("similarity"), "neighbour"], top_k))
+    forget(ours, around, met, others)
+    return found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from topicloom.constants import DOMAIN_EDGES, HUB_LABELS, HUB_TYPES, TREND_YEARS
 from topicloom.functions.columns import pct, round_half_up
 from topicloom.graph.hubs import hubs
-from topicloom.graph.similarity import node_similarity
+from topicloom.graph.similarity import node_similarity, similar_to
 from topicloom.model import Graph
 from topicloom.operators.aggregates import count_by, growth, sum_if
 from topicloom.operators.joins import (
     authors_of_pairs, present_in_all, restrict_to, topic_counts, with_totals,
 )
 from topicloom.operators.topk import first_n, top_k_array, top_n
+from topicloom.runtime import stored
 
 
 def _domain_edges(graph: Graph) -> dict[str, DataFrame]:
@@ -104,20 +105,46 @@ def q5_growth_match(graph: Graph, years: Sequence[int] = TREND_YEARS, n: int = 1
     return both.select(F.col("name").alias("topic"), "job_count", "so_count").orderBy(F.desc("job_count"), "topic")
 
 
-def similar_papers(graph: Graph, cutoff: float, k: int) -> DataFrame:
-    """``paper, neighbour, sim, rank``: the ``k`` nearest papers by shared topics."""
-    near = node_similarity(graph.edges["ADDRESSES_TOPIC"], top_k=k, cutoff=cutoff)
-    return near.select(
-        F.col("node").alias("paper"), "neighbour", round_half_up("similarity", 3).alias("sim"), "rank"
-    )
+BATCHES = (256, 4096)  # papers tried before all papers are compared
+
+
+def similar_papers(
+    graph: Graph, cutoff: float, k: int, shown: Callable[[DataFrame], DataFrame] = lambda near: near, n: int | None = None
+) -> DataFrame:
+    """``paper, neighbour, sim, rank``: the ``k`` nearest papers by shared topics, filtered by ``shown``.
+
+    With ``n`` papers are tried in order of their ids, in growing batches, until ``n`` of them have a row left; the
+    result then holds the rows of the papers tried. If the batches find too few, all papers are compared.
+    """
+    edges = graph.edges["ADDRESSES_TOPIC"]
+
+    def named(near: DataFrame) -> DataFrame:
+        return shown(near.select(F.col("node").alias("paper"), "neighbour", round_half_up("similarity", 3).alias("sim"), "rank"))
+
+    found, last = None, None
+    for size in BATCHES if n is not None else ():
+        left = edges.select(F.col("src").alias("node")).where(F.col("src").isNotNull() if last is None else F.col("src") > last)
+        batch = stored(first_n(left.distinct(), "node", size))
+        tried, last = batch.agg(F.count("*"), F.max("node")).first()
+        if tried:
+            rows = named(similar_to(edges, batch, top_k=k, cutoff=cutoff))
+            found = rows if found is None else found.unionByName(rows)
+        if tried < size or found.select("paper").distinct().count() >= n:
+            break
+    else:
+        return named(node_similarity(edges, top_k=k, cutoff=cutoff))
+    return named(node_similarity(edges, top_k=k, cutoff=cutoff)) if found is None else found
 
 
 def q6_similar_papers(graph: Graph, cutoff: float = 0.3, k: int = 3, n: int | None = 3) -> DataFrame:
     """Papers with their most similar papers as an array of ``{title, sim}``."""
-    near = similar_papers(graph, cutoff, k)
     papers = graph.nodes["Paper"].select("eid", "title")
-    near = near.join(papers.select(F.col("eid").alias("neighbour")), "neighbour", "left_semi")
-    near = near.join(papers.select(F.col("eid").alias("paper")), "paper", "left_semi")
+
+    def known(near: DataFrame) -> DataFrame:
+        near = near.join(papers.select(F.col("eid").alias("neighbour")), "neighbour", "left_semi")
+        return near.join(papers.select(F.col("eid").alias("paper")), "paper", "left_semi")
+
+    near = similar_papers(graph, cutoff, k, known, n)
     if n is not None:
         # The papers are chosen before titles are fetched and arrays are made.
         chosen = first_n(near.select("paper").distinct(), "paper", n)
@@ -135,12 +162,16 @@ def q7_similar_authors(graph: Graph, cutoff: float = 0.8, k: int = 3, n: int | N
 
     An author list is as long as one paper has authors, so it fits a row.
     """
-    near = similar_papers(graph, cutoff, k)
     authored = graph.edges["AUTHORED"].select("src", "dst").distinct()
-    with_author = authored.select(F.col("dst").alias("p")).distinct()
-    pairs = near.join(with_author, F.col("paper") == F.col("p"), "left_semi").join(
-        with_author, F.col("neighbour") == F.col("p"), "left_semi"
-    )
+    titles = graph.nodes["Paper"].select("eid", "title")
+    # Papers that can be shown; without this the limit would count pairs that have no row.
+    with_author = authored.select(F.col("dst").alias("p")).distinct().join(titles, F.col("p") == F.col("eid"), "left_semi")
+
+    def with_authors(near: DataFrame) -> DataFrame:
+        near = near.join(with_author, F.col("paper") == F.col("p"), "left_semi")
+        return near.join(with_author, F.col("neighbour") == F.col("p"), "left_semi")
+
+    pairs = similar_papers(graph, cutoff, k, with_authors, n)
     pairs = first_n(pairs, ["paper", "rank"], n) if n is not None else pairs
     sides = authors_of_pairs(pairs, authored)
 
@@ -150,7 +181,6 @@ def q7_similar_authors(graph: Graph, cutoff: float = 0.8, k: int = 3, n: int | N
     lists = sides.groupBy("paper", "neighbour", "sim", "rank").agg(
         names(1).alias("paper_authors"), names(2).alias("similar_paper_authors")
     )
-    titles = graph.nodes["Paper"].select("eid", "title")
     named = (
         lists.join(titles.select(F.col("eid").alias("paper"), F.col("title").alias("paper_title")), "paper")
         .join(titles.select(F.col("eid").alias("neighbour"), F.col("title").alias("similar_paper_title")), "neighbour")
