@@ -15,7 +15,7 @@ from topicloom.graph.components import components_by_stars, connected_components
 from topicloom.graph.hubs import hubs
 from topicloom.graph.ontology import canonical_hierarchy, descendants
 from topicloom.graph.pagerank import pagerank
-from topicloom.graph.projection import project_graph
+from topicloom.graph.projection import project_graph, project_numbers
 from topicloom.graph.similarity import node_similarity, similar_to
 from topicloom.model import Graph
 from topicloom.plans import questions as q
@@ -426,3 +426,31 @@ def test_directed_projection(graph, orientation):
     stored = {(f"Paper:{r.src}", f"Topic:{r.dst}") for r in graph.edges["ADDRESSES_TOPIC"].collect()}
     got = {(r.src, r.dst) for r in edges.collect()}
     assert got and got <= (stored if orientation == "NATURAL" else {(b, a) for a, b in stored})
+
+
+@pytest.mark.parametrize("reached_sinks", [True, False])
+def test_pagerank_over_blocks(spark, monkeypatch, reached_sinks):
+    """Nodes lie in several blocks, and a round moves a sum per block and end instead of an amount per edge."""
+    monkeypatch.setattr(pagerank_module, "numbered_rows", lambda rows: rows.repartition(3, "name").withColumn("id", F.monotonically_increasing_id()).localCheckpoint())
+    monkeypatch.setattr(pagerank_module, "EDGES_PER_SALT", 20)
+    rng = random.Random(11)
+    edges = sorted({(rng.randrange(40), rng.randrange(40 if not reached_sinks else 50)) for _ in range(200)})
+    if not reached_sinks:
+        edges = sorted({e for a, b in edges for e in ((a, b), (b, a))})
+    nodes = spark.createDataFrame([(i,) for i in range(50)], "id long")
+    got = {r.id: r["rank"] for r in pagerank(nodes, spark.createDataFrame(edges, "src long, dst long")).collect()}
+    want = brute_pagerank(50, edges)
+    assert got == {i: pytest.approx(want[i], abs=1e-12) for i in range(50)}
+
+
+def test_projection_to_numbers(graph):
+    """The same edges as by names; a repeated edge counts once, an edge between topics in either direction."""
+    topics = graph.edges["SUBTOPIC_OF"]
+    edges = graph.edges | {"SUBTOPIC_OF": topics.unionByName(topics).unionByName(topics.select(F.col("dst").alias("src"), F.col("src").alias("dst")))}
+    doubled = Graph(graph.nodes, edges)
+    labels, types = ["Paper", "Topic"], ["ADDRESSES_TOPIC", "SUBTOPIC_OF"]
+    _, named = project_graph(doubled, labels, types)
+    nodes, numbered = project_numbers(doubled, labels, types)
+    names = {r.id: r["name"] for r in nodes.collect()}
+    assert len(names) == len(set(names.values()))
+    assert sorted((names[r.src], names[r.dst]) for r in numbered.collect()) == sorted((r.src, r.dst) for r in named.collect())

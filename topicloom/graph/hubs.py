@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from topicloom.constants import HUB_LABELS, HUB_TYPES
 from topicloom.graph.betweenness import betweenness
 from topicloom.graph.pagerank import pagerank
-from topicloom.graph.projection import project_graph
+from topicloom.graph.projection import project_numbers
 from topicloom.model import Graph
 from topicloom.operators.topk import top_k_per_key
-from topicloom.runtime import cut_lineage
 
 
 def hubs(
@@ -35,13 +34,8 @@ def hubs(
     wanted = [m for m in ("degree", "pagerank", "betweenness") if m in measures or m == by or m == "betweenness" and sources is not None]
     if "betweenness" in wanted and sources is None:
         raise ValueError("betweenness needs sources, the number of nodes shortest paths start from")
-    named, edges = project_graph(graph, labels, types)
     # Nodes are numbered once, and every measure runs on numbers; edges of two types never have the same ends.
-    named = cut_lineage(named.withColumnRenamed("id", "name").withColumn("id", F.monotonically_increasing_id()))
-    numbers = named.select("name", "id")
-    edges = edges.join(numbers.select(F.col("name").alias("src"), F.col("id").alias("a")), "src").join(
-        numbers.select(F.col("name").alias("dst"), F.col("id").alias("b")), "dst")
-    edges = cut_lineage(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    named, edges = project_numbers(graph, labels, types)
     scored = named
     if "degree" in wanted:
         degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
@@ -51,6 +45,7 @@ def hubs(
         scored = scored.join(ranks.withColumnRenamed("rank", "pagerank"), "id")
     if "betweenness" in wanted:
         # Sources are drawn by name, so names stand for numbers here.
+        numbers = named.select("name", "id")
         by_name = edges.join(numbers.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(
             numbers.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst"
         ).select(F.col("a").alias("src"), F.col("b").alias("dst"))

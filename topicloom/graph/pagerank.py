@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.runtime import cut_lineage
+from topicloom.runtime import forget, stored
 
-EDGES_PER_SALT = 100_000  # of one source in one place
+EDGES_PER_SALT = 4_000_000  # of one block in one place
+PLACE = 33  # bits of a number below its block
+IN_BLOCK = (1 << PLACE) - 1
+
+PLACES = "block long, nodes long, sinks long, share binary, salts long"
+CHUNKS = "block long, salt long, src binary, at binary, ends binary"
+PARTS = "block long, places binary, sums binary"
+STATE = "block long, salts long, rank binary, sent binary, lost double, left double"
+
+
+def numbered_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column ``id``, stored: the block of a row in the upper bits, its place there in the lower 33."""
+    n = rows.count()
+    blocks = max(1, min(48, -(-n // 50_000)), -(-n // 2_000_000))
+    return stored(rows.repartition(blocks).withColumn("id", F.monotonically_increasing_id()), "numbered")
 
 
 def pagerank(
@@ -20,80 +36,142 @@ def pagerank(
 
     ``nodes`` has column ``id``, ``edges`` has ``src, dst`` with both ends among the nodes.
     The rank of a sink, a node without outgoing edges, is spread over all nodes. ``numbered`` says
-    that ids are distinct whole numbers already.
+    that ids are those of ``numbered_rows`` already, and both tables stored.
     """
-    # Rounds run on numbers instead of names; the checkpoint fixes which number a node has.
+    # Rounds run on numbers instead of names; what is stored fixes which number a node has.
     if numbered:
-        named = nodes.select(F.col("id").alias("name"), "id")
+        named, links = nodes.select(F.col("id").alias("name"), "id"), edges.select("src", "dst")
     else:
-        named = cut_lineage(nodes.select(F.col("id").alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()))
-    n = named.count()
-    if n == 0:
+        named = numbered_rows(nodes.select(F.col("id").alias("name")).distinct())
+        links = stored(edges.select("src", "dst").join(
+            named.select(F.col("name").alias("src"), F.col("id").alias("a")), "src").join(
+            named.select(F.col("name").alias("dst"), F.col("id").alias("b")), "dst"
+        ).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    places = stored(_places(named, links), "places")
+    n, n_sinks = places.agg(F.sum("nodes"), F.sum("sinks")).first()
+    if not n:
         return named.select(F.col("name").alias("id"), F.lit(0.0).alias("rank"))
+    if not iters:
+        return named.select(F.col("name").alias("id"), F.lit(1.0 / n).alias("rank"))
+    # Edges are dealt by the block of their source and a salt, packed, and kept on disk in a form whose partitioning and
+    # order the plan knows: a round moves ranks and sums, never edges. A lost part is made again from the stored table.
+    packed = stored(_packed(links, places), "chunks")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = cut_lineage(named.select("id").repartition(parts, "id"))
-    links = edges.select("src", "dst") if numbered else edges.join(
-        named.select(F.col("name").alias("src"), F.col("id").alias("a")), "src").join(
-        named.select(F.col("name").alias("dst"), F.col("id").alias("b")), "dst"
-    ).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    links = cut_lineage(links)
-    out = cut_lineage(links.groupBy("src").agg(F.count("*").alias("out")))
-    # Edges are dealt by their source and by a salt, so that a source of many edges lies in several partitions, and
-    # kept on disk in a form whose partitioning the plan knows: a round moves ranks, never edges. A lost part is made
-    # again from the checkpoint.
-    salted = links.join(out, "src").select(
-        "src", F.pmod(F.xxhash64("dst"), _salts(F.col("out"))).alias("salt"), "dst", (F.lit(1.0) / F.col("out")).alias("share")
-    )
-    shares = salted.repartition(parts, "src", "salt").persist(StorageLevel.DISK_ONLY)
-    out = out.select("src", _salts(F.col("out")).alias("salts"))
-    sinks = cut_lineage(ids.join(out.select(F.col("src").alias("id")), "id", "left_anti"))
-    n_sinks = sinks.count()
-    ends = shares.select(F.col("dst").alias("id")).distinct()
-    if n_sinks == 0 or sinks.join(ends, "id", "left_semi").isEmpty():
-        ranks = _with_lone_sinks(ids, n, shares, out, n_sinks, damping, iters, cut_every)
+    chunks = packed.repartition(parts, "block", "salt").sortWithinPartitions("block", "salt").persist(StorageLevel.DISK_ONLY)
+    ones = places.select("block", "salts", F.col("share").alias("sent"))
+    first = stored(_passed_on(ones, chunks, places, 0.0, 1.0), "power") if n_sinks else None
+    if first is None or not first.agg(F.sum("lost")).first()[0]:
+        ranks = _with_lone_sinks(ones, n, chunks, places, n_sinks, damping, iters, cut_every)
     else:
-        ranks = _with_reached_sinks(ids, n, shares, out, sinks, damping, iters)
-    ranks = cut_lineage(ranks)
-    shares.unpersist()
+        ranks = _with_reached_sinks(first, n, chunks, places, damping, iters)
+    ranks = stored(ranks.mapInArrow(_rows_of_blocks, "id long, rank double"), "ranks")
+    chunks.unpersist()
+    forget(packed)
     return named.join(ranks, "id").select(F.col("name").alias("id"), "rank")
 
 
-def _salts(out: Column) -> Column:
-    """Over how many salts the edges of a source are dealt."""
-    return F.ceil(out / F.lit(EDGES_PER_SALT)).cast("long")
+def _block(number: str):
+    return F.shiftright(number, PLACE)
+
+
+def _places(named: DataFrame, links: DataFrame) -> DataFrame:
+    """Per block its number of nodes and of sinks, what share of a node's rank goes along each of its edges (0 for a
+    sink), and over how many salts its edges are dealt."""
+    nodes = named.groupBy(_block("id").alias("block")).agg(F.count("*").alias("nodes"))
+    out = links.groupBy("src").agg(F.count("*").alias("out")).select(_block("src").alias("block"), "src", "out")
+
+    def shares(out: pa.Table, nodes: pa.Table) -> pa.Table:
+        size, share = nodes["nodes"][0].as_py(), None
+        counts = out["out"].to_numpy()
+        share = np.zeros(size)
+        share[out["src"].to_numpy() & IN_BLOCK] = 1.0 / counts
+        salts = max(1, -(-int(counts.sum()) // EDGES_PER_SALT))
+        return pa.table({
+            "block": nodes["block"].slice(0, 1), "nodes": pa.array([size]), "sinks": pa.array([size - len(counts)]),
+            "share": pa.array([share.tobytes()], pa.binary()), "salts": pa.array([salts]),
+        })
 
+    return out.groupBy("block").cogroup(nodes.groupBy("block")).applyInArrow(shares, PLACES)
 
-def _passed_on(ranks: DataFrame, shares: DataFrame, out: DataFrame) -> DataFrame:
-    """The rank that each node receives: a rank goes to every salt of its node, and from there along the edges."""
-    sent = ranks.join(out, ranks["id"] == out["src"]).select(
-        "src", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
-    )
-    return (
-        sent.join(shares, ["src", "salt"])
-        .groupBy(F.col("dst").alias("id"))
-        .agg(F.sum(F.col("rank") * F.col("share")).alias("rank"))
-    )
+
+def _packed(links: DataFrame, places: DataFrame) -> DataFrame:
+    """One row for the edges of a block and salt: places of their sources, and where their ends stand among ``ends``.
+
+    The salt goes by the end of an edge, so the edges of a heavy source lie in several rows, and what goes from a block
+    to one end is added up in one place.
+    """
+    salted = links.withColumn("block", _block("src")).join(F.broadcast(places.select("block", "salts")), "block").select(
+        "block", F.pmod(F.xxhash64("dst"), "salts").alias("salt"), "src", "dst")
+
+    def pack(edges: pa.Table) -> pa.Table:
+        ends, at = np.unique(edges["dst"].to_numpy(), return_inverse=True)
+        src = (edges["src"].to_numpy() & IN_BLOCK).astype(np.int32)
+        binary = lambda a: pa.array([a.tobytes()], pa.binary())
+        return pa.table({
+            "block": edges["block"].slice(0, 1), "salt": edges["salt"].slice(0, 1),
+            "src": binary(src), "at": binary(at.astype(np.int32)), "ends": binary(ends),
+        })
+
+    return salted.groupBy("block", "salt").applyInArrow(pack, CHUNKS)
+
+
+def _passed_on(state: DataFrame, chunks: DataFrame, places: DataFrame, base: float, scale: float) -> DataFrame:
+    """The next state: ``base`` plus ``scale`` times what nodes receive. ``lost`` is what the sinks of a block hold,
+    ``left`` tells whether its other nodes hold anything."""
+    sent = state.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "sent")
+
+    def send(chunk: pa.Table, sent: pa.Table) -> pa.Table:
+        blocks, places, sums = [], [], []
+        if chunk.num_rows:
+            src, at = (np.frombuffer(chunk[c][0].as_py(), np.int32) for c in ("src", "at"))
+            ends = np.frombuffer(chunk["ends"][0].as_py(), np.int64)
+            added = np.bincount(at, np.frombuffer(sent["sent"][0].as_py())[src], len(ends))
+            cuts = np.flatnonzero(np.diff(ends >> PLACE)) + 1
+            for e, s in zip(np.split(ends, cuts), np.split(added, cuts)):
+                blocks.append(int(e[0] >> PLACE))
+                places.append(np.diff(e & IN_BLOCK, prepend=0).astype(np.int32).tobytes())  # steps compress well
+                sums.append(s.tobytes())
+        return pa.table({"block": pa.array(blocks, pa.int64()), "places": pa.array(places, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    def receive(place: pa.Table, parts: pa.Table) -> pa.Table:
+        share = np.frombuffer(place["share"][0].as_py())
+        rank = np.zeros(len(share))
+        for at, sums in zip(parts["places"], parts["sums"]):
+            rank[np.cumsum(np.frombuffer(at.as_py(), np.int32))] += np.frombuffer(sums.as_py())  # each place once in a part
+        rank = base + scale * rank
+        return pa.table({
+            "block": place["block"], "salts": place["salts"], "rank": pa.array([rank.tobytes()], pa.binary()),
+            "sent": pa.array([(rank * share).tobytes()], pa.binary()), "lost": pa.array([float(rank[share == 0].sum())]),
+            "left": pa.array([float((rank * share).sum())]),
+        })
+
+    sums = chunks.groupBy("block", "salt").cogroup(sent.groupBy("block", "salt")).applyInArrow(send, PARTS)
+    at = places.select("block", "share", "salts")
+    return at.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(receive, STATE)
+
+
+def _rows_of_blocks(batches):
+    for batch in batches:
+        for block, rank in zip(batch["block"], batch["rank"]):
+            rank = np.frombuffer(rank.as_py())
+            ids = np.arange(len(rank), dtype=np.int64) + (block.as_py() << PLACE)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rank)], ["id", "rank"])
 
 
 def _with_lone_sinks(
-    ids: DataFrame, n: int, shares: DataFrame, out: DataFrame, n_sinks: int, damping: float, iters: int, cut_every: int
+    ones: DataFrame, n: int, chunks: DataFrame, places: DataFrame, n_sinks: int, damping: float, iters: int, cut_every: int
 ) -> DataFrame:
     """Nothing points at a sink, as in an undirected graph: all sinks share one known rank."""
-    ranks, alone = ids.withColumn("rank", F.lit(1.0 / n)), 1.0 / n
+    state, alone, scale = ones, 1.0 / n, damping / n
     for i in range(1, iters + 1):
         alone = (1 - damping) / n + damping * n_sinks * alone / n
-        received = _passed_on(ranks, shares, out)
-        ranks = ids.join(received, "id", "left").select(
-            "id", (F.lit(alone) + damping * F.coalesce("rank", F.lit(0.0))).alias("rank")
-        )
+        state, scale = _passed_on(state, chunks, places, alone, scale), damping
         if i % cut_every == 0 and i < iters:
-            ranks = cut_lineage(ranks)
-    return ranks
+            state = stored(state, "ranks")
+    return state.select("block", "rank")
 
 
-def _with_reached_sinks(
-    ids: DataFrame, n: int, shares: DataFrame, out: DataFrame, sinks: DataFrame, damping: float, iters: int
-) -> DataFrame:
+def _with_reached_sinks(first: DataFrame, n: int, chunks: DataFrame, places: DataFrame, damping: float, iters: int) -> DataFrame:
     """The general case, without asking for the rank of the sinks in every round.
 
     With P passing ranks along the edges, round t gives r(t) = a(t) + damping * P r(t - 1), where
@@ -101,19 +179,27 @@ def _with_reached_sinks(
     powers P^j 1 need no a(t); they end early when no path is that long. Their sums over the
     sinks then give all a(t), one after the other.
     """
-    powers = [ids.withColumn("rank", F.lit(1.0))]
-    for _ in range(iters):
-        power = cut_lineage(_passed_on(powers[-1], shares, out))
-        if power.isEmpty():
-            break
+    sinks = places.agg(F.sum("sinks")).first()[0]
+    powers, lost = [first], {0: float(sinks), 1: first.agg(F.sum("lost")).first()[0]}
+    for j in range(2, iters + 1):
+        power = stored(_passed_on(powers[-1], chunks, places, 0.0, 1.0), "power")
+        lost[j], left = power.agg(F.sum("lost"), F.sum("left")).first()
         powers.append(power)
-    steps = reduce(DataFrame.unionByName, [p.withColumn("step", F.lit(j)) for j, p in enumerate(powers)])
-    lost = dict(steps.join(sinks, "id", "left_semi").groupBy("step").agg(F.sum("rank")).collect())
+        if not left:  # all of it lies in sinks, so the next power is 0
+            break
     even = [1.0 / n]
     for t in range(iters):
         mass = sum(even[t - j] * damping**j * lost.get(j, 0.0) for j in range(t + 1))
         even.append((1 - damping) / n + damping * mass / n)
-    weighted = [
-        p.select("id", (F.col("rank") * F.lit(even[iters - j] * damping**j)).alias("rank")) for j, p in enumerate(powers)
-    ]
-    return reduce(DataFrame.unionByName, weighted).groupBy("id").agg(F.sum("rank").alias("rank"))
+    steps = reduce(DataFrame.unionByName, [
+        p.select("block", "rank", F.lit(even[iters - j] * damping**j).alias("times")) for j, p in enumerate(powers, 1)
+    ])
+    alone = even[iters]
+
+    def add(rows: pa.Table) -> pa.Table:
+        rank = alone
+        for part, times in zip(rows["rank"], rows["times"]):
+            rank = rank + times.as_py() * np.frombuffer(part.as_py())
+        return pa.table({"block": rows["block"].slice(0, 1), "rank": pa.array([rank.tobytes()], pa.binary())})
+
+    return steps.groupBy("block").applyInArrow(add, "block long, rank binary")

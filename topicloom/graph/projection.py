@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from topicloom.constants import EDGE_ENDS, NODE_KEYS
 from topicloom.graph.components import symmetric
+from topicloom.graph.pagerank import numbered_rows
 from topicloom.model import Graph
+from topicloom.runtime import stored
 
 
 def node_id(label: str, key: Column | str) -> Column:
@@ -18,6 +20,42 @@ def node_id(label: str, key: Column | str) -> Column:
     return F.concat(F.lit(f"{label}:"), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
+def _nodes(graph: Graph, labels: Sequence[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
+        graph.nodes[label].select(
+            node_id(label, NODE_KEYS[label]).alias("id"), F.lit(label).alias("label"),
+            F.col(NODE_KEYS[label]).cast("string").alias("key"),
+        )
+        for label in labels
+    ])
+
+
+def project_numbers(graph: Graph, labels: Sequence[str], types: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """As ``project_graph``, undirected: stored nodes ``name, label, key, id``, numbered, and stored edges ``src, dst``
+    of numbers.
+
+    An end is joined with the nodes of its label once, and only numbers are made distinct and turned around.
+    """
+    nodes = numbered_rows(_nodes(graph, labels).withColumnRenamed("id", "name"))
+    inside = [t for t in types if set(EDGE_ENDS[t]) <= set(labels)]
+    if not inside:
+        return nodes, nodes.sparkSession.createDataFrame([], "src long, dst long")
+
+    def typed(kind: str) -> DataFrame:
+        ends = graph.edges[kind].select("src", "dst")
+        for end, label in zip(("src", "dst"), EDGE_ENDS[kind]):
+            known = nodes.where(F.col("label") == label).select(F.col("key").alias(f"{end}_key"), F.col("id").alias(f"{end}_id"))
+            ends = ends.join(known, F.col(end).cast("string") == F.col(f"{end}_key"))
+        ends = ends.where("src_id <> dst_id")
+        if len(set(EDGE_ENDS[kind])) == 1:  # an edge may be there in both directions, or lead to the same name
+            ends = ends.where("src_key <> dst_key").select(F.least("src_id", "dst_id").alias("src_id"), F.greatest("src_id", "dst_id").alias("dst_id"))
+        return ends.select("src_id", "dst_id").distinct()
+
+    once = reduce(DataFrame.unionByName, [typed(t) for t in inside])
+    both = F.explode(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("src_id", "dst_id"), ("dst_id", "src_id"))]))
+    return nodes, stored(once.select(both.alias("e")).select("e.src", "e.dst"), "edges")
+
+
 def project_graph(
     graph: Graph, labels: Sequence[str], types: Sequence[str], orientation: str = "UNDIRECTED"
 ) -> tuple[DataFrame, DataFrame]:
@@ -26,13 +64,7 @@ def project_graph(
     An edge with an end outside of the labels is left out. ``UNDIRECTED`` gives each edge in both
     directions, ``NATURAL`` as stored, ``REVERSE`` turned around.
     """
-    nodes = reduce(DataFrame.unionByName, [
-        graph.nodes[label].select(
-            node_id(label, NODE_KEYS[label]).alias("id"), F.lit(label).alias("label"),
-            F.col(NODE_KEYS[label]).cast("string").alias("key"),
-        )
-        for label in labels
-    ])
+    nodes = _nodes(graph, labels)
     inside = [t for t in types if set(EDGE_ENDS[t]) <= set(labels)]
     if not inside:
         return nodes, nodes.sparkSession.createDataFrame([], "src string, dst string, type string")
