@@ -454,3 +454,31 @@ def test_projection_to_numbers(graph):
     names = {r.id: r["name"] for r in nodes.collect()}
     assert len(names) == len(set(names.values()))
     assert sorted((names[r.src], names[r.dst]) for r in numbered.collect()) == sorted((r.src, r.dst) for r in named.collect())
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_betweenness_of_many_leaves_alike(spark, directed):
+    """Leaves below the same parents are one class, apart from drawn ones; the result is that of words, one by one."""
+    edges = [(100 + i, p) for i in range(120) for p in ((1, 2) if i % 3 == 0 else (1 + i % 3,))] + [(p, 0) for p in (1, 2, 3)] + [(0, 50), (50, 51)]
+    edges = edges if directed else [e for a, b in edges for e in ((a, b), (b, a))]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for e in edges for x in e})], "id long")
+    assert betweenness_module._classes(df, nodes).select("class").distinct().count() < 10
+    got = {r.id: r.betweenness for r in betweenness(nodes, df, directed=directed).collect()}
+    want = {r.id: r.betweenness for r in betweenness_within(nodes, df, error=0.0, directed=directed).collect()}
+    assert got == pytest.approx(want)
+    # From drawn sources: the sum over sources one at a time, each a class of its own.
+    drawn = [r.id for r in betweenness_module.pick_sources(nodes, 5).collect()]
+    got = {r.id: r.betweenness for r in betweenness(nodes, df, sources=5, directed=directed).collect()}
+    each = [{r.id: r.betweenness for r in betweenness(nodes, df, sources=spark.createDataFrame([(x,)], "id long"), directed=directed).collect()} for x in drawn]
+    assert got == pytest.approx({x: sum(e[x] for e in each) for x in got})
+
+
+def test_no_error_takes_one_round(spark, monkeypatch):
+    counts, real = [], betweenness_module._words
+    monkeypatch.setattr(betweenness_module, "_words", lambda drawn, n: counts.append(n) or real(drawn, n))
+    monkeypatch.setattr(betweenness_module, "FIRST_SOURCES", 8)
+    edges = [(i, i // 3) for i in range(1, 60)]
+    nodes = spark.createDataFrame([(i,) for i in range(60)], "id long")
+    assert {r.bound for r in betweenness_within(nodes, spark.createDataFrame(edges, "src long, dst long"), error=0.0).collect()} == {0.0}
+    assert counts == [60]

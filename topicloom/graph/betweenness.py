@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.runtime import cut_lineage, forget, stored
+from topicloom.runtime import forget, stored
 
 WORD = 64  # sources that share a row per node
 FIRST_SOURCES = 256  # of the first round of ``betweenness_within``; every round doubles what was drawn
@@ -28,59 +28,89 @@ def betweenness(
     drawn nodes. For an undirected graph give edges in both directions and ``directed=False``,
     which counts each pair once.
 
-    The state is one row per source and reached node, so the cost is the sum of the nodes that
-    the sources reach; sampling is the way out for large connected graphs.
+    Nodes with the same neighbours, as leaves below the same parents, lie on the same shortest paths but for their own
+    ends, so they are one class with a size, and paths start from one of each class of sources. The state is one row per
+    class of sources and reached class; sampling is the way out for large connected graphs whose nodes differ.
     """
-    links = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    links = stored(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "links")
     ids = nodes.select("id").distinct()
     if sources is None:
         starts = ids
     else:
         starts = pick_sources(nodes, sources, seed) if isinstance(sources, int) else sources.select("id").distinct()
-
-    level = cut_lineage(starts.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("paths")))
-    levels = [level]
-    while True:
-        seen = reduce(DataFrame.unionByName, [lv.select("source", "node") for lv in levels[-2:]])
-        if directed and len(levels) > 2:
-            seen = reduce(DataFrame.unionByName, [lv.select("source", "node") for lv in levels])
-        level = (
-            level.join(links, level["node"] == links["src"])
-            .groupBy("source", F.col("dst").alias("node"))
-            .agg(F.sum("paths").alias("paths"))
-            .join(seen, ["source", "node"], "left_anti")
-        )
-        level = cut_lineage(level)
-        if level.isEmpty():
-            break
+    classes = _classes(links, starts)
+    sizes = stored(classes.groupBy("class").agg(F.count("*").cast("double").alias("size"), F.first("start").alias("start")), "sizes")
+    ends = lambda end: classes.select(F.col("node").alias(end), F.col("class").alias(f"{end}_class"))
+    # One join after the other, by sort: broadcasts of links would grow with them.
+    between = links.hint("merge").join(ends("src"), "src").hint("merge").join(ends("dst"), "dst")
+    links = stored(between.select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst")).distinct(), "links")
+
+    # The start itself is class null; its own class, if reached, is the others of it.
+    start = sizes.where("start").select(F.col("class").alias("source"))
+    level = stored(
+        start.join(links, F.col("source") == F.col("src")).select("source", F.col("dst").alias("node"), F.lit(1.0).alias("paths")), "level")
+    size = sizes.select(F.col("class").alias("node"), "size")
+    others = F.col("size") - (F.col("source") == F.col("node")).cast("double")
+    levels = []
+    while not level.isEmpty():
         levels.append(level)
+        # Without directions an edge leads to a neighbouring level only.
+        seen = reduce(DataFrame.unionByName, [lv.select("source", "node") for lv in (levels if directed else levels[-2:])])
+        level = level.join(size, "node").join(links, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(
+            F.sum(F.col("paths") * others).alias("paths"))
+        # A class of one that is the start has nobody else to reach.
+        level = level.join(size, "node").where(others > 0).drop("size").join(seen, ["source", "node"], "left_anti")
+        level = stored(level.select("source", "node", "paths"), "level")
 
     # Backwards: what a node passes on to its predecessors on shortest paths.
-    empty = F.lit(0.0)
-    carried = levels[-1].withColumn("delta", empty)
-    parts = []
-    for nearer in reversed(levels[:-1]):
-        given = carried.select(
-            "source", F.col("node").alias("dst"), ((1.0 + F.col("delta")) / F.col("paths")).alias("given")
-        )
-        passed = (
-            nearer.join(links, nearer["node"] == links["src"])
-            .select("source", "node", "dst")
-            .join(given, ["source", "dst"])
-            .groupBy("source", "node")
-            .agg(F.sum("given").alias("given"))
-        )
-        carried = cut_lineage(
-            nearer.join(passed, ["source", "node"], "left").select(
-                "source", "node", "paths", (F.col("paths") * F.coalesce("given", empty)).alias("delta")
+    zero, carried, parts = F.lit(0.0), None, []
+    for nearer in reversed(levels):
+        if carried is None:
+            carried = nearer.withColumn("delta", zero)
+        else:
+            given = carried.join(size, "node").select(
+                "source", F.col("node").alias("dst"), (others * (1.0 + F.col("delta")) / F.col("paths")).alias("given")
+            )
+            passed = (
+                nearer.join(links, nearer["node"] == links["src"])
+                .select("source", "node", "dst")
+                .join(given, ["source", "dst"])
+                .groupBy("source", "node")
+                .agg(F.sum("given").alias("given"))
             )
-        )
-        parts.append(carried.where(F.col("source") != F.col("node")).groupBy("node").agg(F.sum("delta").alias("delta")))
+            carried = stored(
+                nearer.join(passed, ["source", "node"], "left").select(
+                    "source", "node", "paths", (F.col("paths") * F.coalesce("given", zero)).alias("delta")
+                ), "carried")
+        # A node depends on every start of another class, and on the others of its own.
+        many = size.select(F.col("node").alias("source"), "size")
+        parts.append(carried.join(many, "source").groupBy("node").agg(F.sum(F.col("delta") * others).alias("delta")))
     if not parts:
-        return ids.withColumn("betweenness", empty)
-    total = reduce(DataFrame.unionByName, parts).groupBy(F.col("node").alias("id")).agg(F.sum("delta").alias("delta"))
+        return ids.withColumn("betweenness", zero)
+    total = reduce(DataFrame.unionByName, parts).groupBy(F.col("node").alias("class")).agg(F.sum("delta").alias("delta"))
+    total = classes.join(total, "class").select(F.col("node").alias("id"), "delta")
     scale = 1.0 if directed else 0.5
-    return ids.join(total, "id", "left").select("id", (F.coalesce("delta", empty) * scale).alias("betweenness"))
+    return ids.join(total, "id", "left").select("id", (F.coalesce("delta", zero) * scale).alias("betweenness"))
+
+
+def _classes(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """``node, class, start`` of all ends: nodes with the same neighbours in both directions that are all sources or none.
+
+    Neighbours are compared by their number and two sums of 64-bit hashes, so no list is as long as a degree.
+    """
+    marks = lambda c: [F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(i), c).cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)]]
+    sides = [
+        links.groupBy(F.col(end).alias("node")).agg(*marks(other)).select("node", F.lit(end == "src").alias("out"), F.struct("n", "h1", "h2").alias("mark"))
+        for end, other in (("src", "dst"), ("dst", "src"))
+    ]
+    marked = sides[0].unionByName(sides[1]).groupBy("node").agg(F.max(F.when(F.col("out"), F.col("mark"))).alias("to"), F.max(F.when(~F.col("out"), F.col("mark"))).alias("by"))
+    marked = marked.join(starts.select(F.col("id").alias("node"), F.lit(True).alias("start")), "node", "left")
+    kind = F.to_json(F.struct("to", "by", F.coalesce("start", F.lit(False)).alias("start")))
+    marked = stored(marked.select("node", F.coalesce("start", F.lit(False)).alias("start"), kind.alias("kind")), "marked")
+    numbers = stored(marked.select("kind").distinct().withColumn("class", F.monotonically_increasing_id()), "classes")
+    found = stored(marked.join(numbers, "kind").select("node", "class", "start"), "classes")
+    forget(marked, numbers)
+    return found
 
 
 def betweenness_within(
@@ -106,7 +136,8 @@ def betweenness_within(
     sums, taken, share, rounds = None, 0, 0.0, 0
     while taken < n:
         rounds += 1
-        upto = 1.0 if 2 * taken >= n else min(1.0, max(FIRST_SOURCES, 2 * taken) / n)
+        # No bound but that of all nodes is 0.
+        upto = 1.0 if 2 * taken >= n or error == 0 else min(1.0, max(FIRST_SOURCES, 2 * taken) / n)
         drawn = ids.where((F.col("draw") >= share) & (F.col("draw") < upto))
         share, count = upto, drawn.count()
         if not count:
