@@ -482,3 +482,11 @@ def test_no_error_takes_one_round(spark, monkeypatch):
     nodes = spark.createDataFrame([(i,) for i in range(60)], "id long")
     assert {r.bound for r in betweenness_within(nodes, spark.createDataFrame(edges, "src long, dst long"), error=0.0).collect()} == {0.0}
     assert counts == [60]
+
+
+@pytest.mark.parametrize("method", [louvain, leiden])
+def test_large_cliques(spark, method):
+    """The first step into a clique of more than 100 nodes, along one edge, is a small part of a node's edges."""
+    edges = [(c * 1000 + a, c * 1000 + b) for c in range(12) for a in range(130) for b in range(a)] + [(c * 1000, c * 1000 + 1000) for c in range(11)]
+    got = {r.node: r.community for r in method(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    assert got == {c * 1000 + a: c * 1000 for c in range(12) for a in range(130)}
