@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -22,6 +23,21 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+class Runs(dict):
+    """Ids of each run; those of an unknown one are looked up in the older half, or made. Long ones last for a text."""
+
+    def __init__(self, make: Callable[[bytes], bytes], old: dict[bytes, bytes]):
+        super().__init__()
+        self.make, self.old, self.long = make, old, {}
+
+    def __missing__(self, run: bytes) -> bytes:
+        if len(run) > LONGEST:
+            ids = self.long[run] = self.long.get(run) or self.make(run)
+        else:
+            ids = self[run] = self.old.get(run) or self.make(run)
+        return ids
+
+
 class WordIds:
     """Packed little-endian unsigned 32-bit ids of whole texts.
 
@@ -39,8 +55,7 @@ class WordIds:
         self.pattern = regex.compile(PIECES)
         self.letters = _byte_letters()
         self.ascii = {b: self.letters[b] for b in range(128)}
-        self.runs: dict[bytes, bytes] = {}
-        self.old_runs: dict[bytes, bytes] = {}
+        self.runs = Runs(self._run, {})
         self.pieces: dict[str, bytes] = {}
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
@@ -69,22 +84,13 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.runs) > CACHED:
-            self.runs, self.old_runs = {}, self.runs
+            self.runs = Runs(self._run, dict(self.runs))
         if len(self.pieces) > CACHED:
             self.pieces.clear()
-        runs, old, run = self.runs, self.old_runs, self._run
-        out = []
+        runs, out = self.runs, []
         for text in texts:
-            split = (text or "").encode("utf-8", "surrogatepass").split()
-            long = []
-            for word in split:
-                if word not in runs:
-                    runs[word] = old.get(word) or run(word)
-                    if len(word) > LONGEST:
-                        long.append(word)
-            out.append(b"".join(map(runs.__getitem__, split)))
-            for word in long:
-                del runs[word]
+            out.append(b"".join(map(runs.__getitem__, (text or "").encode("utf-8", "surrogatepass").split())))
+            runs.long.clear()
         return out
 
 
