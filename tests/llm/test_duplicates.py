@@ -87,6 +87,21 @@ def test_a_large_group_of_near_copies_agrees_with_brute_force(spark):
     assert len({c for _, _, c in got}) > 20
 
 
+def test_texts_that_share_a_phrase_alone_are_not_compared(spark, monkeypatch):
+    """Keys that a set can do without are left out where they are frequent, and near copies still meet."""
+    from topicloom.llm import set_join
+
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(50_000)]
+    phrase, opened, within = "said in all of these texts and nowhere else".split(), [], set_join._within_hubs
+    texts = [[rng.choice(vocabulary) for _ in range(50)] + phrase + [rng.choice(vocabulary) for _ in range(50)] for _ in range(300)]
+    texts = [" ".join(t) for t in texts + [edited(rng, t, 2, vocabulary) for t in texts[:20]]]
+    monkeypatch.setattr(set_join, "_within_hubs", lambda members, *rest: opened.append(members.count()) or within(members, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in similar_classes(df, 5, 80).collect()} == brute_classes(texts, 5, 80)
+    assert opened == [0]
+
+
 def test_classes_of_odd_rows(odd, none):
     got = similar_classes(odd, 3, 90).collect()
     assert len(got) == odd.count()

@@ -22,7 +22,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,7 @@ OUTLINES = 1000  # that one side of a block holds
 BLOCK = 200_000  # elements of the sets that one side of a block holds
 SETS = 400  # that one side of a block holds
 COLUMNS = 1024  # of an incidence matrix at once
+KIND = np.uint64(3)  # last bits of a key: parity of the band of a range, or all of them for a subset
 FEW_KEYS = 2_000_000  # shared keys that are broadcast, some 100 MB; beyond that they are joined
 FEW_IDS = 500_000  # candidate ids that are broadcast; beyond that they are joined
 
@@ -57,9 +58,13 @@ def size_bands(upto: int) -> list[int]:
     return lows
 
 
-def range_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the hash ranges of a set, for each band in which a partner may look for it."""
-    size, out = len(s), []
+def range_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of the hash ranges of a set, for each band in which a partner may look for it.
+
+    The last bits of a key are the parity of its band; for either parity comes the number of keys that a set can do
+    without, since a partner in that band has more of them.
+    """
+    size, out, spares = len(s), [], [0, 0]
     lows = size_bands(2 * size)
     own = int(np.searchsorted(lows, size, "right")) - 1
     with np.errstate(over="ignore"):
@@ -68,15 +73,19 @@ def range_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
             if band > own and size * den < num * lows[band]:
                 continue
             differ = 2 * (lows[band + 1] - 1) * (den - num) // (den + num)
-            spare = 1 + differ // 10
+            spare = 1 + differ // 4
             count = differ + 1 + spare
             place = (s >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
             ends = np.searchsorted(place, np.arange(count + 1, dtype=np.uint64))
             keys = mix(sums[ends[1:]] - sums[ends[:-1]] + mix(np.arange(count, dtype=np.uint64) + np.uint64(band << 40)))
             full = ends[1:] > ends[:-1]
             # At least ``spare`` + 1 ranges are equal; if no more than ``spare`` are empty, one of those is not.
-            out.append(keys[full] if count - full.sum() <= spare else keys)
-    return np.concatenate(out)
+            empty = int(count - full.sum())
+            if empty <= spare:
+                keys, spare = keys[full], spare - empty
+            out.append(keys & ~KIND | np.uint64(band & 1))
+            spares[band & 1] = spare
+    return np.concatenate(out), spares
 
 
 def lacking(size: int, num: int, den: int) -> int:
@@ -95,7 +104,7 @@ def subset_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         for k in range(lacking(size, num, den) + 1):
             gone = np.array(list(combinations(range(size), k)), np.int64).reshape(comb(size, k), k)
             sums.append(whole - spread[gone].sum(1, dtype=np.uint64) + np.uint64((size - k) << 48))
-        return mix(np.concatenate(sums))
+        return mix(np.concatenate(sums)) | KIND
 
 
 def _described(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -103,22 +112,25 @@ def _described(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, digests, light, heavy = [], [], [], []
+            sizes, digests, light, heavy, spares = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, n)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 alone = len(s) * den // num == len(s)  # no larger partner, so none but equal sets
                 light.append(subset_keys(s, num, den).tobytes() if len(s) <= largest_light and not alone else None)
-                heavy.append(range_keys(s, num, den).tobytes() if not alone else None)
+                ranges, spare = (None, [0, 0]) if alone else range_keys(s, num, den)
+                heavy.append(None if alone else ranges.tobytes())
+                spares.append(spare)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                pa.array(light, pa.binary()), pa.array(heavy, pa.binary()),
+                pa.array(light, pa.binary()), pa.array(heavy, pa.binary()), pa.array(spares, pa.list_(pa.int32())),
             ], names=schema.names)
 
     schema = T.StructType([
         source.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
         T.StructField("light", T.BinaryType()), T.StructField("heavy", T.BinaryType()),
+        T.StructField("spares", T.ArrayType(T.IntegerType())),
     ])
     return source.mapInArrow(describe, schema)
 
@@ -141,16 +153,37 @@ def _boundary(sets: DataFrame, num: int, den: int) -> int:
 
 
 def _entries(sets: DataFrame) -> DataFrame:
-    """One row per key of every set: ``key, rep``."""
+    """One row per key of every set: ``key, rep, spare``; it can do without as many keys of that kind."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "keys"):
             keys = [np.frombuffer(k, np.int64) for k in batch.column("keys").to_pylist()]
-            reps = batch.column("rep").take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), reps], names=["key", "rep"])
+            row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            keys = np.concatenate(keys)
+            spares = np.array([[*x, 0, 0] for x in batch.column("spares").to_pylist()], np.int32)
+            spare = spares[row, keys & np.int64(KIND)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), batch.column("rep").take(pa.array(row)), pa.array(spare)], names=["key", "rep", "spare"])
+
+    schema = T.StructType([T.StructField("key", T.LongType()), sets.schema["rep"], T.StructField("spare", T.IntegerType())])
+    return sets.select("rep", "keys", "spares").mapInArrow(expand, schema)
+
 
-    schema = T.StructType([T.StructField("key", T.LongType()), sets.schema["rep"]])
-    return sets.select("rep", "keys").mapInArrow(expand, schema)
+def _rarest(entries: DataFrame) -> DataFrame:
+    """``key, rep`` of the keys that several sets share, without the most frequent ones that a set can do without.
+
+    Like sets share more keys of a kind than either can do without. Of those, the one that is last by frequency and
+    key is among the spared ones of neither, so they still meet, and sets that share a few common keys by chance don't.
+    """
+    # A set has a key once, so a key that is counted twice belongs to two sets.
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(shared, "shared-keys")
+    met = entries.join(F.broadcast(shared) if has_at_most(shared, FEW_KEYS) else shared, "key")
+    kind = F.col("key").bitwiseAND(F.lit(int(KIND)))
+    met = met.withColumn("place", F.row_number().over(Window.partitionBy("rep", kind).orderBy(F.desc("n"), "key")))
+    kept = written(met.where("place > spare").select("key", "rep"), "rarest-keys")
+    discard(shared)
+    return kept
 
 
 def _elements(source: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -337,16 +370,16 @@ def _within_hubs(open_: DataFrame, elements: DataFrame, num: int, den: int) -> D
 
 def _linked(entries: DataFrame, source: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links ``src, dst`` that connect every two like sets that share a key."""
-    # A set has a key once, so a key that is counted twice belongs to two sets.
-    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rarest = _rarest(entries)
+    hubs = rarest.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hubs = written(hubs.select("key", "hub"), "hubs")
-    members = written(entries.join(F.broadcast(hubs) if has_at_most(hubs, FEW_KEYS) else hubs, "key"), "shared-keys")
+    members = written(rarest.join(F.broadcast(hubs) if has_at_most(hubs, FEW_KEYS) else hubs, "key"), "members")
     elements = written(_elements(source, members.select("rep").distinct(), n), "candidate-sets")
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     stars = written(_possible(stars, elements, num, den), "possible-pairs")
     links = written(_verified(stars, elements, num, den), "links")
     links = links.unionByName(written(_within_hubs(_in_classes(members, links), elements, num, den), "links"))
-    discard(hubs, members, elements, stars)  # what follows reads the links alone
+    discard(rarest, hubs, members, elements, stars)  # what follows reads the links alone
     return links
 
 
@@ -372,8 +405,8 @@ def similar_classes(
     keys = F.when(size > boundary, F.col("heavy")).when(
         size * den >= num * (boundary + 1), F.concat("light", "heavy")
     ).otherwise(F.coalesce("light", "heavy"))
-    distinct = known.select("digest", "doc_id", keys.alias("keys")).where(F.col("keys").isNotNull())
-    distinct = distinct.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "keys")).alias("s")).select("s.*")
+    distinct = known.select("digest", "doc_id", keys.alias("keys"), "spares").where(F.col("keys").isNotNull())
+    distinct = distinct.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "keys", "spares")).alias("s")).select("s.*")
     linked = connected_components(_linked(_entries(distinct), source, n, num, den))
 
     named = classes.join(linked, classes["rep"] == linked["node"], "left").select(
