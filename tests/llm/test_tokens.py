@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from topicloom.llm.bpe import Bpe, bpe_decode, bpe_encode, read_ranks, unpack_ids
 from topicloom.llm.packing import cut_lengths, harmonic_pack, sequences
 from topicloom.llm.shards import in_shards, permuted, read_sequence, token_sequences, write_shards
-from topicloom.llm.word_ids import WordIds, read_tokenizer
+from topicloom.llm.word_ids import Runs, WordIds, read_tokenizer
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -152,3 +152,13 @@ def test_crc_of_packed_ids(spark):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(bytearray(b"\1\0\0\0"),)], "b binary").select(F.crc32("b")).first()[0] == zlib.crc32(b"\1\0\0\0")
+
+
+def test_runs_are_made_once_and_long_ones_last_for_a_text():
+    made = []
+    runs = Runs(lambda run: made.append(run) or run * 2, {b"old": b"known"})
+    long = b"x" * 65
+    assert [runs[r] for r in (b"old", b"new", b"new", long, long)] == [b"known", b"newnew", b"newnew", long * 2, long * 2]
+    assert made == [b"new", long] and set(runs) == {b"old", b"new"}
+    runs.long.clear()
+    assert runs[long] == long * 2 and made == [b"new", long, long]
