@@ -4,7 +4,8 @@ Light (small) sets list their subsets of fixed sizes: if two sets are alike enou
 both that lacks at most ``size * (1 - similarity)`` elements, so enumerating those subsets lets them meet at an equal
 key. Heavy (large) sets are entered in inverted lists. A list is kept per hash range of a set, not per shingle: with
 one more range than elements may differ, some range is equal in both sets, and its key is the sum of its elements, so a
-frequent shingle does not make a long list. The boundary is the size at which the keys of all sets cost least.
+frequent shingle does not make a long list. There are some ranges more than that, and as many of its most frequent keys
+are left out of a set: like sets still share a key, and sets that share a phrase mostly don't. The boundary is the size at which the keys of all sets cost least.
 
 A list is first reduced to a star: everything in it is compared with its smallest member only, its hub, and what that
 connects needs no comparison any more. The members of a hub that are still in different classes are then tried by their
@@ -62,7 +63,7 @@ def range_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]
     """Keys of the hash ranges of a set, for each band in which a partner may look for it.
 
     The last bits of a key are the parity of its band; for either parity comes the number of keys that a set can do
-    without, since a partner in that band has more of them.
+    without, as a like set shares more than that.
     """
     size, out, spares = len(s), [], [0, 0]
     lows = size_bands(2 * size)
