@@ -81,9 +81,9 @@ def range_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]
             keys = mix(sums[ends[1:]] - sums[ends[:-1]] + mix(np.arange(count, dtype=np.uint64) + np.uint64(band << 40)))
             full = ends[1:] > ends[:-1]
             # At least ``spare`` + 1 ranges are equal; if no more than ``spare`` are empty, one of those is not.
+            # A set with more than that keeps all keys: like sets without empty ones share fewer than ``spare`` with it.
             empty = int(count - full.sum())
-            if empty <= spare:
-                keys, spare = keys[full], spare - empty
+            keys, spare = (keys[full], spare - empty) if empty <= spare else (keys, 0)
             out.append(keys & ~KIND | np.uint64(band & 1))
             spares[band & 1] = spare
     return np.concatenate(out), spares
