@@ -16,6 +16,7 @@ from topicloom.graph.hubs import hubs
 from topicloom.graph.ontology import canonical_hierarchy, descendants
 from topicloom.graph.pagerank import pagerank
 from topicloom.graph.projection import project_graph, project_numbers
+from topicloom.graph import similarity
 from topicloom.graph.similarity import node_similarity, similar_to
 from topicloom.model import Graph
 from topicloom.plans import questions as q
@@ -66,6 +67,21 @@ def test_node_similarity_routes(spark, k, cutoff, options):
     assert {(r.node, r.neighbour, round(r.similarity, 9)) for r in got} == brute_similarity(edges, k, cutoff)
 
 
+def test_pairs_with_one_common_neighbour_are_not_listed(spark):
+    """Of 60 nodes at one topic each gets one short list, and only the pair with two common topics is measured."""
+    edges = [(i, "shared") for i in range(60)] + [(i, f"own{i}") for i in range(60)] + [(7, "pair"), (9, "pair")]
+    near = node_similarity(spark.createDataFrame(edges, "src long, dst string"), top_k=3)
+    assert {(r.node, r.neighbour, round(r.similarity, 9)) for r in near.collect()} == brute_similarity(edges, 3, 0.0)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line and "a_via" in line]
+    assert joins and all("bits" in line and "arrays_overlap" not in line for line in joins)
+    rows = [(i, 2, 2, [i, 99], []) for i in range(60)]
+    sets = spark.createDataFrame(rows, "node long, size int, rare int, all array<long>, hot array<long>")
+    assert similarity._pair_route(sets, 0.0).isEmpty()
+    lists = similarity._first_lists(sets, 0.0, 3).collect()
+    assert len(lists) == 60 and all(r.nodes == [0, 1, 2, 3] for r in lists)
+
+
 @pytest.mark.parametrize("k,cutoff", [(3, 0.3), (10, 0.0), (2, 0.8)])
 def test_similar_to_some_nodes(spark, k, cutoff):
     edges = skewed_edges(k)
