@@ -14,6 +14,7 @@ from topicloom.operators import classify
 from topicloom.operators.classify import classify_topics, vocabulary
 from topicloom.operators.encode import embed
 from topicloom.operators.fuzzy import fuzzy_match, windows
+from topicloom.operators import linking
 from topicloom.operators.linking import link_topics
 from topicloom.operators.people import author_affiliations, paper_authors
 from topicloom.operators.upsert import upsert_edges, upsert_nodes
@@ -230,6 +231,22 @@ def brute_links(entities, topics, threshold, top):
     return out
 
 
+def test_equal_vectors_are_written_once(spark, monkeypatch):
+    written, stored = {}, linking.stored
+
+    def counted(df, name="step"):
+        out = stored(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(linking, "stored", counted)
+    left = spark.createDataFrame([("often", [1.0, 0.0])] * 50 + [("other", [1.0, 1.0])], "id string, embedding array<double>")
+    right = spark.createDataFrame([("x", [1.0, 0.0])] * 20 + [("y", [0.0, 1.0])], "topic string, embedding array<double>")
+    got = link_topics(left, right, threshold=0.5, k=2, dim=2).collect()
+    assert {(r.id, r.topic) for r in got} == {("often", "x"), ("other", "x"), ("other", "y")} and len(got) == 3
+    assert written["vectors"] == [2, 2]
+
+
 def test_linking_agrees_with_brute_force_in_any_blocks(spark):
     rng = np.random.default_rng(1)
     entities = [(f"e{i % 40}", rng.normal(size=8).tolist()) for i in range(60)]

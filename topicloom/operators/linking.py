@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from topicloom.constants import LINKS_PER_ENTITY, POST_THRESHOLD
 from topicloom.operators.topk import top_k_per_key
-from topicloom.runtime import cut_lineage, stored
+from topicloom.runtime import stored
 
 TASK_NUMBERS = 2_000_000  # of the vectors of either side that a task holds at once: 16 MB
 MOST_CELLS = 512  # of topics; their centres are all that every task gets
@@ -168,8 +168,8 @@ def link_topics(
         F.col(topic).cast("string").alias("topic"), F.col(vector).cast("array<double>").alias("v"))
     left = entities.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     fit = (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull())
-    # Equal rows of either side make equal links; without them no hash is hot.
-    names, left = (cut_lineage(side).where(fit).distinct() for side in (names, left))
+    # Equal rows of either side make equal links; without them no hash is hot, and only distinct vectors are written.
+    names, left = (stored(side.where(fit).distinct(), "vectors") for side in (names, left))
     names, cells = _in_cells(names, dim, bound)
     key_type = left.schema["key"].dataType.simpleString()
     found = "key {0}, v array<double>, home int, floor double, links array<struct<topic string, cosine_similarity double>>".format(key_type)
