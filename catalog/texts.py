@@ -11,6 +11,7 @@ from topicloom.functions.columns import round_half_up, tags_to_csv
 from topicloom.functions.text import (
     ASCII_ENTITIES, HTML_STEPS, TEXT_STEPS, clean_html, entity_texts, normalize_keyword, normalize_title, tokens,
 )
+from topicloom.operators.aggregates import joined_runs
 from topicloom.operators.classify import classify_topics, vocabulary
 from topicloom.operators.encode import embed
 from topicloom.operators.fuzzy import fuzzy_match
@@ -67,21 +68,18 @@ SELECT l_orderkey, 'order ' || l_orderkey || ' ' ||
 FROM lines GROUP BY l_orderkey""")
 def n3_lists_and_tables(spark, sf_dir):
     """Every order as a numbered list with lists in it, and as a table; the SQL states the text and parses no HTML."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("flag")))).alias("lines"))
-
-    def item(x):
-        return F.concat(F.lit("<li>Part "), x["l_partkey"].cast("string"), F.lit("<ul><li>of supplier <b>"), x["l_suppkey"].cast("string"),
-                        F.lit("</b></li></ul><ol><li>"), x["flag"], F.lit("</li></ol></li>"))
-
-    def row(x):
-        return F.concat(F.lit("<tr><td>"), x["l_partkey"].cast("string"), F.lit("</td><td>"), x["flag"], F.lit("</td></tr>"))
-
+    flag, part, supp = F.concat("l_returnflag", "l_linestatus"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    place = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "flag"]
+    lines = table(spark, sf_dir, "lineitem").select(*place[:-1], flag.alias("flag")).repartition("l_orderkey").sortWithinPartitions(*place)
+    item = F.concat(F.lit("<li>Part "), part, F.lit("<ul><li>of supplier <b>"), supp, F.lit("</b></li></ul><ol><li>"), "flag", F.lit("</li></ol></li>"))
+    row = F.concat(F.lit("<tr><td>"), part, F.lit("</td><td>"), "flag", F.lit("</td></tr>"))
+    key = lines.schema["l_orderkey"].dataType.simpleString()
+    orders = lines.select("l_orderkey", item.alias("items"), row.alias("rows")).mapInArrow(
+        joined_runs, f"l_orderkey {key}, items string, rows string")
     html = F.concat(
         F.lit("<p>Order "), F.col("l_orderkey").cast("string"), F.lit('</p><ol start="'), (F.col("l_orderkey") % 5).cast("string"), F.lit('">'),
-        F.array_join(F.transform("lines", item), ""), F.lit("</ol><table><tr><th>Part</th><th>Flag</th></tr>"),
-        F.array_join(F.transform("lines", row), ""), F.lit("</table>"))
-    return lines.select("l_orderkey", clean_html(html).alias("body"))
+        "items", F.lit("</ol><table><tr><th>Part</th><th>Flag</th></tr>"), "rows", F.lit("</table>"))
+    return orders.select("l_orderkey", clean_html(html).alias("body"))
 
 
 LEVELS = "CASE p_size % 5 WHEN 0 THEN 'Senior' WHEN 1 THEN 'Jr' WHEN 2 THEN 'Lead' WHEN 3 THEN 'Staff' ELSE 'Mid-Level' END"

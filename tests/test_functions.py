@@ -123,6 +123,14 @@ def test_html_tables(spark):
     assert one(spark, many, t.clean_html) == "a| b ---|---" + " a| b" * 49_999
 
 
+def test_html_is_built_once_for_python(spark):
+    bodies = spark.createDataFrame([("<h2>T</h2><ol><li>a</ol>&amp;",), ("<H6 x>a&lt;b<h7>c",)], "body string")
+    df = bodies.select(t.clean_html("body").alias("text"))
+    assert [r.text for r in df.collect()] == ["## t 1. a &", "###### abc"]
+    udf = next(line for line in df._jdf.queryExecution().executedPlan().toString().split("\n+- ")[1:] if "_with_structure" in line)
+    assert udf.count("<script") == 1
+
+
 def test_keywords_and_ngrams(spark):
     assert one(spark, " Computer-Science  II", t.normalize_keyword) == "computer_science_ii"
     assert one(spark, "A b, c", lambda x: t.ngrams(t.tokens(x))) == ["a", "b", "c", "a_b", "b_c", "a_b_c"]

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,16 @@ def test_denormalize_repeats_a_posting_per_industry(spark, rows):
     assert rows(got) == [(1, "IT"), (1, "Law")]
 
 
+def test_runs_go_on_over_batches():
+    rows = [(None, "x", "a"), (None, "y", "b"), (1, None, "c"), (2, "z", "d"), (2, "z", "e"), (2, "w", "f"), (3, "u", "g")]
+    table = pa.table({name: [r[i] for r in rows] for i, name in enumerate("kvw")}, schema=pa.schema([("k", pa.int64()), ("v", pa.string()), ("w", pa.string())]))
+    want = [(None, "xy", "ab"), (1, "", "c"), (2, "zzw", "def"), (3, "u", "g")]
+    for size in range(1, 8):
+        got = [tuple(r.values()) for batch in a.joined_runs(table.to_batches(max_chunksize=size)) for r in batch.to_pylist()]
+        assert got == want, size
+    assert list(a.joined_runs([])) == []
+
+
 def test_presence_joins(spark, rows):
     topics = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
     e1 = spark.createDataFrame([(1, "a"), (2, "a"), (1, "b")], "src long, dst string")

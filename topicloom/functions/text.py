@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.entities import name2codepoint
 
 import pandas as pd
@@ -42,10 +43,12 @@ HTML_STEPS: list[tuple[str, str]] = [
     (r"<[a-zA-Z/!?][^>]*(>|\z)", ""),
 ]
 
-# Steps of HTML_STEPS that come before lists and tables are marked.
+# Steps of HTML_STEPS that come before lists and tables are marked, and those of headings, which come right after.
 HIDDEN_STEPS = 4
+HEADING_STEPS = 6
 
-STRUCTURE_TAG = re.compile(r"<(/?)(ol|ul|li|table|tr|td|th)\b([^>]*)(?:>|\Z)", re.IGNORECASE)
+STRUCTURE_TAG = re.compile(r"(<(?:/?)(?:ol|ul|li|table|tr|td|th)\b(?:[^>]*)(?:>|\Z))", re.IGNORECASE)
+TAG_NAME = re.compile(r"</?[^\W\d_]+")
 START_NUMBER = re.compile(r"""\bstart\s*=\s*["']?\s*(-?[0-9]{1,9})""", re.IGNORECASE)
 
 # Applied in this order to the plain text.
@@ -97,47 +100,57 @@ def decode_entities(c: Column) -> Column:
     return _once(F.split(c, "&"), rejoined)
 
 
-class _Structure:
+@lru_cache(maxsize=4096)
+def _known_tag(tag: str) -> tuple[str, int | None]:
+    """Name of a tag, with its slash, and the number before the first item of an ordered list."""
+    # Letters that the pattern takes for one another.
+    name = TAG_NAME.match(tag)[0][1:].lower().replace("\u0131", "i")
+    first = START_NUMBER.search(tag) if name == "ol" else None
+    return name, int(first[1]) - 1 if first else 0 if name == "ol" else None
+
+
+def _structured(text: str) -> str:
     """Lists and tables of one text, read tag by tag.
 
     ``lists`` is the stack of open lists, each the number of its last item or None where items are not numbered.
-    The other fields belong to the table row that was opened last: tables within cells share them.
+    ``cells`` and ``below_head`` belong to the table row that was opened last: tables within cells share them.
     """
-
-    def __init__(self) -> None:
-        self.lists: list[int | None] = []
-        self.cells = 0
-        self.below_head = False
-
-    def text_of(self, tag: re.Match[str]) -> str:
-        closing, name, attributes = tag[1] == "/", tag[2].lower(), tag[3]
-        if name in ("td", "th"):
-            if closing:
-                return ""
-            self.cells += 1
-            return "| " if self.cells > 1 else ""
-        if name in ("ol", "ul"):
-            if not closing:
-                first = START_NUMBER.search(attributes)
-                self.lists.append(None if name == "ul" else int(first[1]) - 1 if first else 0)
-            elif self.lists:
-                self.lists.pop()
-        elif name == "table":
-            self.below_head = not closing
+    pieces = STRUCTURE_TAG.split(text)
+    lists: list[int | None] = []
+    cells, below_head = 0, False
+    for i in range(1, len(pieces), 2):
+        tag = pieces[i]
+        name, first = _known_tag(tag) if len(tag) <= 64 else _known_tag.__wrapped__(tag)
+        out = "\n"
+        if name == "/td" or name == "/th":
+            out = ""
+        elif name == "td" or name == "th":
+            cells += 1
+            out = "| " if cells > 1 else ""
+        elif name == "li":
+            if lists and lists[-1] is not None:
+                lists[-1] += 1
+                out = f"\n{lists[-1]}. "
+        elif name == "ol" or name == "ul":
+            lists.append(first)
+        elif name == "/ol" or name == "/ul":
+            if lists:
+                lists.pop()
         elif name == "tr":
-            rule = "\n" + "|".join(["---"] * self.cells) if closing and self.below_head else ""
-            self.below_head = self.below_head and not closing
-            self.cells = 0
-            return rule + "\n"
-        elif not closing and self.lists and self.lists[-1] is not None:
-            self.lists[-1] += 1
-            return f"\n{self.lists[-1]}. "
-        return "\n"
+            cells = 0
+        elif name == "/tr":
+            if below_head:
+                out = "\n" + "|".join(["---"] * cells) + "\n"
+            below_head, cells = False, 0
+        elif name != "/li":
+            below_head = name == "table"
+        pieces[i] = out
+    return "".join(pieces)
 
 
 @F.pandas_udf(StringType())
 def _with_structure(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: STRUCTURE_TAG.sub(_Structure().text_of, text), na_action="ignore")
+    return texts.map(_structured, na_action="ignore")
 
 
 def _marked(text: Column) -> Column:
@@ -145,7 +158,14 @@ def _marked(text: Column) -> Column:
 
     A fold over the tags with a stack of open lists. Only texts that hold such tags are sent to Python.
     """
-    return F.coalesce(_with_structure(F.when(text.rlike(r"(?i)<(ol|tr|td|th)\b"), text)), text)
+    tagged = _once(text, lambda t: F.when(t.rlike(r"(?i)<(ol|tr|td|th)\b"), t))
+    return F.coalesce(_with_structure(tagged), text)
+
+
+def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in steps:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 def clean_html(c: Column | str) -> Column:
@@ -154,15 +174,12 @@ def clean_html(c: Column | str) -> Column:
     Items of ordered lists carry their number, from ``start`` if that is given; the cells of a table row are parted by
     ``|`` and its first row is followed by ``---|---``.
     """
-    text = blank_if_null(c)
-    for pattern, replacement in HTML_STEPS[:HIDDEN_STEPS]:
-        text = F.regexp_replace(text, pattern, replacement)
-    text = _marked(text)
-    for pattern, replacement in HTML_STEPS[HIDDEN_STEPS:]:
-        text = F.regexp_replace(text, pattern, replacement)
-    text = decode_entities(text)
-    for pattern, replacement in TEXT_STEPS:
-        text = F.regexp_replace(text, pattern, replacement)
+    below = HIDDEN_STEPS + HEADING_STEPS
+    text = _marked(_replaced(blank_if_null(c), HTML_STEPS[:HIDDEN_STEPS]))
+    # Most texts hold no heading, which one look tells.
+    text = _once(text, lambda t: F.when(t.rlike("<[hH][1-6]"), _replaced(t, HTML_STEPS[HIDDEN_STEPS:below])).otherwise(t))
+    text = decode_entities(_replaced(text, HTML_STEPS[below:]))
+    text = _replaced(text, TEXT_STEPS)
     return F.lower(F.trim(text))
 
 

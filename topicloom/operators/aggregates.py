@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,35 @@ def collect_series(df: DataFrame, key: str, order: str, val: str, name: str = "s
     return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, val))).alias(name))
 
 
+def joined_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` on rows that stand in order of their first column: one row per run of equal keys, null being a
+    key, too, with the other columns, which are strings, joined; null strings are left out."""
+    held: list[pa.Table] = []  # of the last key, whose run may go on in the next batch
+
+    def joined(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if tables:
+            table = pa.concat_tables(tables).combine_chunks()
+            runs = pc.run_end_encode(table[0].combine_chunks())
+            starts = pa.array(np.concatenate([[0], runs.run_ends.to_numpy()]), pa.int32())
+            texts = [pc.binary_join(pa.ListArray.from_arrays(starts, pc.fill_null(c, "").combine_chunks()), "") for c in table.columns[1:]]
+            yield from pa.table([runs.values, *texts], names=table.column_names).to_batches()
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        ends = pc.run_end_encode(table[0].combine_chunks()).run_ends.to_pylist()[-2:]
+        if held and held[0][0][0] != table[0][0]:
+            yield from joined(held)
+            held = []
+        if len(ends) > 1:
+            yield from joined([*held, table.slice(0, ends[0])])
+            held = []
+            table = table.slice(ends[0])
+        held.append(table)
+    yield from joined(held)
+
+
 def distinct_count_by(df: DataFrame, key: str, col: str, name: str = "n") -> DataFrame:
     """Spark shuffles by (key, value) first, so a hot key is spread over its values."""
     return df.groupBy(key).agg(F.count_distinct(col).alias(name))
