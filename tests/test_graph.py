@@ -506,3 +506,15 @@ def test_large_cliques(spark, method):
     edges = [(c * 1000 + a, c * 1000 + b) for c in range(12) for a in range(130) for b in range(a)] + [(c * 1000, c * 1000 + 1000) for c in range(11)]
     got = {r.node: r.community for r in method(spark.createDataFrame(edges, "src int, dst int")).collect()}
     assert got == {c * 1000 + a: c * 1000 for c in range(12) for a in range(130)}
+
+
+def test_community_rounds_move_numbers(spark, monkeypatch, rows):
+    seen, moves = [], communities._local_moves
+    monkeypatch.setattr(communities, "_local_moves", lambda links, labels, m2: seen.extend(links.dtypes + labels.dtypes) or moves(links, labels, m2))
+    ends = [("z", "y"), ("y", "x"), ("x", "z"), ("c", "b"), ("b", "a"), ("a", "c"), ("z", "a")]
+    edges = spark.createDataFrame(ends, "src string, dst string")
+    want = [(n, "a") for n in "abc"] + [(n, "x") for n in "xyz"]
+    for found in (communities.louvain(edges), communities.leiden(edges)):
+        assert found.dtypes == [("node", "string"), ("community", "string")] and rows(found) == want
+    assert "string" not in {kind for _, kind in seen}
+    assert rows(communities.louvain(edges.limit(0))) == []
