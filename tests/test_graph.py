@@ -518,3 +518,17 @@ def test_community_rounds_move_numbers(spark, monkeypatch, rows):
         assert found.dtypes == [("node", "string"), ("community", "string")] and rows(found) == want
     assert "string" not in {kind for _, kind in seen}
     assert rows(communities.louvain(edges.limit(0))) == []
+
+
+def test_similarity_stores_no_counts_without_wide_nodes(spark, monkeypatch, rows):
+    written, keep = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name="step": written.append(name) or keep(df, name))
+    draw = random.Random(11)
+    sets = {n: set(draw.sample(range(40), size)) for n, size in enumerate([1, 2, 3, 7, 8, 9, 10, 11, 12, 9, 8, 2])}
+    edges = spark.createDataFrame([(n, f"t{x}") for n, found in sets.items() for x in found], "src long, dst string")
+    want = []
+    for n, x in sets.items():
+        near = sorted((-len(x & y) / len(x | y), m) for m, y in sets.items() if m != n and x & y)[:4]
+        want += [(n, m, -s, i + 1) for i, (s, m) in enumerate(near)]
+    assert rows(node_similarity(edges, top_k=4)) == sorted(want, key=repr)
+    assert "stats" not in written and "sets" in written

@@ -28,6 +28,9 @@ from topicloom.operators.topk import top_k_per_key
 from topicloom.runtime import forget, stored
 
 
+FEW = 8  # neighbours whose bits are joined in compiled code; more take a fold
+
+
 def _jaccard(common: Column, a: Column, b: Column) -> Column:
     return common / (a + b - common)
 
@@ -57,9 +60,11 @@ def _pair_route(sets: DataFrame, cutoff: float) -> DataFrame:
     reach = F.least("rare", prefix, F.col("size") - 1)
     entries = sets.select("node", "size", "all", F.posexplode(F.slice("all", F.lit(1), reach)).alias("at", "via"))
     # Pairs whose neighbours after the meeting point have no bit in common share none; long lists have all bits.
-    after = F.aggregate(
-        F.slice("all", F.col("at") + 2, F.col("size")), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(_bit(x)))
-    entries = entries.withColumn("bits", F.when(F.col("size") - F.col("at") > 64, F.lit(-1).cast("long")).otherwise(after))
+    none = F.lit(0).cast("long")
+    after = F.aggregate(F.slice("all", F.col("at") + 2, F.col("size")), none, lambda bits, x: bits.bitwiseOR(_bit(x)))
+    few = reduce(Column.bitwiseOR, [F.coalesce(_bit(F.get("all", F.col("at") + i)), none) for i in range(1, FEW)])
+    entries = entries.withColumn(
+        "bits", F.when(F.col("size") - F.col("at") <= FEW, few).when(F.col("size") - F.col("at") > 64, F.lit(-1).cast("long")).otherwise(after))
     a = entries.select([F.col(c).alias(f"a_{c}") for c in entries.columns])
     b = entries.select([F.col(c).alias(f"b_{c}") for c in entries.columns])
     # Nothing before the meeting point is common, so the rest of the shorter list bounds the overlap.
@@ -255,22 +260,22 @@ def node_similarity(
     ranked = links.join(numbered, "name").select("node", "via", (F.col("degree") > hot_degree).alias("is_hot"))
     ranked = stored(ranked, "ranked")
 
-    draws = [F.xxhash64("via"), F.shiftright(F.xxhash64("via"), 6), F.shiftright(F.xxhash64("via"), 12)]
-    stats = stored(ranked.groupBy("node").agg(
-        F.count("*").cast("int").alias("size"), F.count_if("is_hot").alias("hots"),
-        *[F.bit_or(_bit(draw)).alias(bits) for bits, draw in zip(BITS, draws)],
-    ).withColumn("wide", (F.col("size") > set_width) | (F.col("hots") > hot_width)), "stats")
-    has_hot, has_wide = stats.agg(F.bool_or(F.col("hots") > 0), F.bool_or("wide")).first()
-
-    narrow = ranked.join(stats.where("wide").select("node"), "node", "left_anti") if has_wide else ranked
-    items = F.sort_array(F.collect_list(F.struct("via", "is_hot")))
-    sets = narrow.groupBy("node").agg(items.alias("items")).select(
-        "node",
-        F.size("items").alias("size"),
-        F.size(F.filter("items", lambda x: ~x["is_hot"])).alias("rare"),
-        F.transform("items", lambda x: x["via"]).alias("all"),
-        F.transform(F.filter("items", lambda x: x["is_hot"]), lambda x: x["via"]).alias("hot"),
-    )
+    tallies = ranked.groupBy("node").agg(F.count("*").cast("int").alias("size"), F.count_if("is_hot").alias("hots"))
+    wide = (F.col("size") > set_width) | (F.col("hots") > hot_width)
+    has_hot, has_wide = tallies.agg(F.bool_or(F.col("hots") > 0), F.bool_or(wide)).first()
+
+    narrow = ranked
+    if has_wide:
+        draws = [F.xxhash64("via"), F.shiftright(F.xxhash64("via"), 6), F.shiftright(F.xxhash64("via"), 12)]
+        stats = stored(ranked.groupBy("node").agg(
+            F.count("*").cast("int").alias("size"), F.count_if("is_hot").alias("hots"),
+            *[F.bit_or(_bit(draw)).alias(bits) for bits, draw in zip(BITS, draws)],
+        ).withColumn("wide", wide), "stats")
+        narrow = ranked.join(stats.where("wide").select("node"), "node", "left_anti")
+    # The numbers grow with the degree, so the frequent neighbours of a node are the last of its list.
+    sets = narrow.groupBy("node").agg(
+        F.sort_array(F.collect_list("via")).alias("all"), F.count_if(~F.col("is_hot")).cast("int").alias("rare")
+    ).select("node", F.size("all").alias("size"), "rare", "all", F.slice("all", F.col("rare") + 1, F.size("all")).alias("hot"))
     sets = stored(sets, "sets")
 
     measured = _pair_route(sets, cutoff)
