@@ -2,12 +2,13 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from topicloom.graph import betweenness as betweenness_module
 from topicloom.graph.betweenness import betweenness, betweenness_within
-from topicloom.graph import communities
+from topicloom.graph import communities, packed_links
 from topicloom.graph.communities import leiden, louvain, modularity, settled
 from topicloom.graph import pagerank as pagerank_module
 from topicloom.graph import components as components_module
@@ -532,3 +533,65 @@ def test_similarity_stores_no_counts_without_wide_nodes(spark, monkeypatch, rows
         want += [(n, m, -s, i + 1) for i, (s, m) in enumerate(near)]
     assert rows(node_similarity(edges, top_k=4)) == sorted(want, key=repr)
     assert "stats" not in written and "sets" in written
+
+
+@pytest.mark.parametrize("method", [louvain, leiden])
+def test_links_of_few_nodes_are_packed(spark, monkeypatch, method):
+    """No table of a row per link is stored, and nodes end as settled as by tables."""
+    most, keep = [0], communities.stored
+    monkeypatch.setattr(communities, "stored", lambda df, name="step": most.append((out := keep(df, name)).count()) or out)
+    monkeypatch.setattr(packed_links, "LINKS_PER_CHUNK", 150)
+    rng = random.Random(12)
+    edges = [(f"n{a}", f"n{b}") for a in range(60) for b in range(60) if rng.random() < (0.5 if a % 4 == b % 4 else 0.04)] + [("n1", None)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    found = dict(method(df).collect())
+    assert max(most) <= 60 and set(found) == {x for e in edges[:-1] if e[0] != e[1] for x in e}
+    once = {(min(e), max(e)) for e in edges[:-1] if e[0] != e[1]}
+    assert plain_modularity(once, found) > 0.3 and len(set(found.values())) < 10
+    rows = settled(df, spark.createDataFrame(list(found.items()), "node string, community string")).collect()
+    assert len(rows) == len(found) and all(r.settled and r.named for r in rows) and (method is louvain or all(r.connected for r in rows))
+
+
+def test_communities_by_tables(spark, monkeypatch):
+    """Graphs of more nodes keep to tables of links."""
+    monkeypatch.setattr(communities, "FEW_NODES", 11)
+    edges = [(c * 10 + a, c * 10 + b) for c in range(3) for a in range(4) for b in range(a)] + [(0, 10), (10, 20)]
+    df = spark.createDataFrame(edges, "src int, dst int")
+    assert {r.node: r.community for r in louvain(df).collect()} == {c * 10 + a: c * 10 for c in range(3) for a in range(4)}
+
+
+def test_packed_steps_agree_with_tables(spark, monkeypatch):
+    monkeypatch.setattr(packed_links, "LINKS_PER_CHUNK", 40)
+    rng = random.Random(13)
+    edges = sorted({(a, b) for a in range(40) for b in range(a) if rng.random() < 0.3})
+    df = spark.createDataFrame(edges, "src long, dst long")
+    counts = np.bincount(np.ravel(edges), minlength=40)
+    links, packed = communities._weighted(df), packed_links.packed_edges(df, pa.array(range(40), pa.int64()), counts)
+    assert packed.chunks.count() > 3
+    part = np.arange(40) % 13
+    for level in range(2):
+        degree = packed_links.degrees(packed)
+        size, m2 = len(degree), degree.sum()
+        label = np.arange(size) % 5
+        rated = communities._with_degrees(links, spark.createDataFrame([(i, int(x)) for i, x in enumerate(label)], "node long, community long"))
+        assert m2 == 2 * len(edges) and {r.node: r.degree for r in rated.collect()} == {i: x for i, x in enumerate(degree) if x}
+        wants = communities.moves_that_gain(links, rated, rated.select("node"), m2)
+        total = np.bincount(label, degree, size)
+        node, target, gain = packed_links.moves_that_gain(packed, label, degree, total, None, None, m2, communities.LEAST_GAIN)
+        assert sorted((r.node, r.target, r.gain) for r in wants.collect()) == list(zip(node, target, gain)) and len(node) > 3
+        draws = communities._packed_draws(node, label[node], target, gain, total, 1)
+        drawn = communities._drawn(wants, 1).where("draw <> 2")
+        assert {(r.node, r.draw) for r in drawn.collect()} == {(v, d) for v, x in zip(node, draws) for d in (0, 1, 3) if x >> d & 1}
+        to, bits = label.copy(), np.zeros(size, np.uint8)
+        to[node], bits[node] = target, draws
+        rises = packed_links.inside_rises(packed, label, to, bits, 4) / m2
+        for draw, rise in communities._rises(links, rated, drawn, m2).items():
+            shift = sum(np.bincount(c, degree[node] * (draws >> draw & 1) * s, size) for c, s in ((target, 1), (label[node], -1)))
+            assert rise == pytest.approx(rises[draw] - (shift * (2 * total + shift)).sum() / m2 ** 2)
+        pieces = {}
+        for r in communities._refined(links, rated, m2).collect():
+            pieces[r.node] = r.part
+        parts = communities._packed_parts(packed, np.flatnonzero(degree), label, degree, m2)
+        assert {v: parts[v] for v in pieces} == pieces
+        packed = packed_links.contracted(packed, part)
+        links = communities._contract(links, spark.createDataFrame([(i, int(x)) for i, x in enumerate(part)], "node long, part long"))
