@@ -595,3 +595,33 @@ def test_packed_steps_agree_with_tables(spark, monkeypatch):
         assert {v: parts[v] for v in pieces} == pieces
         packed = packed_links.contracted(packed, part)
         links = communities._contract(links, spark.createDataFrame([(i, int(x)) for i, x in enumerate(part)], "node long, part long"))
+
+
+def test_drawn_leaves_alike_are_one_row(spark, monkeypatch):
+    """Paths start from one of each class of drawn nodes, yet every drawn node counts, but not for itself."""
+    drawn, rows_of, real, keep = [], [], betweenness_module._words, betweenness_module.stored
+
+    def words(frame, n):
+        drawn.extend(r.id for r in frame.select("id").collect())
+        return real(frame, n)
+
+    def counted(df, name="step"):
+        out = keep(df, name)
+        if name in ("level", "carried"):
+            rows_of.append(out.count())
+        return out
+
+    monkeypatch.setattr(betweenness_module, "_words", words)
+    monkeypatch.setattr(betweenness_module, "stored", counted)
+    n = 900
+    edges = [(i, i % 6) for i in range(7, n)] + [(i, 6) for i in range(6)]
+    df = symmetric(spark.createDataFrame(edges, "src long, dst long"))
+    got = {r.id: r for r in betweenness_within(spark.range(n), df, error=0.4, directed=False).collect()}
+    assert 100 < len(set(drawn)) == len(drawn) < 0.7 * n and max(rows_of) <= 13
+    # In this tree a node lies between a source and all that hangs behind it.
+    branch = lambda v: v % 6 if v != 6 else None
+    size = {h: sum(branch(v) == h for v in range(n)) for h in range(6)}
+    want = {v: 0.0 for v in range(n)} | {6: sum(n - 1 - size[branch(s)] for s in drawn if s != 6)}
+    for h in range(6):
+        want[h] = sum(n - 2 if branch(s) == h else size[h] - 1 for s in drawn if s != h)
+    assert all(got[v].betweenness == pytest.approx(want[v] * n / len(drawn) / 2) for v in range(n))
