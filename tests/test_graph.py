@@ -11,6 +11,7 @@ from topicloom.graph.betweenness import betweenness, betweenness_within
 from topicloom.graph import communities, packed_links
 from topicloom.graph.communities import leiden, louvain, modularity, settled
 from topicloom.graph import pagerank as pagerank_module
+from topicloom.graph import projection as projection_module
 from topicloom.graph import components as components_module
 from topicloom.graph.components import components_by_stars, connected_components, symmetric
 from topicloom.graph.hubs import hubs
@@ -625,3 +626,16 @@ def test_drawn_leaves_alike_are_one_row(spark, monkeypatch):
     for h in range(6):
         want[h] = sum(n - 2 if branch(s) == h else size[h] - 1 for s in drawn if s != h)
     assert all(got[v].betweenness == pytest.approx(want[v] * n / len(drawn) / 2) for v in range(n))
+
+
+def test_hub_tables_are_small_on_disk(graph, monkeypatch):
+    """An edge is stored once, a name not at all, and chunks and old ranks are no larger than they have to be."""
+    kept, dropped, keep, drop = {}, [], pagerank_module.stored, pagerank_module.forget
+    for module in (pagerank_module, projection_module):
+        monkeypatch.setattr(module, "stored", lambda df, name="step": kept.setdefault(name, []).append(out := keep(df, name)) or out)
+    monkeypatch.setattr(pagerank_module, "forget", lambda *t: dropped.extend(t) or drop(*t))
+    labels, types = ["Paper", "Topic"], ["ADDRESSES_TOPIC", "SUBTOPIC_OF"]
+    _, edges = project_numbers(graph, labels, types)
+    assert kept["edges"][0].count() * 2 == edges.count() and kept["numbered"][0].columns == ["label", "key", "id"]
+    hubs(graph, labels, types, k=1, by="pagerank", measures=()).collect()
+    assert len(kept["ranks"]) > 5 and len(dropped) > 5

@@ -10,14 +10,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.runtime import forget, stored
+from topicloom.runtime import forget, free_shuffles, stored
 
 EDGES_PER_SALT = 4_000_000  # of one block in one place
 PLACE = 33  # bits of a number below its block
 IN_BLOCK = (1 << PLACE) - 1
 
 PLACES = "block long, nodes long, sinks long, share binary, salts long"
-CHUNKS = "block long, salt long, src binary, at binary, ends binary"
+CHUNKS = "block long, salt long, edges long, reached long, src binary, times binary, ends binary"
 PARTS = "block long, places binary, sums binary"
 STATE = "block long, salts long, rank binary, sent binary, lost double, left double"
 
@@ -30,7 +30,7 @@ def numbered_rows(rows: DataFrame) -> DataFrame:
 
 
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iters: int = 20, cut_every: int = 5, numbered: bool = False
+    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iters: int = 20, cut_every: int = 2, numbered: bool = False
 ) -> DataFrame:
     """``id, rank`` after ``iters`` rounds, the ranks adding up to 1.
 
@@ -56,6 +56,7 @@ def pagerank(
     # Edges are dealt by the block of their source and a salt, packed, and kept on disk in a form whose partitioning and
     # order the plan knows: a round moves ranks and sums, never edges. A lost part is made again from the stored table.
     packed = stored(_packed(links, places), "chunks")
+    free_shuffles(nodes.sparkSession)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = packed.repartition(parts, "block", "salt").sortWithinPartitions("block", "salt").persist(StorageLevel.DISK_ONLY)
     ones = places.select("block", "salts", F.col("share").alias("sent"))
@@ -95,7 +96,8 @@ def _places(named: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _packed(links: DataFrame, places: DataFrame) -> DataFrame:
-    """One row for the edges of a block and salt: places of their sources, and where their ends stand among ``ends``.
+    """One row for the edges of a block and salt, in order of their ends: the ends, how many edges lead to each, and places
+    of the sources; as steps, compressed, since a row lies on disk several times.
 
     The salt goes by the end of an edge, so the edges of a heavy source lie in several rows, and what goes from a block
     to one end is added up in one place.
@@ -104,12 +106,14 @@ def _packed(links: DataFrame, places: DataFrame) -> DataFrame:
         "block", F.pmod(F.xxhash64("dst"), "salts").alias("salt"), "src", "dst")
 
     def pack(edges: pa.Table) -> pa.Table:
-        ends, at = np.unique(edges["dst"].to_numpy(), return_inverse=True)
-        src = (edges["src"].to_numpy() & IN_BLOCK).astype(np.int32)
-        binary = lambda a: pa.array([a.tobytes()], pa.binary())
+        src, dst = edges["src"].to_numpy() & IN_BLOCK, edges["dst"].to_numpy()
+        order = np.lexsort((src, dst))
+        ends, times = np.unique(dst, return_counts=True)
+        binary = lambda a: pa.array([pa.compress(a, codec="zstd", asbytes=True)], pa.binary())
         return pa.table({
-            "block": edges["block"].slice(0, 1), "salt": edges["salt"].slice(0, 1),
-            "src": binary(src), "at": binary(at.astype(np.int32)), "ends": binary(ends),
+            "block": edges["block"].slice(0, 1), "salt": edges["salt"].slice(0, 1), "edges": pa.array([len(src)]), "reached": pa.array([len(ends)]),
+            "src": binary(np.diff(src[order], prepend=0).astype(np.int32)), "times": binary(times.astype(np.int32)),
+            "ends": binary(np.diff(ends, prepend=0)),
         })
 
     return salted.groupBy("block", "salt").applyInArrow(pack, CHUNKS)
@@ -123,8 +127,11 @@ def _passed_on(state: DataFrame, chunks: DataFrame, places: DataFrame, base: flo
     def send(chunk: pa.Table, sent: pa.Table) -> pa.Table:
         blocks, places, sums = [], [], []
         if chunk.num_rows:
-            src, at = (np.frombuffer(chunk[c][0].as_py(), np.int32) for c in ("src", "at"))
-            ends = np.frombuffer(chunk["ends"][0].as_py(), np.int64)
+            n, k = chunk["edges"][0].as_py(), chunk["reached"][0].as_py()
+            unpack = lambda c, size, kind: np.frombuffer(
+                pa.decompress(chunk[c][0].as_py(), decompressed_size=size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+            src, ends = np.cumsum(unpack("src", n, np.int32), dtype=np.int32), np.cumsum(unpack("ends", k, np.int64))
+            at = np.repeat(np.arange(k, dtype=np.int32), unpack("times", k, np.int32))
             added = np.bincount(at, np.frombuffer(sent["sent"][0].as_py())[src], len(ends))
             cuts = np.flatnonzero(np.diff(ends >> PLACE)) + 1
             for e, s in zip(np.split(ends, cuts), np.split(added, cuts)):
@@ -162,12 +169,15 @@ def _with_lone_sinks(
     ones: DataFrame, n: int, chunks: DataFrame, places: DataFrame, n_sinks: int, damping: float, iters: int, cut_every: int
 ) -> DataFrame:
     """Nothing points at a sink, as in an undirected graph: all sinks share one known rank."""
-    state, alone, scale = ones, 1.0 / n, damping / n
+    state, alone, scale, before = ones, 1.0 / n, damping / n, None
     for i in range(1, iters + 1):
         alone = (1 - damping) / n + damping * n_sinks * alone / n
         state, scale = _passed_on(state, chunks, places, alone, scale), damping
         if i % cut_every == 0 and i < iters:
             state = stored(state, "ranks")
+            forget(*([before] if before is not None else []))
+            free_shuffles(state.sparkSession)  # else the sums of all rounds stay on disk together
+            before = state
     return state.select("block", "rank")
 
 
@@ -183,6 +193,7 @@ def _with_reached_sinks(first: DataFrame, n: int, chunks: DataFrame, places: Dat
     powers, lost = [first], {0: float(sinks), 1: first.agg(F.sum("lost")).first()[0]}
     for j in range(2, iters + 1):
         power = stored(_passed_on(powers[-1], chunks, places, 0.0, 1.0), "power")
+        free_shuffles(power.sparkSession)
         lost[j], left = power.agg(F.sum("lost"), F.sum("left")).first()
         powers.append(power)
         if not left:  # all of it lies in sinks, so the next power is 0

@@ -12,7 +12,7 @@ from topicloom.constants import EDGE_ENDS, NODE_KEYS
 from topicloom.graph.components import symmetric
 from topicloom.graph.pagerank import numbered_rows
 from topicloom.model import Graph
-from topicloom.runtime import stored
+from topicloom.runtime import free_shuffles, stored
 
 
 def node_id(label: str, key: Column | str) -> Column:
@@ -36,7 +36,8 @@ def project_numbers(graph: Graph, labels: Sequence[str], types: Sequence[str]) -
 
     An end is joined with the nodes of its label once, and only numbers are made distinct and turned around.
     """
-    nodes = numbered_rows(_nodes(graph, labels).withColumnRenamed("id", "name"))
+    nodes = numbered_rows(_nodes(graph, labels).drop("id"))
+    nodes = nodes.select(F.concat("label", F.lit(":"), "key").alias("name"), "label", "key", "id")
     inside = [t for t in types if set(EDGE_ENDS[t]) <= set(labels)]
     if not inside:
         return nodes, nodes.sparkSession.createDataFrame([], "src long, dst long")
@@ -51,9 +52,11 @@ def project_numbers(graph: Graph, labels: Sequence[str], types: Sequence[str]) -
             ends = ends.where("src_key <> dst_key").select(F.least("src_id", "dst_id").alias("src_id"), F.greatest("src_id", "dst_id").alias("dst_id"))
         return ends.select("src_id", "dst_id").distinct()
 
-    once = reduce(DataFrame.unionByName, [typed(t) for t in inside])
+    # On disk names are made of labels and keys, and an edge lies once.
+    once = stored(reduce(DataFrame.unionByName, [typed(t) for t in inside]), "edges")
+    free_shuffles(nodes.sparkSession)
     both = F.explode(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("src_id", "dst_id"), ("dst_id", "src_id"))]))
-    return nodes, stored(once.select(both.alias("e")).select("e.src", "e.dst"), "edges")
+    return nodes, once.select(both.alias("e")).select("e.src", "e.dst")
 
 
 def project_graph(
